@@ -5,15 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from voxmere.llm.pieces import round_trip
 from voxmere.llm.text import table
 from voxmere.llm.tokens import count_tokens
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_token_counts": op6_token_counts,
 }
 ORACLES: dict[str, str] = {}
