@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from voxmere.llm.chat import digest_chats, format_chats
 from voxmere.llm.oracles import CHAT_SQL
 from voxmere.llm.pieces import round_trip
+from voxmere.llm.quality import rate_quality
 from voxmere.llm.secrets import scan_secrets
 from voxmere.llm.text import table
 from voxmere.llm.tokens import count_tokens
@@ -32,12 +33,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_quality(table(spark, sf_dir, "documents"))
+
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLES = {
     "op1_chat_format": CHAT_SQL,
