@@ -10,6 +10,7 @@ from voxmere.llm.oracles import CHAT_SQL
 from voxmere.llm.pieces import round_trip
 from voxmere.llm.quality import rate_quality
 from voxmere.llm.secrets import scan_secrets
+from voxmere.llm.simhash import near_duplicates
 from voxmere.llm.text import table
 from voxmere.llm.tokens import count_tokens
 
@@ -30,6 +31,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op9_quality_rules": op9_quality_rules,
 }
