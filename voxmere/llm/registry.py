@@ -11,6 +11,7 @@ from voxmere.llm.pieces import round_trip
 from voxmere.llm.quality import rate_quality
 from voxmere.llm.secrets import scan_secrets
 from voxmere.llm.simhash import near_duplicates
+from voxmere.llm.substrings import remove_repeats
 from voxmere.llm.text import table
 from voxmere.llm.tokens import count_tokens
 
@@ -38,6 +39,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES = {
