@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxmere.llm.chat import digest_chats, format_chats
+from voxmere.llm.lines import line_report
 from voxmere.llm.oracles import CHAT_SQL
 from voxmere.llm.pieces import round_trip
 from voxmere.llm.quality import rate_quality
@@ -47,6 +48,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
@@ -55,6 +60,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
     "op1_chat_format": CHAT_SQL,
