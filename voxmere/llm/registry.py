@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxmere.llm.chat import digest_chats, format_chats
 from voxmere.llm.decontaminate import find_leaks
+from voxmere.llm.html import extract_text
 from voxmere.llm.lines import line_report
 from voxmere.llm.oracles import CHAT_SQL
 from voxmere.llm.pieces import round_trip
@@ -45,6 +46,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extract": op7_html_extract,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
