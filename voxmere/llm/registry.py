@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +74,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_chat_format": CHAT_SQL,
