@@ -211,16 +211,18 @@ def _traces(path: str):
     return run
 
 
+def _id_lists(each: list[list[int]]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(each), np.int32, offsets[-1])))
+
+
 def _encode_short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                each = [np.array(model.encode(t), dtype=np.int32) for t in part.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["key", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists([model.encode(t) for t in part.column(1).to_pylist()])], ["row", "ids"])
 
     return run
 
@@ -242,6 +244,15 @@ def _encode_long(huge: DataFrame, path: str, chunk_chars: int) -> DataFrame:
     return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
+def _long_ids(rows: DataFrame, path: str, chunk_chars: int) -> DataFrame | None:
+    """(row, ids) of the rows (row struct, text) with more than chunk_chars characters; None if there are none."""
+    long = shared_checkpoint(rows.filter(F.length("text") > chunk_chars).withColumn("key", F.sha2("text", 256)))
+    if long.isEmpty():
+        return None
+    ids = _encode_long(long.select("key", "text").dropDuplicates(["key"]), path, chunk_chars)
+    return long.join(ids, "key").select("row", "text", "ids")
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", chunk_chars: int = 1 << 16) -> DataFrame:
     """docs with the library's ids of each whole text in out_col (array of int, empty for a null or empty text).
 
@@ -249,15 +260,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
     of more than chunk_chars characters pass through the scan, each distinct one once.
     """
     kept = [F.col(c) for c in docs.columns if c != out_col]
-    packed = docs.select(F.struct(*kept).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = packed.schema["key"].dataType.simpleString()
-    short = packed.filter(F.length("text") <= chunk_chars).mapInArrow(_encode_short(path), f"key {kind}, ids array<int>")
-    out = short.select("key.*", F.col("ids").alias(out_col))
-    long = shared_checkpoint(packed.filter(F.length("text") > chunk_chars).withColumnRenamed("key", "row").withColumn("key", F.sha2("text", 256)))
-    if long.isEmpty():
-        return out
-    ids = _encode_long(long.select("key", "text").dropDuplicates(["key"]), path, chunk_chars)
-    return out.unionByName(long.join(ids, "key").select("row.*", F.col("ids").alias(out_col)))
+    packed = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = packed.schema["row"].dataType.simpleString()
+    short = packed.filter(F.length("text") <= chunk_chars).mapInArrow(_encode_short(path), f"row {kind}, ids array<int>")
+    long = _long_ids(packed, path, chunk_chars)
+    out = short if long is None else short.unionByName(long.select("row", "ids"))
+    return out.select("row.*", F.col("ids").alias(out_col))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -271,28 +279,48 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     return docs.withColumn(out_col, F.pandas_udf(run, "string")(F.col(ids_col)))
 
 
-def _check(path: str):
+def _checked(model: Model, ids: pa.Array, each: list[list[int]], coded: pa.ListArray, texts: list[str]) -> pa.RecordBatch:
+    back = [model.processor.decode(x) if x else "" for x in each]
+    same = [a == b for a, b in zip(back, texts, strict=True)]
+    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in back]
+    columns = [ids, pa.array([len(x) for x in each], pa.int64()), coded, pa.array(hashes, pa.string()), pa.array(same, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
+
+
+def _round_short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode_ids = Model(path).processor.decode
+        model = Model(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = part.column(1)
-                flat, offsets = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
-                texts = [decode_ids(flat[a:b].tolist()) if b > a else "" for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                same = [a == b for a, b in zip(texts, part.column(2).to_pylist(), strict=True)]
-                hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), ids, pa.array(hashes), pa.array(same)], ["id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
+                texts = part.column(1).to_pylist()
+                each = [model.encode(t) for t in texts]
+                yield _checked(model, part.column(0), each, _id_lists(each), texts)
+
+    return run
+
+
+def _round_long(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(path)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                part = batch.slice(at, 1)
+                each = part.column(2).to_pylist()
+                yield _checked(model, part.column(0), each, _id_lists(each), part.column(1).to_pylist())
 
     return run
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 16) -> DataFrame:
     """(id, n_tokens, ids, decoded_sha256, round_trip): each text encoded, decoded again and compared.
 
     round_trip is false only for texts that hold the model's own space mark, which it reads as a space.
     """
-    coded = encode(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), path)
-    kind = coded.schema["id"].dataType.simpleString()
-    out = coded.select("id", "ids", "text").mapInArrow(_check(path), f"id {kind}, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    base = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = f"id {base.schema['row'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean"
+    out = base.filter(F.length("text") <= chunk_chars).mapInArrow(_round_short(path), schema)
+    long = _long_ids(base, path, chunk_chars)
+    if long is not None:
+        out = out.unionByName(long.mapInArrow(_round_long(path), schema))
     return out.withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ from voxmere.llm.text import shared_checkpoint
 _UNSAFE = re.compile(r"\s ")
 _UNITS = re.compile(r"(?<=\S)(?= )")
 _PROVEN = re.compile(r"(?<=\S) ")
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 MARGIN = 32
 
 
