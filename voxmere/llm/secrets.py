@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmere.llm.text import shared_checkpoint
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -116,24 +118,28 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def word_ranks(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> dict[str, int]:
-    """The most frequent words of all texts by rank, after the common credential words; `most` bounds this model."""
+def word_ranks(docs: DataFrame, text_col: str = "text", share: int = 50_000) -> dict[str, int]:
+    """The words that make up at least 1/share of all words of all texts, by rank, after the common credential words.
+
+    There can be no more than `share` such words, whatever the input.
+    """
     found = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^\\p{L}]+"))
-    top = docs.select(found.alias("word")).filter(F.length("word").between(3, 24)).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
+    counts = shared_checkpoint(docs.select(found.alias("word")).filter(F.length("word").between(3, 24)).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranks = {w: k + 1 for k, w in enumerate(COMMON)}
-    for k, row in enumerate(top.collect()):
+    for k, row in enumerate(sorted(counts.filter(F.col("n") * share >= total).collect(), key=lambda r: (-r["n"], r["word"]))):
         ranks.setdefault(row["word"], k + 1)
     return ranks
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 10.0, dictionary: int = 20_000) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 10.0, share: int = 50_000) -> DataFrame:
     """One row for each row of docs, over whole texts.
 
     (id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, weak_values, max_cost): pattern spans, and spans that
     the guess costs add (kind guess); weak_values counts credential values that are easy to guess, max_cost is the log10
     guesses of the hardest. Offsets are code points, ends exclusive. A null text counts as empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col, dictionary))
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col, share))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
