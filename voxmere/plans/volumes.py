@@ -66,8 +66,8 @@ def first_channel_query(spark, d):
 @query(
     "skip_empty_blocks",
     "seg_labels",
-    sql="""WITH b AS (SELECT *, x // 4 AS bx, y // 4 AS by, z // 16 AS bz FROM seg_labels)
-    SELECT x, y, z, lab FROM b SEMI JOIN (SELECT bx, by, bz FROM b GROUP BY bx, by, bz HAVING max(lab) > 0) f USING (bx, by, bz)""",
+    sql="""WITH b AS (SELECT *, x // 4 AS bx, y // 4 AS bb, z // 16 AS bz FROM seg_labels)
+    SELECT x, y, z, lab FROM b SEMI JOIN (SELECT bx, bb, bz FROM b GROUP BY bx, bb, bz HAVING max(lab) > 0) f USING (bx, bb, bz)""",
 )
 def skip_empty_blocks(spark, d):
     return R.non_empty_blocks(view(spark, d, "seg_labels"), (4, 4, 16)).select("x", "y", "z", "lab")
