@@ -26,7 +26,8 @@ def with_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with struct column `signals` of counts over the whole text; a null text has no words.
 
     n_repeat_words counts the words in windows of eight words that the text holds twice or more, the first included:
-    the windows' hashes are sorted with their places, and the union of the places of equal ones is measured.
+    the windows' hashes are sorted with their places, and the union of the places of equal ones is measured. The struct
+    passes through an explode of one element, so that what reads it doesn't compute it again for each use.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = docs.columns
@@ -52,7 +53,7 @@ def with_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.filter("_lines", lambda x: x.rlike("[.!?:;…»”\"')]\\s*$"))).cast("long").alias("n_ended"),
     )
-    return parts.select(*[c for c in kept if c != "signals"], signals.alias("signals"))
+    return parts.select(*[c for c in kept if c != "signals"], F.explode(F.array(signals)).alias("signals"))
 
 
 def votes(s: Column) -> Column:
