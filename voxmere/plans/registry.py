@@ -9,7 +9,7 @@ from voxmere.sources.views import with_views
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("volumes", "intensity", "overlap", "runs", "jobs", "files", "annotations", "surfaces")
+MODULES = ("volumes", "intensity", "overlap", "runs", "jobs", "files", "annotations", "surfaces", "learning", "streams")
 
 
 def query(name: str, *views: str, sql: str | None = None):
