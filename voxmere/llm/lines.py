@@ -128,13 +128,22 @@ def _kept():
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
-    """docs with the repeated lines deleted from text_col (n_chars follows); texts that lose all their words go."""
-    found = repeated_lines(docs, id_col, text_col, least)
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(_kept())
-    out = found.withColumn(text_col, kept).filter(F.col("_gone").isNull() | F.col(text_col).rlike("[^ \\t-\\r]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    """docs with the repeated lines deleted from text_col (n_chars follows); texts that lose all their words go.
+
+    Rows without repeated lines stay as they are, null texts too. Other columns may have any names.
+    """
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = repeated_lines(packed, "id", "text", least)
+    out = found.withColumn("kept", F.when(F.col("_gone").isNotNull(), _kept())).filter(F.col("_gone").isNull() | F.col("kept").rlike("[^ \\t-\\r]"))
+    untouched, columns = F.col("_gone").isNull(), []
+    for c in docs.columns:
+        old = F.col("row")[c]
+        if c == text_col:
+            old = F.when(untouched, old).otherwise(F.col("kept"))
+        elif c == "n_chars":
+            old = F.when(untouched, old).otherwise(F.length("kept").cast(docs.schema[c].dataType))
+        columns.append(old.alias(c))
+    return out.select(*columns)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:

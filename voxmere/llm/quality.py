@@ -136,9 +136,10 @@ def judge(scored: DataFrame, model: tuple[float, list[float]], least: float = 0.
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
-    scored = with_signals(docs, text_col)
-    return judge(scored, fit(scored), least).filter("kept").select(*docs.columns)
+    """The rows of docs that are kept, with the columns of docs, whatever their names."""
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    scored = with_signals(packed)
+    return judge(scored, fit(scored), least).filter("kept").select("row.*")
 
 
 def rate_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

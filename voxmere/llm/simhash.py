@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = ALIKE) -> DataFrame:
     """The rows of docs that have the smallest id of their component; of rows with the same id and component one stays."""
-    found = near_duplicates(docs, id_col, text_col, shingle, distance)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    ids = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return ids.dropDuplicates([id_col])
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).alias("id"))
+    found = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", shingle, distance)
+    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept")).distinct()
+    return packed.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["id"]).select("row.*")
