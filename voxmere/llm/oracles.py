@@ -21,3 +21,54 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(count(*) FILTER (opens) AS BIGINT) AS blocks
 FROM e GROUP BY conv_id
 """
+
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM d WHERE len(w) >= 20),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i + 1 : i + 20], ' ') ORDER BY doc_id, i) AS k FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM f WHERE k > 1),
+u AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+k AS (SELECT u.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM u ANTI JOIN g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+QUALITY_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+s AS (SELECT doc_id, w, unnest(range(len(w) - 7)) AS i FROM d WHERE len(w) >= 8),
+f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i + 1 : i + 8], ' ')) AS k FROM s),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS at FROM f WHERE k > 1) GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS upper,
+    len(list_distinct(w)) AS n_distinct, len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…»”"'')]\s*$'))) AS n_ended
+  FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+), v AS MATERIALIZED (
+  SELECT *, [
+    CASE WHEN n_symbols * 20 > n_words THEN -1 ELSE 0 END,
+    CASE WHEN letters * 100 < word_chars * 88 THEN -1 ELSE 0 END,
+    CASE WHEN upper * 10 > letters * 3 THEN -1 ELSE 0 END,
+    CASE WHEN n_words BETWEEN 50 AND 5000 AND n_distinct * 100 < n_words * 45 THEN -1 ELSE 0 END,
+    CASE WHEN n_repeat_words * 100 > n_words * 20 THEN -1 ELSE 0 END,
+    CASE WHEN n_lines >= 4 AND n_dup_lines * 10 > n_lines * 4 THEN -1 ELSE 0 END,
+    CASE WHEN n_lines >= 2 AND n_ended * 100 < n_lines * 50 THEN -1 ELSE 0 END,
+    CASE WHEN word_chars * 10 < n_words * 22 OR word_chars > n_words * 12 THEN -1 WHEN letters * 100 > word_chars * 94 AND upper * 10 < letters AND n_ended * 100 >= n_lines * 85 THEN 1 ELSE 0 END
+  ] AS votes FROM c
+), p AS MATERIALIZED (SELECT list({'v': votes, 'n': n} ORDER BY votes) AS ps FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY votes)),
+e AS (
+  SELECT 0 AS k, 0.8::DOUBLE AS prior, list_transform(range(8), lambda j: 0.8::DOUBLE) AS acc
+  UNION ALL
+  SELECT k + 1, greatest(0.05, least(0.8, (list_sum(list_transform(post, lambda x: x.n * x.q)) + 1.6) / (list_sum(list_transform(post, lambda x: x.n)) + 2))),
+    list_transform(range(8), lambda j: greatest(0.75, least(0.99,
+      (list_sum(list_transform(post, lambda x: CASE WHEN x.v[j + 1] > 0 THEN x.n * x.q WHEN x.v[j + 1] < 0 THEN x.n * (1 - x.q) ELSE 0 END)) + 1.6)
+      / (list_sum(list_transform(post, lambda x: CASE WHEN x.v[j + 1] <> 0 THEN x.n ELSE 0 END)) + 2))))
+  FROM (SELECT k, list_transform(ps, lambda x: {'v': x.v, 'n': x.n, 'q': 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(8), lambda j: x.v[j + 1] * ln(acc[j + 1] / (1 - acc[j + 1])))))))}) AS post FROM e, p WHERE k < 40)
+), m AS (SELECT prior, acc FROM e WHERE k = 40),
+q AS (SELECT v.*, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(8), lambda j: votes[j + 1] * ln(acc[j + 1] / (1 - acc[j + 1]))))))) AS p_good,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v, m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, round(p_good, 6) AS p_good FROM q
+"""

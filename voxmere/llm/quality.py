@@ -146,4 +146,4 @@ def rate_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, the counts of COUNTED, base_failed, kept, p_good): one row for each row of docs."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scored = shared_checkpoint(with_signals(narrow).select("id", "signals"))
-    return judge(scored, fit(scored), least).select(F.col("id").alias(id_col), *(F.col(f"signals.{c}").alias(c) for c in COUNTED), "base_failed", "kept", "p_good")
+    return judge(scored, fit(scored), least).select(F.col("id").alias(id_col), *(F.col(f"signals.{c}").alias(c) for c in COUNTED), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))

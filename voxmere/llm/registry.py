@@ -10,7 +10,7 @@ from voxmere.llm.chat import digest_chats, format_chats
 from voxmere.llm.decontaminate import find_leaks
 from voxmere.llm.html import extract_text
 from voxmere.llm.lines import line_report
-from voxmere.llm.oracles import CHAT_SQL
+from voxmere.llm.oracles import CHAT_SQL, QUALITY_SQL, SUBSTRING_SQL
 from voxmere.llm.pieces import round_trip
 from voxmere.llm.quality import rate_quality
 from voxmere.llm.secrets import scan_secrets
@@ -78,4 +78,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_format": CHAT_SQL,
+    "op8_substring_dedup": SUBSTRING_SQL,
+    "op9_quality_rules": QUALITY_SQL,
 }
