@@ -219,13 +219,13 @@ def backfill_metadata(spark, d):
     return rows.select("model_id", F.coalesce(got("job_id").try_cast("long"), "job_id").alias("job_id"), count.alias("annotation_count"), F.coalesce(got("model_class"), F.lit("forest")).alias("model_class"), F.when(F.col("has"), F.concat("model_id", F.lit(".zarr"))).alias("segmentation_id"))
 
 
-@query("training_sample_ids", "models", "samples", sql="SELECT m.model_id, list(s.sample_id ORDER BY s.sample_id) FILTER (s.sample_id % 4 <> 0) AS ids FROM models m JOIN samples s ON s.job_id = m.job_id AND s.sample_ts <= m.model_ts GROUP BY m.model_id HAVING count(*) FILTER (s.sample_id % 4 <> 0) > 0")
+@query("training_sample_ids", "models", "samples", sql="SELECT m.model_id, string_agg(CAST(s.sample_id AS VARCHAR), ',' ORDER BY s.sample_id) FILTER (s.sample_id % 4 <> 0) AS ids FROM models m JOIN samples s ON s.job_id = m.job_id AND s.sample_ts <= m.model_ts GROUP BY m.model_id HAVING count(*) FILTER (s.sample_id % 4 <> 0) > 0")
 def training_sample_ids(spark, d):
     pairs = models(spark, d).join(view(spark, d, "samples"), "job_id").filter("sample_ts <= model_ts")
     entry = F.struct(F.when(F.col("sample_id") % 2 == 1, F.col("sample_id")).alias("sample_id"), F.when(F.col("sample_id") % 4 == 2, F.concat(F.lit("img"), "sample_id", F.lit(".png"))).alias("image_filename"))
     lists = pairs.groupBy("model_id").agg(F.collect_list(entry).alias("training_samples"))
     ids = F.filter(F.transform("training_samples", lambda s: F.coalesce(s["sample_id"], N.sample_id(s["image_filename"]))), lambda x: x.isNotNull())
-    return lists.select("model_id", F.array_sort(ids).alias("ids")).filter(F.size("ids") > 0)
+    return lists.select("model_id", F.array_sort(ids).alias("ids")).filter(F.size("ids") > 0).withColumn("ids", F.array_join("ids", ","))
 
 
 
