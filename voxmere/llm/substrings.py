@@ -247,8 +247,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flag = F.col("place").bitwiseAND(F.lit(REPEATS))
     whose = F.shiftright("place", 8).bitwiseAND(F.lit(0xFFFFFF))
     listed = lambda rows: rows.groupBy("key", whose.alias("mark")).agg(F.collect_list("place").alias("places"))
-    partly = base.select("key", "mark", "text").join(listed(found.filter(flag == 0)), ["key", "mark"]).dropDuplicates(["key", "mark"])
-    windows = partly.select("key", "mark", "text", "places").mapInArrow(_deal_windows(window), _DDL).repartition("a", "b").sortWithinPartitions(*_NAMES)
+    # id goes along so that this join and the last one read one shuffle of the texts
+    partly = base.join(listed(found.filter(flag == 0)), ["key", "mark"]).dropDuplicates(["key", "mark"])
+    windows = partly.select("key", "mark", "text", "places", "id").mapInArrow(_deal_windows(window), _DDL).repartition("a", "b").sortWithinPartitions(*_NAMES)
     repeats = found.filter(flag != 0).unionByName(windows.mapInArrow(_split_classes(False), "key long, place long"))
     joined = base.join(listed(repeats), ["key", "mark"], "left").select("id", F.col("text").cast("binary").alias("text"), F.coalesce("places", F.array().cast("array<long>")).alias("places"))
     kind = base.schema["id"].dataType.simpleString()
