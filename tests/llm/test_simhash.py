@@ -58,3 +58,9 @@ def test_near_duplicates(edge_docs, no_docs):
     assert by_id[1] == by_id[2] == by_id[3] == 1 and by_id[6] == 5 and by_id[9] == 9
     assert near_duplicates(no_docs).count() == 0
     assert sorted(r["doc_id"] for r in keep_one(edge_docs).collect() if r["doc_id"] is not None) == [1, 4, 5, 7, 8, 9]
+
+
+def test_rows_without_ids_are_kept_apart(spark):
+    rows = [(None, "first text without an id"), (None, "second one about other things"), (None, "second one about other things"), (3, "first text without an id"), (4, None), (None, "")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, "second one about other things"), (3, "first text without an id"), (4, None)], key=str)

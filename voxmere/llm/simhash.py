@@ -206,8 +206,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = ALIKE) -> DataFrame:
-    """The rows of docs that have the smallest id of their component; of rows with the same id and component one stays."""
-    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).alias("id"))
-    found = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", shingle, distance)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept")).distinct()
-    return packed.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["id"]).select("row.*")
+    """One row of docs for each component, the one with the smallest id; null ids come last, equal ids go by a hash of
+    the text, and of equal rows one stays."""
+    key = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), key.alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(packed.select("key", "text"), "key", "text", shingle, distance)
+    kept = found.filter("key = component_id").select(F.col("key").alias("kept")).distinct()
+    return packed.join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row.*")
