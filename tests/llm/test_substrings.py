@@ -46,3 +46,11 @@ def test_kept_text(spark):
     text = " ".join(f"w{k}" for k in range(25))
     rows = remove_repeats(spark.createDataFrame([(1, text), (2, "new " + text + " end")], "doc_id long, text string"), texts=True).collect()
     assert {r["doc_id"]: r["kept"] for r in rows} == {1: text, 2: "new end"}
+
+
+def test_repeated_rows_keep_their_words_once(spark):
+    words = [f"u{k}" for k in range(60)]
+    text = lambda lo, hi: " ".join(words[lo:hi])
+    rows = [(1, text(0, 30))] * 2 + [(2, "so " + text(0, 30))] * 3 + [(3, text(5, 60))] * 2 + [(4, text(30, 60) + " " + text(30, 60))] * 2 + [(None, text(28, 58))] * 2
+    check(spark, rows)
+    check(spark, [(7, text(0, 30))] * 40)

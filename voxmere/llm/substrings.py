@@ -84,6 +84,15 @@ def _seeds(hashes: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> tu
     return grams[at[lo]], kind, text[lo], lo - firsts[text[lo]], count
 
 
+def _again(a: np.ndarray, b: np.ndarray, key: np.ndarray, place: np.ndarray, before: tuple | None = None) -> np.ndarray:
+    """Which sorted rows equal the one before them in all columns: the same seed of a repeated row, not a repeat."""
+    out = np.zeros(len(a), bool)
+    if len(a):
+        out[0] = before == (a[0], b[0], key[0], place[0])
+        out[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (key[1:] == key[:-1]) & (place[1:] == place[:-1])
+    return out
+
+
 def _firsts(a: np.ndarray, b: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (a, b, key, place), and which rows in that order are the first of their (a, b)."""
     order = np.lexsort((place, key, b, a))
@@ -98,11 +107,12 @@ _DDL = "a long, b long, key long, place long"
 
 
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Rows of a flush; those with an earlier equal seed are marked as repeats and dealt by their document."""
+    """Rows of a flush, equal ones once; those with an earlier equal seed are marked as repeats and dealt by their document."""
     a, b, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, new = _firsts(a, b, key, place)
     a, b, key, place = a[order], b[order], key[order], place[order]
-    old = ~new
+    once = ~_again(a, b, key, place)
+    a, b, key, place, old = a[once], b[once], key[once], place[once], ~new[once]
     place[old] |= REPEATS
     a[old] = mix64(key[old].view(np.uint64) + _U(1)).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, key, place)], _NAMES)
@@ -139,11 +149,16 @@ def _split_classes(anchors: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 2
         last: tuple | None = None
+        row: tuple | None = None
         for batch in batches:
             a, b, key, place = (batch.column(k).to_numpy() for k in range(4))
             old = (place & REPEATS) != 0
             out_key, out_place = [key[old]], [place[old]]
             a, b, key, place = a[~old], b[~old], key[~old], place[~old]
+            once = ~_again(a, b, key, place, row)
+            if len(a):
+                row = (a[-1], b[-1], key[-1], place[-1])
+            a, b, key, place = a[once], b[once], key[once], place[once]
             if len(a):
                 before_a = np.concatenate([[a[0] if last is None else last[0]], a[:-1]])
                 before_b = np.concatenate([[b[0] if last is None else last[1]], b[:-1]])
