@@ -1,6 +1,11 @@
 import hashlib
+import math
+import random
 import re
+import time
+from itertools import combinations
 
+from voxmere.llm import secrets as S
 from voxmere.llm.secrets import COMMON, find_spans, guess_cost, scan_secrets
 
 RANKS = {w: k + 1 for k, w in enumerate(COMMON)}
@@ -31,12 +36,84 @@ def test_guess_costs():
     assert guess_cost("z7" * 3000, RANKS) > 0
 
 
+def span_cost(piece):
+    """The cheapest reading of one span, from the definitions."""
+    low, n = S.lowered(piece), len(piece)
+    costs = [sum(map(S.char_cost, piece)), S.word_cost(piece, low, RANKS), S.date_cost(piece)]
+    whole = lambda unit: not any(len(unit) % p == 0 and unit == unit[:p] * (len(unit) // p) for p in range(1, len(unit)))
+    for p in range(1, n // 2 + 1):
+        if n % p == 0 and low == low[:p] * (n // p) and whole(low[:p]):
+            costs.append(min(sum(map(S.char_cost, piece[:p])), S.word_cost(low[:p], low[:p], RANKS)) + len(str(n // p)))
+    ways = [S.step_way(a, b) for a, b in zip(low, low[1:])]
+    if n >= 3 and all(ways):
+        costs.append(S.START_KEY + len(str(n)) + S.TURN * sum(a != b for a, b in zip(ways, ways[1:])))
+    return min(costs)
+
+
 def test_cost_is_the_least_over_all_segmentations():
-    """Splitting by hand never beats the dynamic programme."""
-    for value in ("dragon7monkey", "qweasd1999", "passpass!!"):
-        whole = guess_cost(value, RANKS)
-        for k in range(1, len(value)):
-            assert whole <= guess_cost(value[:k], RANKS) + guess_cost(value[k:], RANKS) + 0.302
+    r = random.Random(5)
+    parts = ["abc", "aa", "love", "God", "1999", "2001-02-03", "qwe", "rewq", "7", "#", "xyxy", "Z", "test", "1.1.2020", "asd"]
+    values = ["dragon7mon", "qweasd1999", "passpass!!", "ababababab", "123454321a", "AAaaAAaa1"] + ["".join(r.choices(parts, k=5))[:11] for _ in range(60)]
+    for value in values:
+        n = len(value)
+        cuts = ([0, *c, n] for k in range(n) for c in combinations(range(1, n), k))
+        want = min(sum(span_cost(value[a:b]) for a, b in zip(c, c[1:])) + S.JOINT * (len(c) - 2) for c in cuts)
+        assert math.isclose(guess_cost(value, RANKS), want, abs_tol=1e-9), value
+
+
+def test_long_values_are_costed_like_short_ones():
+    assert guess_cost("k7Q" * 86, RANKS) - guess_cost("k7Q" * 85, RANKS) < 0.01
+    unit = "m4Xw9zKq2LpT8vRb6NdJ"
+    assert all(math.isclose(guess_cost(unit, RANKS) + 1, guess_cost(unit * k, RANKS)) for k in (2, 3, 9))
+    r = random.Random(6)
+    noise = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000))
+    began = time.time()
+    assert guess_cost(noise, RANKS) > 10_000 and guess_cost("z7" * 20_000, RANKS) < 10 and guess_cost("a" * 30_000, RANKS) < 8
+    assert time.time() - began < 60
+
+
+def test_repeats_are_all_found():
+    r = random.Random(7)
+    for _ in range(200):
+        low = "".join(r.choices("ab", k=r.randint(2, 14)))
+        want = {}
+        for p in range(1, len(low) // 2 + 1):
+            same = [low[i] == low[i + p] for i in range(len(low) - p)] + [False]
+            begin = None
+            for i, x in enumerate(same):
+                begin = i if x and begin is None else begin
+                if not x and begin is not None:
+                    if i - begin >= p:
+                        want.setdefault((begin, i + p), p)
+                    begin = None
+        assert {(a, b): p for a, b, p in S.repeats_in(low)} == want
+
+
+PROSE = ["the secret transliteration of names", "bearer instrumentation was late", "auth infrastructure for all", "a token pseudorandomly drawn", "My password: I will never tell", "the token economy, and secret: sunshine", "password is required", "see http://host:8080/path@x and mail a:b@c.d"]
+
+
+def test_precision_and_recall():
+    """Random values behind credential names are found, words and weak values and prose are not."""
+    r = random.Random(8)
+    strong = ["".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#$%&*^~", k=r.randint(12, 24))) for _ in range(200)]
+    frames = ["pwd: {}", "passphrase = '{}'", "access-key: {}", "--password {}", "mysql://root:{}@db/x", "authorization: Bearer {}", "secret => {}"]
+    found = sum(any(text[s:e].startswith(v.rstrip("!")[:4]) for s, _, e in sum(find_spans(text, RANKS, 10.0)[:2], [])) or bool(find_spans(text, RANKS, 10.0)[0]) for k, v in enumerate(strong) for text in [f"so {frames[k % len(frames)].format(v)} it is"])
+    assert found >= 0.98 * len(strong)
+    weak = ["changeme123", "password2020", "qwertyuiop", "abcabcabc!", "welcome1", "11111111", "hunterhunter"]
+    for text in PROSE + [f"pwd: {w} and on" for w in weak]:
+        assert find_spans(text, RANKS, 10.0)[1] == [], text
+
+
+def test_time_follows_the_length():
+    """A text with many patterns and many credential values."""
+    text = "pwd: vK9#tQ2!mZ7p and token=abcdef123456 then\n" * 4000
+    began = time.time()
+    base, added, _ = find_spans(text, RANKS, 10.0)
+    assert len(base) == len(added) == 4000 and time.time() - began < 20
+
+
+def test_other_columns(spark, edge_docs, edge_rows):
+    assert scan_secrets(edge_docs).count() == len(edge_rows)
 
 
 def test_added_spans():

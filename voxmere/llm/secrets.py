@@ -10,8 +10,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +24,27 @@ from voxmere.llm.text import shared_checkpoint
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|bearer|auth)["']?\x20*(?:[:=]\x20*|\x20)["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
-LONG_VALUE = 256
+# A value follows a credential's name and : or =, an option of a command line, or a user's name in a URL.
+CONTEXT = re.compile(
+    r"""(?:(?:password|passwd|passphrase|pwd|secret|token|(?:api|access|private|secret|signing)[_-]?key|credentials?|authorization)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:(?:bearer|basic)\x20+)?["'`]?"""
+    r"""|--(?:password|passphrase|token|secret|api-key)[\x20=]["']?"""
+    r"""|://[^\s/:@"'<>]{1,255}:(?=[^\s/@"'<>]{6,4096}@))"""
+    r"""([^\s"'`<>,;]{6,})""",
+    re.IGNORECASE | re.ASCII,
+)
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
 YEARS = range(1900, 2051)
-DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
+DATES = (
+    re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", re.ASCII),
+    re.compile(r"(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\1(?:19|20)\d\d", re.ASCII),
+    re.compile(r"(?:19|20)\d\d", re.ASCII),
+)
+DATE_CHARS = range(4, 11)
 # Common credential words, in order of rank.
 COMMON = ("password", "qwerty", "admin", "welcome", "letmein", "dragon", "monkey", "login", "princess", "football", "master", "hello", "freedom", "whatever", "shadow", "sunshine", "secret", "test", "guest", "root", "user", "changeme", "default", "example", "token", "key", "none", "null", "true", "false", "value", "string", "your", "pass", "abc", "love", "god", "summer", "winter", "spring", "autumn", "baseball", "batman", "superman", "iloveyou", "trustno", "access", "flower", "hunter", "killer", "jordan", "michael", "jennifer", "thomas", "robert", "daniel", "andrew", "joshua", "george", "charlie", "computer", "internet", "server", "service", "system", "temp", "demo", "sample", "placeholder", "here", "insert", "replace")
 
 
+
 def _beside() -> dict[str, set[str]]:
     """Keys next to each other in a row of the keyboard."""
     near: dict[str, set[str]] = {}
@@ -41,71 +56,181 @@ def _beside() -> dict[str, set[str]]:
 
 
 BESIDE = _beside()
+JOINT, CAPITALS, TURN, START_KEY = math.log10(2), math.log10(2), math.log10(4), math.log10(36)
+LEAST_WALK = 3
+
+
+def lowered(value: str) -> str:
+    """value in lower case, character by character, so that places stay."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in value)
+
+
+def char_cost(c: str) -> float:
+    return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(94)
+
+
+def word_cost(piece: str, low: str, ranks: dict[str, int]) -> float:
+    """The rank of low as a word, and two more if piece has capitals; infinite if it is no word."""
+    rank = ranks.get(low)
+    return math.inf if rank is None else math.log10(1 + rank) + (0.0 if piece == low else CAPITALS)
+
+
+def date_cost(piece: str) -> float:
+    if not any(d.fullmatch(piece) for d in DATES):
+        return math.inf
+    return math.log10(len(YEARS) * (366 if len(piece) > 4 else 1))
+
+
+def step_way(a: str, b: str) -> int:
+    """1 or -1, by their codes, if key b lies beside key a or follows it in order; else 0."""
+    way = ord(b) - ord(a)
+    return (1 if way > 0 else -1) if way and (b in BESIDE.get(a, ()) or abs(way) == 1 and a.isalnum() and b.isalnum()) else 0
+
+
+def repeats_in(low: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of every longest stretch with low[i] == low[i + period], of two periods at least.
+
+    A stretch of period p holds one of the places 0, p, 2p... with its partner; how far the equality reaches from there is
+    found by bisection on hashes of prefixes. Of the periods of one stretch the smallest stays.
+    """
+    n, mod, base = len(low), (1 << 61) - 1, 911382323
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    powers, sums = [1], [0]
+    for c in low:
+        sums.append((sums[-1] * base + ord(c) + 1) % mod)
+        powers.append(powers[-1] * base % mod)
+
+    def same(i: int, j: int, size: int) -> bool:
+        return (sums[i + size] - sums[j + size] - (sums[i] - sums[j]) * powers[size]) % mod == 0
+
+    def reach(most: int, fits) -> int:
+        size, step = 0, 1
+        while step:
+            if size + step <= most and fits(size + step):
+                size, step = size + step, step * 2
+            else:
+                step //= 2
+        return size
+
+    found: dict[tuple[int, int], int] = {}
+    for p in range(1, n // 2 + 1):
+        at = np.arange(0, n - p, p)
+        for k in at[codes[at] == codes[at + p]].tolist():
+            ahead = reach(n - k - p, lambda size, k=k, p=p: same(k, k + p, size))
+            back = reach(k, lambda size, k=k, p=p: same(k - size, k + p - size, size))
+            if ahead + back >= p:
+                found.setdefault((k - back, k + p + ahead), p)
+    return sorted((start, end, p) for (start, end), p in found.items())
+
+
+class Least:
+    """The least value that stands from `near` to `far` steps back in a chain that grows value by value."""
+
+    __slots__ = ("near", "far", "seen", "best")
+
+    def __init__(self, near: int, far: int):
+        self.near, self.far, self.seen, self.best = near, far, [], deque()
+
+    def behind(self) -> float:
+        """The least for the next place of the chain; asked once before each add."""
+        now = len(self.seen)
+        if now >= self.near:
+            new = now - self.near
+            while self.best and self.seen[self.best[-1]] >= self.seen[new]:
+                self.best.pop()
+            self.best.append(new)
+        while self.best and self.best[0] < now - self.far:
+            self.best.popleft()
+        return self.seen[self.best[0]] if self.best else math.inf
+
+
+def by_digits(least: int, most: int) -> list[tuple[int, Least]]:
+    """(number of digits, window) for the counts from least to most."""
+    return [(d, Least(max(least, 10 ** (d - 1)), 10**d - 1)) for d in range(len(str(least)), len(str(most)) + 1)]
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the fewest guesses over all segmentations of value.
+def guess_cost(value: str, ranks: dict[str, int], lengths: list[int] | None = None) -> float:
+    """log10 of the fewest guesses over all segmentations of value, whatever its length; lengths: those that words have.
 
-    best[j] is the least cost of the first j characters; a span from i to j costs, in log10 guesses: a word, its rank and
-    two more for capitals; a date, a day in all the years; a repeat, its unit times how often; a keyboard walk of three or
-    more keys, starts times turns; anything else ten guesses a character as digits, 26 as letters of one case, 94 else.
-    Each further span adds log10 2. Values over LONG_VALUE characters are far over any threshold by their length, unless
-    they repeat, and are costed in pieces of that length.
+    A span costs, in log10 guesses: a word, its rank, and two more for capitals; a date, a day in all the years, or a
+    year; a repeat of a unit that is no repeat itself, whatever its case, the unit as a word or by brute force and a digit
+    for each digit of how often; a keyboard walk of three or more keys, its start, a digit for each digit of its length
+    and four for each turn; any other span ten guesses a character as digits, 26 as letters, 94 else. Each further span
+    adds log10 2. Brute force adds up by character, and repeats and walks take the least of a sliding window over their
+    starts, so the time follows the length and the number of repeats, not the pairs of places.
     """
-    if len(value) > LONG_VALUE:
-        return sum(guess_cost(value[k : k + LONG_VALUE], ranks) for k in range(0, len(value), LONG_VALUE) if k == 0 or value[k : k + LONG_VALUE] != value[k - LONG_VALUE : k])
-    n, low = len(value), value.lower()
-    best = [0.0] + [math.inf] * n
-    joint = math.log10(2)
-
-    def offer(i: int, j: int, cost: float) -> None:
-        cost += best[i] + (joint if i else 0)
-        best[j] = min(best[j], cost)
-
-    for i in range(n):
-        each = 0.0
-        for j in range(i + 1, n + 1):
-            c = value[j - 1]
-            each += 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(94)
-            offer(i, j, each)
-            word = ranks.get(low[i:j]) if j - i <= 24 else None
-            if word:
-                offer(i, j, math.log10(1 + word) + (0 if value[i:j] == low[i:j] else math.log10(2)))
-        for found in (DATE.match(value, i),):
-            if found:
-                offer(i, found.end(), math.log10(len(YEARS) * (366 if found.end() - i > 4 else 1)))
-        for unit in range(1, min(16, (n - i) // 2) + 1):
-            j = i + unit
-            while low[j : j + unit] == low[i : i + unit]:
-                j += unit
-                offer(i, j, min(unit * math.log10(36), math.log10(1 + ranks.get(low[i : i + unit], 36**unit))) + math.log10((j - i) // unit))
-        j = i + 1
-        turns, way = 0, None
-        while j < n and (low[j] in BESIDE.get(low[j - 1], ()) or abs(ord(low[j]) - ord(low[j - 1])) == 1 and low[j].isalnum() and low[j - 1].isalnum()):
-            now = ord(low[j]) - ord(low[j - 1])
-            turns += way is not None and (now > 0) != (way > 0)
-            way = now
-            j += 1
-            if j - i >= 3:
-                offer(i, j, math.log10(36 * (j - i)) + turns * math.log10(4))
+    n, low = len(value), lowered(value)
+    lengths = sorted({len(w) for w in ranks}) if lengths is None else lengths
+    best, force, brute = [math.inf] * (n + 1), [0.0], math.inf
+    for c in value:
+        force.append(force[-1] + char_cost(c))
+    way = [0, *(step_way(a, b) for a, b in zip(low, low[1:], strict=False)), 0]
+    turns = [0]
+    for j in range(1, n + 1):
+        turns.append(turns[-1] + (way[j] * way[j - 1] < 0))
+    chains: dict[int, list] = {}
+    for start, end, period in repeats_in(low):
+        for first in range(start, min(start + period, end - 2 * period + 1)):
+            unit = slice(first, first + period)
+            cost = min(force[first + period] - force[first], word_cost(low[unit], low[unit], ranks))
+            windows = by_digits(2, (end - first) // period)
+            for j in range(first, end + 1, period):
+                chains.setdefault(j, []).append((cost, windows))
+    walk: list[tuple[int, Least]] = []
+    for j in range(n + 1):
+        here = 0.0 if j == 0 else best[j]
+        if j:
+            brute = min(brute, best[j - 1] + (JOINT if j > 1 else 0.0)) + force[j] - force[j - 1]
+            here = min(here, brute)
+            for digits, window in walk:
+                here = min(here, START_KEY + digits + TURN * turns[j - 1] + window.behind())
+        for cost, windows in chains.get(j, ()):
+            for digits, window in windows:
+                here = min(here, cost + digits + window.behind())
+        best[j] = here
+        start = here + (JOINT if j else 0.0)
+        for _, windows in chains.pop(j, ()):
+            for _, window in windows:
+                window.seen.append(start)
+        if j == n:
+            break
+        if not (j and way[j]):
+            size = next(k for k in range(1, n - j + 1) if not way[j + k])
+            walk = by_digits(LEAST_WALK, size) if size >= LEAST_WALK else []
+        for _, window in walk:
+            window.seen.append(start - TURN * turns[min(j + 1, n)])
+        for size in lengths:
+            if j + size > n:
+                break
+            if (cost := word_cost(value[j : j + size], low[j : j + size], ranks)) < math.inf:
+                best[j + size] = min(best[j + size], start + cost)
+        if value[j].isdigit():
+            for size in DATE_CHARS:
+                if j + size <= n:
+                    best[j + size] = min(best[j + size], start + date_cost(value[j : j + size]))
     return best[n]
 
 
-def find_spans(text: str, ranks: dict[str, int], least_cost: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, float]]]:
+def find_spans(text: str, ranks: dict[str, int], least_cost: float, lengths: list[int] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, float]]]:
     """(base spans, added spans, costed values); a span is (start, order of its kind, end)."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
+    starts, ends = [s for s, _, _ in base], []
+    for _, _, e in base:
+        ends.append(max(e, ends[-1]) if ends else e)
     added, costs = [], []
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?)]}")
+        value = m[1].split("@")[0] if text.startswith("://", m.start()) else m[1]
+        value = value.rstrip(".:!?)]}")
         if len(value) < 6:
             continue
         start, end = m.start(1), m.start(1) + len(value)
-        cost = guess_cost(value, ranks)
+        cost = guess_cost(value, ranks, lengths)
         costs.append((start, end, cost))
-        if cost >= least_cost and not any(s < end and start < e for s, _, e in base):
+        before = bisect_right(starts, end - 1)
+        if cost >= least_cost and not (before and ends[before - 1] > start):
             added.append((start, 3, end))
     return base, added, costs
 
@@ -121,10 +246,10 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
 def word_ranks(docs: DataFrame, text_col: str = "text", share: int = 50_000) -> dict[str, int]:
     """The words that make up at least 1/share of all words of all texts, by rank, after the common credential words.
 
-    There can be no more than `share` such words, whatever the input.
+    Words are runs of three letters or more in lower case. There can be no more than `share` of them, whatever the input.
     """
     found = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^\\p{L}]+"))
-    counts = shared_checkpoint(docs.select(found.alias("word")).filter(F.length("word").between(3, 24)).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    counts = shared_checkpoint(docs.select(found.alias("word")).filter(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranks = {w: k + 1 for k, w in enumerate(COMMON)}
     for k, row in enumerate(sorted(counts.filter(F.col("n") * share >= total).collect(), key=lambda r: (-r["n"], r["word"]))):
@@ -137,16 +262,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     (id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, weak_values, max_cost): pattern spans, and spans that
     the guess costs add (kind guess); weak_values counts credential values that are easy to guess, max_cost is the log10
-    guesses of the hardest. Offsets are code points, ends exclusive. A null text counts as empty.
+    guesses of the hardest. Offsets are code points, ends exclusive. A null text counts as empty, whole texts of any
+    length are read, repeated rows and null ids are kept as they are, other columns are not read, and an empty table gives
+    no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col, share))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
+        lengths = sorted({len(w) for w in ranks})
         for batch in batches:
             out: dict[str, list] = {name: [] for name, _ in _OUT}
             for text in batch.column(1).to_pylist():
-                base, added, costs = find_spans(text, ranks, least_cost)
+                base, added, costs = find_spans(text, ranks, least_cost, lengths)
                 for kind in range(3):
                     out[_OUT[kind][0]].append(sum(k == kind for _, k, _ in base))
                 out["base_sha256"].append(hashlib.sha256(_listed(base).encode()).hexdigest())
