@@ -44,31 +44,43 @@ c AS (
     CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
     length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS upper,
-    len(list_distinct(w)) AS n_distinct, len(lines) AS n_lines,
+    list_filter(list_transform(range((len(w) + 99) // 100), lambda k: w[k * 100 + 1 : k * 100 + 100]), lambda x: len(x) >= 50) AS stretches,
+    len(lines) AS n_lines,
     len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…»”"'')]\s*$'))) AS n_ended
   FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+), h AS (
+  SELECT *, coalesce(list_sum(list_transform(stretches, lambda x: len(x))), 0) AS judged,
+    coalesce(list_sum(list_transform(stretches, lambda x: len(list_distinct(x)))), 0) AS fresh FROM c
 ), v AS MATERIALIZED (
   SELECT *, [
-    CASE WHEN n_symbols * 20 > n_words THEN -1 ELSE 0 END,
-    CASE WHEN letters * 100 < word_chars * 88 THEN -1 ELSE 0 END,
-    CASE WHEN upper * 10 > letters * 3 THEN -1 ELSE 0 END,
-    CASE WHEN n_words BETWEEN 50 AND 5000 AND n_distinct * 100 < n_words * 45 THEN -1 ELSE 0 END,
-    CASE WHEN n_repeat_words * 100 > n_words * 20 THEN -1 ELSE 0 END,
-    CASE WHEN n_lines >= 4 AND n_dup_lines * 10 > n_lines * 4 THEN -1 ELSE 0 END,
-    CASE WHEN n_lines >= 2 AND n_ended * 100 < n_lines * 50 THEN -1 ELSE 0 END,
-    CASE WHEN word_chars * 10 < n_words * 22 OR word_chars > n_words * 12 THEN -1 WHEN letters * 100 > word_chars * 94 AND upper * 10 < letters AND n_ended * 100 >= n_lines * 85 THEN 1 ELSE 0 END
-  ] AS votes FROM c
+    CASE WHEN n_words = 0 THEN 0 WHEN n_symbols * 20 > n_words THEN -1 WHEN n_symbols * 100 <= n_words THEN 1 ELSE 0 END,
+    CASE WHEN n_words = 0 THEN 0 WHEN letters * 100 < word_chars * 88 THEN -1 WHEN letters * 100 >= word_chars * 94 THEN 1 ELSE 0 END,
+    CASE WHEN letters = 0 THEN 0 WHEN upper * 10 > letters * 3 THEN -1 WHEN upper * 10 < letters THEN 1 ELSE 0 END,
+    CASE WHEN judged = 0 THEN 0 WHEN fresh * 100 < judged * 45 THEN -1 WHEN fresh * 100 >= judged * 60 THEN 1 ELSE 0 END,
+    CASE WHEN n_words < 50 THEN 0 WHEN n_repeat_words * 100 > n_words * 20 THEN -1 WHEN n_repeat_words * 100 <= n_words * 2 THEN 1 ELSE 0 END,
+    CASE WHEN n_lines < 4 THEN 0 WHEN n_dup_lines * 10 > n_lines * 4 THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END,
+    CASE WHEN n_lines < 2 THEN 0 WHEN n_ended * 100 < n_lines * 50 THEN -1 WHEN n_ended * 100 >= n_lines * 85 THEN 1 ELSE 0 END,
+    CASE WHEN n_words = 0 THEN 0 WHEN word_chars * 10 < n_words * 22 OR word_chars > n_words * 12 THEN -1 WHEN word_chars >= n_words * 3 AND word_chars <= n_words * 8 THEN 1 ELSE 0 END
+  ] AS votes FROM h
 ), p AS MATERIALIZED (SELECT list({'v': votes, 'n': n} ORDER BY votes) AS ps FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY votes)),
 e AS (
-  SELECT 0 AS k, 0.8::DOUBLE AS prior, list_transform(range(8), lambda j: 0.8::DOUBLE) AS acc
+  SELECT 0 AS k, 0.8::DOUBLE AS prior, list_transform(range(8), lambda j: 0.999::DOUBLE) AS good, list_transform(range(8), lambda j: 0.9::DOUBLE) AS bad
   UNION ALL
-  SELECT k + 1, greatest(0.05, least(0.8, (list_sum(list_transform(post, lambda x: x.n * x.q)) + 1.6) / (list_sum(list_transform(post, lambda x: x.n)) + 2))),
-    list_transform(range(8), lambda j: greatest(0.75, least(0.99,
-      (list_sum(list_transform(post, lambda x: CASE WHEN x.v[j + 1] > 0 THEN x.n * x.q WHEN x.v[j + 1] < 0 THEN x.n * (1 - x.q) ELSE 0 END)) + 1.6)
-      / (list_sum(list_transform(post, lambda x: CASE WHEN x.v[j + 1] <> 0 THEN x.n ELSE 0 END)) + 2))))
-  FROM (SELECT k, list_transform(ps, lambda x: {'v': x.v, 'n': x.n, 'q': 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(8), lambda j: x.v[j + 1] * ln(acc[j + 1] / (1 - acc[j + 1])))))))}) AS post FROM e, p WHERE k < 40)
-), m AS (SELECT prior, acc FROM e WHERE k = 40),
-q AS (SELECT v.*, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(8), lambda j: votes[j + 1] * ln(acc[j + 1] / (1 - acc[j + 1]))))))) AS p_good,
+  SELECT k + 1, (list_sum(list_transform(post, lambda x: x.n * x.q)) + 1.6) / (list_sum(list_transform(post, lambda x: x.n)) + 2),
+    list_transform(gs, lambda x: (x.passed + (x.given * 0.003 + 4) / 2) / (x.given + x.given * 0.003 + 4)),
+    list_transform(bs, lambda x: (x.passed + (x.given * 0.003 + 4) / 2) / (x.given + x.given * 0.003 + 4))
+  FROM (SELECT k, post,
+    list_transform(range(8), lambda j: {
+      'given': list_sum(list_transform(post, lambda x: CASE WHEN x.v[j + 1] <> 0 THEN x.n * x.q ELSE 0 END)),
+      'passed': list_sum(list_transform(post, lambda x: CASE WHEN x.v[j + 1] > 0 THEN x.n * x.q ELSE 0 END))}) AS gs,
+    list_transform(range(8), lambda j: {
+      'given': list_sum(list_transform(post, lambda x: CASE WHEN x.v[j + 1] <> 0 THEN x.n * (1 - x.q) ELSE 0 END)),
+      'passed': list_sum(list_transform(post, lambda x: CASE WHEN x.v[j + 1] > 0 THEN x.n * (1 - x.q) ELSE 0 END))}) AS bs
+  FROM (SELECT k, list_transform(ps, lambda x: {'v': x.v, 'n': x.n, 'q': 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(8), lambda j:
+      CASE WHEN x.v[j + 1] > 0 THEN ln(good[j + 1] / bad[j + 1]) WHEN x.v[j + 1] < 0 THEN ln((1 - good[j + 1]) / (1 - bad[j + 1])) ELSE 0 END)))))}) AS post FROM e, p WHERE k < 40))
+), m AS (SELECT prior, good, bad FROM e WHERE k = 40),
+q AS (SELECT v.*, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(8), lambda j:
+      CASE WHEN votes[j + 1] > 0 THEN ln(good[j + 1] / bad[j + 1]) WHEN votes[j + 1] < 0 THEN ln((1 - good[j + 1]) / (1 - bad[j + 1])) ELSE 0 END))))) AS p_good,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v, m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, round(p_good, 6) AS p_good FROM q
 """
