@@ -30,7 +30,7 @@ def scan(model, text, n):
         begin = max(0, i * n - around)
         chunks.append((whole[begin : begin + n + (2 if i else 1) * around].replace(" ", pieces.SPACE), lo, lo + min(n, len(whole) - i * n), (i + 1) * n >= len(whole)))
     rows = [pieces._matrix(model, *c) for c in chunks]
-    states = pieces._combine(pd.DataFrame({"key": "k", "idx": range(count), "a": [[x for x, _ in r] for r in rows], "b": [[y for _, y in r] for r in rows]}))
+    states = pieces._combine(pd.DataFrame({"key": "k", "idx": range(count), "a": [[x for x, _ in r] for r in rows], "b": [[y for _, y in r] for r in rows], "enter": pieces.START, "leave": pieces.END}))
     return [i for c, a, b in zip(chunks, states["state_in"], states["state_out"], strict=True) for i in pieces._trace(model, *c, a, b)]
 
 
@@ -56,3 +56,16 @@ def test_round_trip(edge_docs, edge_rows):
     assert len(rows) == len(edge_rows) and all(r["round_trip"] for r in rows)
     decoded = pieces.decode(pieces.encode(edge_docs, PATH, out_col="coded"), PATH, "coded").collect()
     assert all(r["decoded"] == (r["text"] or "") for r in decoded)
+
+
+def test_tree_of_products_equals_the_library(spark, library):
+    """Many chunks, so that products go through several levels."""
+    random.seed(8)
+    texts = ["".join(random.choices(["the", "tion", " ", "é", "xx", "\n", "ing "], k=n)) for n in (60, 300, 2500)] + ["ab" * 3000, " " * 700]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, chunk_chars=64, fan=3).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {k: library.encode(t) for k, t in enumerate(texts)}
+
+
+def test_long_units_are_not_remembered(model):
+    model.encode("x" * 5000 + " short")
+    assert all(len(k) <= 64 for k in model.unit)

@@ -7,8 +7,9 @@ A giant text is split into chunks at fixed places. Its encoding is the path thro
 two neighbours, taken together, encode to just these two; such a step weighs 0, any other minus infinity, and the one
 finite path is the library's result. The state at a cut is the piece that crosses or ends at it. Each chunk yields the
 matrix of states at its first cut by states at its last (finite entries only; a chunk with a unit's start in it has rank
-one). The matrices of a document are combined in the max-plus algebra, which names the state at each cut, and then every
-chunk is traced back on its own.
+one). Max-plus products are associative: matrices of up to FAN neighbours are multiplied in one task, the products again,
+until one matrix stands for the document; then the states at the cuts are chosen back down the tree, and every chunk is
+traced on its own.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmere.llm.text import shared_checkpoint
+from voxmere.llm.text import cut_chunks, shared_checkpoint
 from voxmere.llm.tokens import Remembered, units
 
 SPACE = "▁"
@@ -31,6 +32,7 @@ LONGEST = 16
 AROUND = 2 * LONGEST
 START = END = 0
 ROWS = 256
+FAN = 64
 
 
 class Model:
@@ -183,14 +185,31 @@ def _matrices(path: str):
     return run
 
 
+def _relations(entries: pd.DataFrame) -> list[set[tuple[int, int]]]:
+    return [set(zip(a, b, strict=True)) for a, b in zip(entries["a"], entries["b"], strict=True)]
+
+
+def _product(entries: pd.DataFrame, fan: int) -> pd.DataFrame:
+    """The max-plus product of neighbouring matrices: which states at the first cut lead to which at the last."""
+    entries = entries.sort_values("idx")
+    first, *rest = _relations(entries)
+    for pairs in rest:
+        onward: dict[int, list[int]] = {}
+        for x, y in pairs:
+            onward.setdefault(x, []).append(y)
+        first = {(x, z) for x, y in first for z in onward.get(y, ())}
+    found = sorted(first)
+    return pd.DataFrame({"key": [entries["key"].iloc[0]], "idx": [int(entries["idx"].iloc[0]) // fan], "a": [[x for x, _ in found]], "b": [[y for _, y in found]]})
+
+
 def _combine(entries: pd.DataFrame) -> pd.DataFrame:
-    """The states on the finite path of one document: products from the left, then choices from the right."""
+    """The states on the finite path through neighbouring matrices from state `enter` to state `leave`."""
     entries = entries.sort_values("idx")
-    rows = [set(zip(a, b, strict=True)) for a, b in zip(entries["a"], entries["b"], strict=True)]
-    reached = [{START}]
+    rows = _relations(entries)
+    reached = [{int(entries["enter"].iloc[0])}]
     for pairs in rows:
         reached.append({y for x, y in pairs if x in reached[-1]})
-    state, chosen = END, []
+    state, chosen = int(entries["leave"].iloc[0]), []
     for k in range(len(rows) - 1, -1, -1):
         before = min(x for x, y in rows[k] if y == state and x in reached[k])
         chosen.append((before, state))
@@ -199,6 +218,25 @@ def _combine(entries: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": entries["key"], "idx": entries["idx"], "state_in": [x for x, _ in chosen], "state_out": [y for _, y in chosen]})
 
 
+_MATRIX_DDL = "key string, idx long, a array<int>, b array<int>"
+
+
+def _states(matrices: DataFrame, fan: int) -> DataFrame:
+    """(key, idx, state_in, state_out) of every chunk: products up a tree of groups of `fan`, choices back down."""
+    levels, group = [shared_checkpoint(matrices)], F.floor(F.col("idx") / fan).alias("group")
+    while levels[-1].filter(F.col("idx") >= fan).limit(1).count():
+        levels.append(shared_checkpoint(levels[-1].groupBy("key", group).applyInPandas(lambda entries: _product(entries, fan), _MATRIX_DDL)))
+    states = None
+    for level in reversed(levels):
+        below = level.withColumn("up", F.floor(F.col("idx") / fan))
+        if states is None:
+            below = below.withColumns({"enter": F.lit(START), "leave": F.lit(END)})
+        else:
+            below = below.join(states.select("key", F.col("idx").alias("up"), F.col("state_in").alias("enter"), F.col("state_out").alias("leave")), ["key", "up"])
+        states = below.groupBy("key", "up").applyInPandas(lambda entries: _combine(entries), "key string, idx long, state_in int, state_out int")
+    return states
+
+
 def _traces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(path)
@@ -227,33 +265,33 @@ def _encode_short(path: str):
     return run
 
 
-def _encode_long(huge: DataFrame, path: str, chunk_chars: int) -> DataFrame:
+def _encode_long(huge: DataFrame, path: str, chunk_chars: int, fan: int) -> DataFrame:
     n = chunk_chars
     marked = huge.select("key", F.concat(F.lit(" "), F.replace(F.col("text"), F.lit(SPACE), F.lit(" "))).alias("text"))
-    chunks = marked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length(text) - 1) div {n}"))).alias("idx"), "text").select(
+    chunks = cut_chunks(marked, n, AROUND, AROUND).select(
         "key",
         "idx",
         F.expr(f"if(idx = 0, 0L, {AROUND}L)").alias("lo"),
-        F.expr(f"if(idx = 0, 0L, {AROUND}L) + least({n}L, length(text) - idx * {n})").alias("hi"),
-        F.expr(f"(idx + 1) * {n} >= length(text)").alias("last"),
-        F.expr(f"substring(text, cast(greatest(0, idx * {n} - {AROUND}) + 1 as int), cast({n} + if(idx = 0, 1, 2) * {AROUND} as int))").alias("text"),
+        F.expr(f"if(idx = 0, 0L, {AROUND}L) + least({n}L, total - idx * {n})").alias("hi"),
+        F.expr(f"(idx + 1) * {n} >= total").alias("last"),
+        "text",
     )
-    spread = chunks.repartition(F.col("key"), F.col("idx"))
-    states = spread.mapInArrow(_matrices(path), "key string, idx long, a array<int>, b array<int>").groupBy("key").applyInPandas(_combine, "key string, idx long, state_in int, state_out int")
+    chunks = shared_checkpoint(chunks)
+    states = _states(chunks.mapInArrow(_matrices(path), _MATRIX_DDL), fan)
     traced = chunks.join(states, ["key", "idx"]).select(*chunks.columns, "state_in", "state_out").mapInArrow(_traces(path), "key string, idx long, ids array<int>")
     return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def _long_ids(rows: DataFrame, path: str, chunk_chars: int) -> DataFrame | None:
+def _long_ids(rows: DataFrame, path: str, chunk_chars: int, fan: int = FAN) -> DataFrame | None:
     """(row, ids) of the rows (row struct, text) with more than chunk_chars characters; None if there are none."""
     long = shared_checkpoint(rows.filter(F.length("text") > chunk_chars).withColumn("key", F.sha2("text", 256)))
     if long.isEmpty():
         return None
-    ids = _encode_long(long.select("key", "text").dropDuplicates(["key"]), path, chunk_chars)
+    ids = _encode_long(long.select("key", "text").dropDuplicates(["key"]), path, chunk_chars, fan)
     return long.join(ids, "key").select("row", "text", "ids")
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", chunk_chars: int = 1 << 16) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", chunk_chars: int = 1 << 16, fan: int = FAN) -> DataFrame:
     """docs with the library's ids of each whole text in out_col (array of int, empty for a null or empty text).
 
     Rows, their other columns and repeated rows are kept as they are; an older column named out_col is replaced. Texts
@@ -263,7 +301,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
     packed = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
     short = packed.filter(F.length("text") <= chunk_chars).mapInArrow(_encode_short(path), f"row {kind}, ids array<int>")
-    long = _long_ids(packed, path, chunk_chars)
+    long = _long_ids(packed, path, chunk_chars, fan)
     out = short if long is None else short.unionByName(long.select("row", "ids"))
     return out.select("row.*", F.col("ids").alias(out_col))
 

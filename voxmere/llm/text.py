@@ -99,3 +99,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         at += 8
         more = more[left[more] > at]
     return h
+
+
+def cut_chunks(texts: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """(key, idx, total, text) from rows (key, text): the stretches of `size` characters of each text, numbered from 0, with
+    `before` characters ahead of them and `after` behind, and the whole length. A text is read once, whatever its length."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, text = batch.column(0).slice(row, 1), batch.column(1)[row].as_py()
+                for idx in range((len(text) - 1) // size + 1):
+                    part = text[max(0, idx * size - before) : (idx + 1) * size + after]
+                    yield pa.RecordBatch.from_arrays([key, pa.array([idx], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([part], pa.string())], ["key", "idx", "total", "text"])
+
+    return texts.select("key", "text").mapInArrow(cut, "key string, idx long, total long, text string").repartition(F.col("key"), F.col("idx"))

@@ -6,8 +6,9 @@ stands around it: it is a proven boundary, and the texts between such places enc
 
 Texts up to chunk_chars are counted as sums over such units, each encoded by the library and remembered. Longer ones are
 dealt to the cluster in overlapping chunks, each encoded with offsets; neighbours are spliced at the first boundary that
-is proven and starts a token in both encodings. Where an overlap holds none it is widened eightfold, and at last the
-text is encoded whole.
+is proven and starts a token in both encodings. For splices more boundaries are proven: any white space behind another
+character, and where letters, digits and signs meet, but for a letter behind a sign, which may be a contraction. Where an
+overlap holds none it is widened eightfold, and at last the text is encoded whole.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmere.llm.text import shared_checkpoint
+from voxmere.llm.text import cut_chunks, shared_checkpoint
 
 _UNSAFE = re.compile(r"\s ")
 _UNITS = re.compile(r"(?<=\S)(?= )")
-_PROVEN = re.compile(r"(?<=\S) ")
-REMEMBERED = 1 << 18
+_PROVEN = regex.compile(r"(?<=\S)(?=[ \t-\r])|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})")
+REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
 MARGIN = 32
 
 
@@ -39,16 +41,18 @@ def units(text: str) -> tuple[str, list[str]]:
 
 
 class Remembered(dict):
-    """Function values by argument, forgotten all at once when there are too many."""
+    """Function values by argument, those of long arguments not kept, all forgotten when there are too many."""
 
     def __init__(self, function):
         super().__init__()
         self.function = function
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if len(key) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -109,10 +113,8 @@ _CHUNK_DDL = "key string, idx long, n long, head_at array<long>, head_k array<lo
 
 def _count_long(huge: DataFrame, path: str, chunk_chars: int, overlap: int) -> DataFrame:
     """(key, n_tokens) of texts that are longer than a chunk; n_tokens is null where some overlap held no splice."""
-    chunks = huge.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length(text) - 1) div {chunk_chars}"))).alias("idx"), "text").select(
-        "key", "idx", (F.col("idx") * chunk_chars).alias("begin"), F.lit(chunk_chars).cast("long").alias("size"), F.expr(f"substring(text, cast(idx * {chunk_chars} + 1 as int), {chunk_chars + overlap})").alias("text")
-    )
-    coded = chunks.repartition(F.col("key"), F.col("idx")).mapInArrow(_encode_chunks(path, overlap), _CHUNK_DDL)
+    chunks = cut_chunks(huge, chunk_chars, 0, overlap).select("key", "idx", (F.col("idx") * chunk_chars).alias("begin"), F.lit(chunk_chars).cast("long").alias("size"), "text")
+    coded = chunks.mapInArrow(_encode_chunks(path, overlap), _CHUNK_DDL)
     order = Window.partitionBy("key").orderBy("idx")
     after = F.lead("head_at").over(order)
     spliced = coded.withColumn("next_at", after).withColumn("splice", F.array_min(F.array_intersect("tail_at", "next_at")))
