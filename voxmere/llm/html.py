@@ -1,10 +1,16 @@
-"""HTML extraction with wrappers inferred for each host.
-
-A page becomes a stream of tags and texts, and that a nested expression in which equal neighbours are one repeated group.
-The expressions of a host are aligned pairwise: parts that only one side has become optional, parts that differ in number
-become repeated, texts are slots. The outcome, a union-free regular expression, is the host's wrapper. The
-article's path is the one with most article text on the host. Equal expressions are counted first, and a host's are merged in groups of bounded size,
-round by round, so no task holds all expressions of a host. Texts outside an article element that most pages of a host share are its template.
+"""HTML extraction through wrappers inferred for each host.
+
+A page becomes a stream of tags and texts, and that an expression in which, among the parts of an element, all from the
+first to the last of a name form one repeated group. The expressions of a host are aligned pairwise: parts that only one
+side has become optional, parts that come in another order or number become repeated groups, texts are slots. The
+outcome, a union-free regular expression, is the host's wrapper. Equal expressions are counted first, and a host's are
+merged in groups of bounded size, round by round, so no task holds all expressions of a host.
+
+Then every page is aligned with its host's wrapper, which says of each text which slot it fills. Over the different pages
+of a host, a text that fills one slot on more than half of the pages that have the slot is template; what varies is
+content. Slots in article or main elements are the article where pages have such elements; which of the two is learned
+from what the host's slots hold. Elsewhere the article is what varies and isn't mostly links. Elements and names that say
+of themselves that they hold something else (menus, adverts, comments) are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +18,11 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+import sys
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +32,8 @@ from pyspark.sql import functions as F
 
 from voxmere.llm.text import shared_checkpoint
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.DOTALL)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>=]|=)*+)>|<[!?][^>]*>""", re.DOTALL)
+UNENDED = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 # Elements by what HTML says of them, and names that sites give to what isn't the article.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
@@ -35,38 +46,50 @@ CLOSES_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside"
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROOTS = ("article", "main")
 WHOLE = {"html", "body", *ROOTS}
-DIGITS = re.compile("[0-9]+")
+NUMBERED = re.compile("[A-Za-z]*[0-9][A-Za-z0-9]*")
 STATES = re.compile(r"(?:has|with|without|no|not|is)[-_]")
+PLAIN, MAIN, ARTICLE = 0, 1, 2
 
 
 class Node:
     """An element: its name for alignment, whether it is left out, and its children, elements and texts."""
 
-    __slots__ = ("name", "key", "skip", "children")
+    __slots__ = ("name", "key", "skip", "children", "inside")
 
     def __init__(self, name: str, attributes: str = "", inside: bool = False):
-        given = {m[1].lower(): next(x for x in m.groups()[1:] if x is not None) for m in ATTRIBUTE.finditer(attributes)}
+        given = {m[1].lower(): next(x for x in m.groups()[1:] if x is not None) for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         said = {x for g in given.values() for token in g.lower().split() if not STATES.match(token) for x in re.split(r"[^a-z]+", token)} if name not in WHOLE or inside else set()
         self.name = name
         label = (given.get("class") or given.get("id") or given.get("role") or "").split()
-        self.key = f"{name}.{DIGITS.sub('0', label[0])}".replace("/", "-") if label else name
         self.skip = name in SKIPPED or bool(said & HINTS) or not inside and (name in HEADERS or bool(said & HEADERS))
+        self.key = ("!" if self.skip else "") + (f"{name}.{NUMBERED.sub('0', label[0])}" if label else name)
+        self.inside = inside or name in ROOTS
         self.children: list[Node | str] = []
 
 
 def parse(text: str) -> Node:
-    """Element tree of a page; unclosed, unopened and crossed tags are taken as browsers do, roughly."""
+    """Element tree of a page; unclosed, unopened and crossed tags are taken as browsers do, roughly.
+
+    How many elements of a name are open is counted, so that a tag that closes nothing isn't searched for. A tag or comment
+    that the page ends in is left out.
+    """
     top = Node("#")
-    stack, at, end = [top], 0, len(text)
+    stack, at, end, opened = [top], 0, len(text), Counter()
 
     def add(piece: str) -> None:
         if piece:
             stack[-1].children.append(html_lib.unescape(piece))
 
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.name] -= 1
+        del stack[k:]
+
+    last = text.rfind(">")
     while at < end:
-        m = TOKEN.search(text, at)
+        m = TOKEN.search(text, at) if at <= last else None
         if m is None:
-            add(text[at:])
+            add(UNENDED.split(text[at:], maxsplit=1)[0])
             break
         add(text[at : m.start()])
         at = m.end()
@@ -74,184 +97,237 @@ def parse(text: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].name not in INLINE:
                     break
-        if name in SIBLINGS:
+        if name in SIBLINGS and any(opened[x] for x in SIBLINGS[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in SIBLINGS[name]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].name in ("ul", "ol", "dl", "table", "select"):
                     break
-        node = Node(name, m[3], any(x.name in ROOTS for x in stack))
+        node = Node(name, m[3], stack[-1].inside)
         stack[-1].children.append(node)
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(text, at)
-            at = close.end() if close else end
+            found = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(text, at)
+            at = found.end() if found else end
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[name] += 1
     return top
 
 
-def blocks(node: Node, out: list[str] | None = None, line: list[str] | None = None) -> list[str]:
-    """Texts of the block elements in page order, white space inside each as one space, empty ones left out."""
-    top = out is None
-    out, line = ([], []) if out is None else (out, line)
+# An expression: [key, least, most, group, parts]. most is 1 or 2 (many); the parts of one element have different keys, and
+# neighbours of one group number (not 0) are a repeated group, each part of it optional. The key # is a text slot.
+def _rising(places: list[int]) -> list[int]:
+    """Which of the places form a longest rising run."""
+    tops: list[int] = []
+    piles: list[int] = []
+    before = [-1] * len(places)
+    for k, place in enumerate(places):
+        at = bisect_left(tops, place)
+        before[k] = piles[at - 1] if at else -1
+        tops[at : at + 1], piles[at : at + 1] = [place], [k]
+    out, k = [], piles[-1] if piles else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def _grouped(parts: list, spans: list[tuple[str, str]] = ()) -> list:
+    """parts with each key once: all from the first to the last of a key, and of each span of keys, are a repeated group."""
+    first, last = {}, {}
+    for k, part in enumerate(parts):
+        first.setdefault(part[0], k)
+        last[part[0]] = k
+    ends = {}
+    for a, b in [*((x, x) for x in first), *spans]:
+        ends[first[a]] = max(ends.get(first[a], 0), last[b])
+    out: list = []
+    at = group = 0
+    while at < len(parts):
+        end, k = ends.get(at, at), at
+        while k <= end:
+            end = max(end, ends.get(k, k))
+            k += 1
+        held: dict[str, list] = {}
+        for part in parts[at : end + 1]:
+            held[part[0]] = merge(held[part[0]], part, True) if part[0] in held else [*part[:3], 0, part[4]]
+        if len(held) > 1:
+            group += 1
+            for part in held.values():
+                part[1], part[3] = 0, group
+        out += held.values()
+        at = end + 1
+    return out
+
+
+def merge(a: list, b: list, both: bool = False) -> list:
+    """The expression for what either of two with the same key matches, or for both one after the other."""
+    return [a[0], min(a[1], b[1]), 2 if both else max(a[2], b[2]), 0, align(a[4], b[4])]
+
+
+def _spans(parts: list) -> list[tuple[str, str]]:
+    """(first key, last key) of each repeated group."""
+    ends: dict[int, list[str]] = {}
+    for part in parts:
+        if part[3]:
+            ends.setdefault(part[3], []).append(part[0])
+    return [(keys[0], keys[-1]) for keys in ends.values()]
+
+
+def align(a: list, b: list) -> list:
+    """Alignment of two lists of parts by their longest common part; what only one has becomes optional, and what stands in
+    another order becomes a repeated group."""
+    if not a and not b:
+        return []
+    there = {part[0]: k for k, part in enumerate(b)}
+    common = [k for k, part in enumerate(a) if part[0] in there]
+    pins = [(common[k], there[a[common[k]][0]]) for k in _rising([there[a[k][0]] for k in common])]
+    lone = lambda part: [part[0], 0, part[2], 0, part[4]]
+    out, i, j = [], 0, 0
+    for p, q in [*pins, (len(a), len(b))]:
+        out += map(lone, a[i:p])
+        out += map(lone, b[j:q])
+        if p < len(a):
+            out.append(merge(a[p], b[q]))
+        i, j = p + 1, q + 1
+    spans = _spans(a) + _spans(b)
+    return out if len(out) == len({part[0] for part in out}) and not spans else _grouped(out, spans)
+
+
+def _flat(node: Node) -> Iterator[Node | str]:
+    """Texts and block elements directly inside an element, through inline elements."""
+    todo = list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x.name not in INLINE:
+            yield x
+        elif not x.skip:
+            todo.extend(reversed(x.children))
+
+
+def expression(top: Node) -> list:
+    """The expression of an element, however deep; elements that are left out are parts without parts."""
+    order, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        within = [] if node.skip and node is not top else [x for x in _flat(node) if not isinstance(x, str) or x.strip()]
+        order.append((node, within))
+        todo += [x for x in within if not isinstance(x, str)]
+    made: dict[int, list] = {}
+    for node, within in reversed(order):
+        parts = [["#", 1, 1, 0, []] if isinstance(x, str) else made.pop(id(x)) for x in within]
+        joined = [x for k, x in enumerate(parts) if x[0] != "#" or not k or parts[k - 1][0] != "#"]
+        made[id(node)] = [node.key, 1, 1, 0, _grouped(joined)]
+    return made[id(top)]
+
+
+def dump(whole: list) -> str:
+    """An expression as JSON, a row (depth, key, least, most, group) for each part, the outer before the inner."""
+    rows, todo = [], [(whole, 0)]
+    while todo:
+        part, depth = todo.pop()
+        rows.append([depth, *part[:4]])
+        todo.extend((x, depth + 1) for x in reversed(part[4]))
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def load(text: str) -> list:
+    """The expression that dump has written."""
+    path: list[list] = []
+    for depth, *part in json.loads(text):
+        part.append([])
+        del path[depth:]
+        if path:
+            path[-1][4].append(part)
+        path.append(part)
+    return path[0]
+
+
+class Slots:
+    """A host's wrapper as a tree of numbered slots, with what is known of them."""
+
+    def __init__(self, info: str):
+        known = json.loads(info)
+        self.tree: dict = {"at": 0, "in": {}}
+        path: list[dict] = []
+        for k, (depth, key, *_) in enumerate(json.loads(known["wrapper"])):
+            here = {"at": k, "in": {}} if k else self.tree
+            del path[depth:]
+            if path:
+                path[-1]["in"][key] = here
+            path.append(here)
+        self.main = bool(known.get("main"))
+        self.links = set(known.get("links") or ())
+        self.template = {(x["slot"], x["text"]) for x in known.get("template") or ()}
+
+
+_slots = lru_cache(maxsize=64)(Slots)
+Block = tuple[str, int, int, int]
+
+
+def blocks(top: Node, tree: dict | None = None) -> list[Block]:
+    """(text, characters in links, slot, area) of the block elements in page order, white space inside each as one space,
+    empty ones left out. The slot is where the element lies in the wrapper, -1 if it has no place there."""
+    out: list[Block] = []
+    line: list[str] = []
+    links, place = 0, (-1, PLAIN)
 
     def flush() -> None:
+        nonlocal links
         found = " ".join("".join(line).split())
         line.clear()
         if found:
-            out.append(found)
+            out.append((found, min(links, len(found)), *place))
+        links = 0
 
-    todo: list = [node]
+    todo: list = [(top, tree, PLAIN, False)]
     while todo:
-        x = todo.pop()
-        if x is None:
-            flush()
-        elif isinstance(x, str):
+        x, here, area, linked = todo.pop()
+        if isinstance(x, str):
+            place = (here["at"] if here else -1, area)
             line.append(x)
-        elif x.skip and x is not node:
+            links += len(x.strip()) if linked else 0
+        elif x is None:
+            flush()
+        elif x.skip and x is not top:
             line.append(" ")
         else:
             if x.name not in INLINE:
                 flush()
-                todo.append(None)
+                todo.append((None, None, area, False))
+                if x is not top:
+                    here = here and here["in"].get(x.key)
+                if not (area == ARTICLE or x.name not in ROOTS):
+                    area = ARTICLE if x.name == "article" else MAIN
             elif x.name == "br":
                 line.append(" ")
-            todo.extend(reversed(x.children))
-    if top:
-        flush()
+            linked = linked or x.name == "a"
+            todo.extend((c, here, area, linked) for c in reversed(x.children))
+    flush()
     return out
 
 
-# An expression: [key, least, most, parts]; most is 1 or 2 (many). The key # is a text slot.
-def _squeeze(parts: list) -> list:
-    """Equal neighbours (runs of one, two or three parts) as repeated groups."""
-    for period in (1, 2, 3):
-        out: list = []
-        for part in parts:
-            out.append(part)
-            while len(out) >= 2 * period and [x[0] for x in out[-period:]] == [x[0] for x in out[-2 * period : -period]]:
-                tail = out[-period:]
-                del out[-period:]
-                for k in range(period):
-                    merged = merge(out[k - period], tail[k])
-                    merged[2] = 2
-                    out[k - period] = merged
-        parts = out
-    return parts
-
-
-def merge(a: list, b: list) -> list:
-    """The expression for what either of two with the same key matches."""
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), align(a[3], b[3])]
-
-
-def align(a: list, b: list) -> list:
-    """Alignment of two sequences by their longest common part; what only one has becomes optional."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], 0, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], 0, *b[j][2:]])
-            j += 1
-    return _squeeze(out)
-
-
-DEPTH = 40
-
-
-def expression(node: Node, depth: int = 0) -> list:
-    """The expression of one element; parts below DEPTH levels are left as a slot."""
-    parts: list = []
-    if depth < DEPTH:
-        for x in node.children:
-            if isinstance(x, str):
-                if x.strip() and (not parts or parts[-1][0] != "#"):
-                    parts.append(["#", 1, 1, []])
-            elif x.name not in INLINE:
-                parts.append(expression(x, depth + 1))
-    return [node.key, 1, 1, _squeeze(parts)]
-
-
-def _root(top: Node) -> tuple[str, list[Node], bool]:
-    """(path, elements, sure) of the article: article elements, else main, else the deepest with most of the text."""
-    for name in ROOTS:
-        found, todo = [], [(top, "")]
-        while todo:
-            node, path = todo.pop()
-            for x in reversed(node.children):
-                if isinstance(x, Node) and not x.skip:
-                    if x.name == name:
-                        found.append((x, f"{path}/{x.key}"))
-                    else:
-                        todo.append((x, f"{path}/{x.key}"))
-        if found:
-            return found[0][1], [x for x, _ in found[::1]], True
-    node, path = top, ""
-    total = sum(map(len, blocks(top)))
-    while total:
-        inner = [(sum(map(len, blocks(x))), x) for x in node.children if isinstance(x, Node) and not x.skip and x.name not in INLINE]
-        most = max(inner, key=lambda p: p[0], default=(0, None))
-        if most[0] * 10 < total * 7 or most[1].name in ("p", "li", "td"):
-            break
-        node, path = most[1], f"{path}/{most[1].key}"
-    return path, [node], False
-
-
-def _at(top: Node, path: str) -> list[Node]:
-    """Elements at a path, in page order."""
-    found = [top]
-    for key in path.split("/")[1:]:
-        found = [x for node in found for x in node.children if isinstance(x, Node) and x.key == key]
-    return found
-
-
-def _in_order(top: Node, nodes: list[Node]) -> list[Node]:
-    wanted, out, todo = {id(n) for n in nodes}, [], [top]
-    while todo:
-        x = todo.pop()
-        if id(x) in wanted:
-            out.append(x)
-        else:
-            todo.extend(y for y in reversed(x.children) if isinstance(y, Node))
-    return out
+def _deep() -> None:
+    """Let merging follow nested elements as deep as pages nest them."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each page with its expression and article path; where no element says which, one for each text too."""
+    _deep()
     for batch in batches:
-        rows = []
-        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            top = parse(text)
-            path, nodes, sure = _root(top)
-            rows.append((host, json.dumps(expression(top), separators=(",", ":")), path, sure, sum(len(b) for n in nodes for b in blocks(n)), None))
-            if not sure:
-                rows += [(host, None, None, False, 0, h) for h in {xxhash.xxh64_intdigest(b) >> 1 for n in nodes for b in blocks(n)}]
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "shape", "path", "sure", "chars", "text_hash"])
+        shapes = [dump(expression(parse(text))) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], ["host", "shape"])
 
 
 FOLD = 64
@@ -259,12 +335,13 @@ FOLD = 64
 
 def _fold(frame: pd.DataFrame) -> pd.DataFrame:
     """One expression for all of a group's, most frequent first."""
+    _deep()
     frame = frame.sort_values(["n", "shape"], ascending=[False, True])
     whole = None
     for shape in frame["shape"]:
-        part = json.loads(shape)
+        part = load(shape)
         whole = part if whole is None else merge(whole, part)
-    return pd.DataFrame({"host": [frame["host"].iloc[0]], "shape": [json.dumps(whole, separators=(",", ":"))], "n": [int(frame["n"].sum())]})
+    return pd.DataFrame({"host": [frame["host"].iloc[0]], "shape": [dump(whole)], "n": [int(frame["n"].sum())]})
 
 
 def _fold_hosts(shapes: DataFrame) -> DataFrame:
@@ -284,49 +361,103 @@ def _host(url):
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, path, template, pages): for each host its expression as JSON, the article's path, and the hashes of
-    texts outside article elements that half of its pages, three at least, share."""
+    """(host, wrapper, pages): for each host its expression as JSON (see dump) and its number of pages."""
     named = pages.select(_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    found = shared_checkpoint(named.mapInArrow(_survey, "host string, shape string, path string, sure boolean, chars long, text_hash long"))
-    shaped = found.filter("shape is not null")
+    shaped = named.mapInArrow(_survey, "host string, shape string")
     whole = _fold_hosts(shaped.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")))
-    weighed = shaped.groupBy("host", "path", "sure").agg(F.sum("chars").alias("chars"))
-    whole = whole.join(weighed.groupBy("host").agg(F.max_by("path", F.struct("sure", "chars", "path")).alias("path")), "host")
-    shared = found.filter("text_hash is not null").groupBy("host", "text_hash").agg(F.count(F.lit(1)).alias("m"))
-    shared = shared.join(whole.select("host", "n"), "host").filter("m >= 3 and 2 * m > n").groupBy("host").agg(F.collect_list("text_hash").alias("template"))
-    out = whole.join(shared, "host", "left")
-    return shared_checkpoint(out.select("host", F.col("shape").alias("wrapper"), "path", F.coalesce("template", F.array().cast("array<long>")).alias("template"), F.col("n").alias("pages")))
+    return shared_checkpoint(whole.select("host", F.col("shape").alias("wrapper"), F.col("n").alias("pages")))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, path, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-            top = parse(text)
-            _, nodes, sure = _root(top)
-            if not sure and path:
-                nodes = _at(top, path) or nodes
-            found = [b for n in _in_order(top, nodes) for b in blocks(n)]
-            if not sure and template:
-                known = set(template)
-                found = [b for b in found if xxhash.xxh64_intdigest(b) >> 1 not in known]
-            texts.append("\n".join(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+BROADCAST_BYTES = 16 << 20
+
+
+def _with_info(pages: DataFrame, infos: DataFrame, schema: str, use) -> DataFrame:
+    """use(batch, infos of its rows) over pages (first column: host), with rows (host, info) broadcast if they have
+    BROADCAST_BYTES at most, which is measured, and joined by host else."""
+    size = infos.agg(F.coalesce(F.sum(F.octet_length("info") + F.octet_length("host") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["info"] for r in infos.collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from use(batch, [shared.value[h] for h in batch.column(0).to_pylist()])
+
+        return pages.mapInArrow(run, schema)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from use(batch, batch.column(batch.num_columns - 1).to_pylist())
 
+    return pages.join(infos, "host").select(*pages.columns, "info").mapInArrow(joined, schema)
 
-BROADCAST_HOSTS = 20_000
+
+_FILLED = [("host", pa.string()), ("page", pa.int64()), ("slot", pa.int32()), ("area", pa.int32()), ("text", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]
+
+
+def _fill(batch: pa.RecordBatch, infos: list[str]) -> Iterator[pa.RecordBatch]:
+    """What each page's slots hold: a row for each text, or for each slot of an article element."""
+    rows = []
+    for host, text, info in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), infos, strict=True):
+        page, held = xxhash.xxh64_intdigest(text) >> 1, {}
+        for found, links, slot, area in blocks(parse(text), _slots(info).tree):
+            key = (slot, area, 0 if area == ARTICLE else xxhash.xxh64_intdigest(found) >> 1)
+            chars, linked = held.get(key, (0, 0))
+            held[key] = (chars + len(found), linked + links)
+        rows += [(host, page, *key, *sums) for key, sums in held.items()]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_FILLED)
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _FILLED, strict=True)], [n for n, _ in _FILLED])
+
+
+def learn_slots(pages: DataFrame, wrappers: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, info): of each host, as JSON, its wrapper, its template (texts that fill a slot on more than half of the
+    different pages that have it, three at least), the slots whose other texts are mostly links, and whether its main
+    elements hold more outside their article elements than in them."""
+    named = pages.select(_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    bare = wrappers.select("host", F.to_json(F.struct("wrapper")).alias("info"))
+    filled = shared_checkpoint(_with_info(named, bare, "host string, page long, slot int, area int, text long, chars long, links long", _fill))
+    spread = filled.select("host", "slot", "area", "page").distinct().groupBy("host", "slot", "area").agg(F.count(F.lit(1)).alias("pages"))
+    once = filled.groupBy("host", "slot", "area", "text", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
+    texts = once.groupBy("host", "slot", "area", "text").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    told = texts.join(spread, ["host", "slot", "area"])
+    told = shared_checkpoint(told.withColumn("fixed", (F.col("area") != ARTICLE) & (F.col("m") >= 3) & (F.col("m") * 2 > F.col("pages"))))
+    varying = told.filter("not fixed").groupBy("host", "slot", "area").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    by_host = varying.groupBy("host").agg(
+        F.sum(F.when(F.col("area") == MAIN, F.col("chars")).otherwise(0)).alias("in_main"),
+        F.sum(F.when(F.col("area") == ARTICLE, F.col("chars")).otherwise(0)).alias("in_article"),
+        F.collect_list(F.when((F.col("area") == PLAIN) & (F.col("links") * 2 > F.col("chars")), F.col("slot"))).alias("linky"),
+    )
+    fixed = told.filter("fixed").groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("template"))
+    whole = wrappers.join(by_host, "host", "left").join(fixed, "host", "left")
+    return shared_checkpoint(whole.select("host", F.to_json(F.struct("wrapper", (F.col("in_main") > F.col("in_article")).alias("main"), F.col("linky").alias("links"), "template")).alias("info")))
+
+
+def article(found: list[Block], slots: Slots) -> list[str]:
+    """The texts of a page that are its article, from the slots that they fill."""
+    by_area = {area: [b[0] for b in found if b[3] >= area] for area in (MAIN, ARTICLE)}
+    for area in (MAIN, ARTICLE) if slots.main else (ARTICLE, MAIN):
+        if by_area[area]:
+            return by_area[area]
+    told = [b for b in found if b[1] * 2 <= len(b[0]) and not (b[1] and b[2] in slots.links)]
+    return [b[0] for b in told if not slots.template or (b[2], xxhash.xxh64_intdigest(b[0]) >> 1) not in slots.template]
+
+
+def _extract(batch: pa.RecordBatch, infos: list[str]) -> Iterator[pa.RecordBatch]:
+    texts = []
+    for text, info in zip(batch.column(1).to_pylist(), infos, strict=True):
+        slots = _slots(info)
+        texts.append("\n".join(article(blocks(parse(text), slots.tree), slots)))
+    yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars), one row for each row of pages, from whole pages.
+    """(id, url, text, n_chars), one row for each row of pages, from whole pages of any length and depth.
 
-    A null html gives an empty text, a null url counts as host ''. Up to BROADCAST_HOSTS hosts, which are counted, the
-    article paths are broadcast; more are joined by host.
+    A null html gives an empty text, a null url counts as host ''. Null ids and repeated rows are kept as they are;
+    equal pages of a host count once when its template is learned. Other columns are not read. An empty table gives no
+    rows.
     """
-    wrappers = infer_wrappers(pages, url_col, html_col).select("host", "path", "template")
-    if wrappers.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        wrappers = F.broadcast(wrappers)
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", _host(F.col("url")))
+    infos = learn_slots(pages, infer_wrappers(pages, url_col, html_col), url_col, html_col)
+    base = pages.select(_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     kind = base.schema["id"].dataType.simpleString()
-    out = base.join(wrappers, "host", "left").select("id", "url", "html", "path", "template").mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")
+    out = _with_info(base, infos, f"id {kind}, url string, text string, n_chars long", _extract)
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
