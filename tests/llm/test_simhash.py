@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 
@@ -64,3 +66,48 @@ def test_rows_without_ids_are_kept_apart(spark):
     rows = [(None, "first text without an id"), (None, "second one about other things"), (None, "second one about other things"), (3, "first text without an id"), (4, None), (None, "")]
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(None, "second one about other things"), (3, "first text without an id"), (4, None)], key=str)
+
+
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def varied(r, words, share):
+    return " ".join(f"n{r.randrange(10**6)}" if r.random() < share else w for w in words)
+
+
+def test_keep_one_against_all_pairs(spark):
+    """Copies with words replaced: nearly all pairs of similarity over 0.85 go, none under 0.65."""
+    r = random.Random(2)
+    rows, near, apart, at = [], 0, 0, 0
+    for k in range(300):
+        words = [f"b{r.randrange(3000)}" for _ in range(r.randint(60, 300))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, varied(r, words, r.choice([0.0, 0.005, 0.01, 0.02, 0.1, 0.2])))]
+    kept = {x["doc_id"] for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(2 * k in kept for k in range(300))
+    for k in range(300):
+        s = similar(shingles(texts[2 * k]), shingles(texts[2 * k + 1]))
+        near, apart, at = near + (s >= 0.85), apart + (s < 0.65), at + (s >= 0.85 and 2 * k + 1 not in kept)
+        assert s >= 0.65 or 2 * k + 1 in kept
+    assert near > 60 and apart > 60 and at >= 0.97 * near
+
+
+def test_keep_one_in_a_large_group(spark):
+    """Many different near copies of one text: bands over the limit are dealt again."""
+    from voxmere.llm.simhash import _sketch, link_sketches
+
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(k, varied(r, base, 0.004)) for k in range(600)] + [(1000 + k, varied(r, base, 1.0)) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x["doc_id"] for x in keep_one(docs).collect()}
+    assert kept >= {0, *range(1000, 1050)} and len(kept) <= 55
+    nodes = docs.selectExpr("doc_id as key", "text").mapInArrow(_sketch(5), "key long, fp long, bands array<long>, sketch binary").withColumnRenamed("key", "node").dropDuplicates(["fp", "sketch"])
+    groups = {x["root"] for x in components(link_sketches(nodes, 0.8, most=100)).collect()}
+    assert len(groups) <= 3

@@ -6,6 +6,10 @@ fixed reference fingerprints are computed once for each member; by the triangle
 reference differ by more than `distance` can't link, and only pairs that no reference rules out are compared. A group
 gives a spanning forest of its links, not all pairs. Groups over a size limit are dealt again by blocks of the bits that
 are still free, where linked pairs must again agree in one of distance + 1.
+
+Similarities of 0.8 leave fingerprints ten bits apart, too far for blocks. There (keep_one) groups come from bands of the
+least hashes of the shingles; within a group the pivot table and the fingerprints discard pairs as before, at a wider
+distance, and the survivors are verified by a sketch of the shingle sets.
 """
 
 from __future__ import annotations
@@ -20,11 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmere.llm.components import components
-from voxmere.llm.text import mix64, shared_checkpoint
+from voxmere.llm.text import mix64, shared_checkpoint, slices, word_bounds, word_hashes
 
 PIVOTS = mix64(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 ALIKE = 3
 LEVELS = 3
+BINS, BANDS, BAND_ROWS = 128, 12, 5
+FAR = 24
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _signed(value: int) -> int:
@@ -71,11 +79,12 @@ def _rows(of: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(of ^ bits)
 
 
-def _run_links(distance: int, most: int):
-    """Spanning forests of the links in runs of equal (mask, key); members of runs over `most` come out with b null."""
+def _forest(distance: int, verify=None):
+    """A function that gives the places (a, b) of spanning forests of the links in runs of fingerprints."""
 
     def links(fps: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """fps sorted within runs by the distance to the first reference; end: where each member's run ends."""
+        """fps sorted within runs by the distance to the first reference; end: where each member's run ends. Pairs that the
+        references and the fingerprints leave are passed to verify(a, b), if there is one."""
         table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
         root = np.arange(len(fps))
         out_a, out_b = [], []
@@ -92,6 +101,8 @@ def _run_links(distance: int, most: int):
                     break
                 a = a[np.abs(table[a, k] - table[a + step, k]) <= distance]
             a = a[np.bitwise_count(fps[a] ^ fps[a + step]) <= distance]
+            if verify is not None and len(a):
+                a = a[verify(a, a + step)]
             for x in a.tolist():
                 y = x + step
                 while root[x] != x:
@@ -108,7 +119,14 @@ def _run_links(distance: int, most: int):
                     if (up == root).all():
                         break
                     root = up
-        return fps[np.array(out_a, np.int64)], fps[np.array(out_b, np.int64)]
+        return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+    return links
+
+
+def _run_links(distance: int, most: int):
+    """Spanning forests of the links in runs of equal (mask, key); members of runs over `most` come out with b null."""
+    links = _forest(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -124,7 +142,7 @@ def _run_links(distance: int, most: int):
             end = np.repeat(starts + sizes, sizes)
             a, b = links(fp.view(np.uint64), end)
             if len(a):
-                yield give(np.zeros(len(a), np.int64), a.view(np.int64), b.view(np.int64))
+                yield give(np.zeros(len(a), np.int64), fp[a], fp[b])
 
         for batch in batches:
             mask, key, fp = (np.concatenate([old, new.to_numpy()]) for old, new in zip(kept, (batch.column(k) for k in range(3)), strict=True))
@@ -205,11 +223,152 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = ALIKE) -> DataFrame:
-    """One row of docs for each component, the one with the smallest id; null ids come last, equal ids go by a hash of
-    the text, and of equal rows one stays."""
+def _minima(grams: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+    """Of each text (row) the least hash in each of BINS bins; a bin without one takes the next bin's, marked by how far it is."""
+    slot = text * BINS + (grams & np.uint64(BINS - 1)).astype(np.int64)
+    order = np.lexsort((grams, slot))
+    first = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])] if len(order) else order
+    least, filled = np.zeros(n_texts * BINS, np.uint64), np.zeros(n_texts * BINS, bool)
+    least[slot[first]], filled[slot[first]] = grams[first], True
+    least, filled = least.reshape(-1, BINS), filled.reshape(-1, BINS)
+    out, todo = least.copy(), ~filled
+    for step in range(1, BINS):
+        if not todo.any():
+            break
+        have = todo & np.roll(filled, -step, axis=1)
+        out[have] = (np.roll(least, -step, axis=1) + np.uint64(step) * PIVOTS[0])[have]
+        todo &= ~have
+    return mix64(out)
+
+
+def _sketch(shingle: int):
+    """(key, fp, bands, sketch) of texts: fingerprint, keys of the bands, and a byte for each bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                data = _LOWER[data]
+                starts, ends, firsts = word_bounds(data, offsets)
+                words, sizes = word_hashes(data, starts, ends), np.diff(firsts)
+                text = np.repeat(np.arange(hi - lo), sizes)
+                grams = np.zeros(len(words), np.uint64)
+                left = firsts[1:][text] - np.arange(len(words))
+                for k in range(shingle):
+                    some = np.flatnonzero(left > k)
+                    grams[some] = grams[some] * PIVOTS[1] + words[some + k]
+                whole = (left >= shingle) | (np.arange(len(words)) == firsts[text])
+                grams, text = mix64(grams[whole]), text[whole]
+                ones, fps = np.zeros((hi - lo, 64), np.int64), np.zeros(hi - lo, np.uint64)
+                for k in range(0, len(grams), 1 << 15):
+                    bits = np.unpackbits(grams[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+                    part = text[k : k + (1 << 15)]
+                    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    ones[part[begin]] += np.add.reduceat(bits, begin, axis=0)
+                fps = np.packbits(ones * 2 > np.bincount(text, minlength=hi - lo)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+                minima = _minima(grams, text, hi - lo)
+                bands = np.zeros((hi - lo, BANDS), np.uint64)
+                for k in range(BANDS):
+                    for row in minima[:, k * BAND_ROWS : (k + 1) * BAND_ROWS].T:
+                        bands[:, k] = mix64(bands[:, k] + row + np.uint64(k + 1))
+                sketch = (minima >> np.uint64(56)).astype(np.uint8)
+                at = pa.array(np.arange(0, len(bands) * BANDS + 1, BANDS, dtype=np.int32))
+                cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), len(sketch), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(bands.ravel().view(np.int64))), cells], ["key", "fp", "bands", "sketch"])
+
+    return run
+
+
+def _band_links(distance: int, least: float, most: int):
+    """Links (a, b) of nodes in runs of equal band, sorted by the distance to the first reference; members of runs over
+    `most` come out with b null and their band."""
+    needed = int(np.ceil((least - (least * (1 - least) / BINS) ** 0.5) * BINS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, BINS), np.uint8)]
+        huge = None
+
+        def give(band: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(band), pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], ["band", "a", "b"])
+
+        def solve(band: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(band)]]))
+            over = np.repeat(sizes > most, sizes)
+            if over.any():
+                yield give(band[over], node[over], None)
+            used = ~over & (np.repeat(sizes, sizes) > 1)
+            if not used.any():
+                return
+            end = np.cumsum(used)[(np.repeat(starts + sizes, sizes) - 1)[used]]
+            fp, node, sketch = fp[used], node[used], sketch[used]
+            a, b = _forest(distance, lambda a, b: (sketch[a] == sketch[b]).sum(axis=1) >= needed)(fp.view(np.uint64), end)
+            if len(a):
+                yield give(np.zeros(len(a), np.int64), node[a], node[b])
+
+        for batch in batches:
+            fresh = [batch.column(k).to_numpy() for k in range(3)]
+            fresh.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS))
+            rows = [np.concatenate([old, new]) for old, new in zip(kept, fresh, strict=True)]
+            if huge is not None:
+                same = rows[0] == huge
+                if same.any():
+                    yield give(rows[0][same], rows[2][same], None)
+                rows = [x[~same] for x in rows]
+            last = np.flatnonzero(rows[0] != rows[0][-1]) if len(rows[0]) else []
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield from solve(*(x[:cut] for x in rows))
+            kept = [x[cut:] for x in rows]
+            if len(kept[0]) > most:
+                huge = kept[0][0]
+                yield give(kept[0], kept[2], None)
+                kept = [x[:0] for x in kept]
+        if len(kept[0]):
+            yield from solve(*kept)
+
+    return run
+
+
+def link_sketches(nodes: DataFrame, least: float, distance: int = FAR, most: int = 1 << 14) -> DataFrame:
+    """(a, b): links of the rows (node, fp, bands, sketch), nodes being different longs, whose sketches agree in a share of
+    `least`, less one standard error of a share of BINS bins.
+
+    A pair of that similarity shares one of BANDS bands with probability 1 - (1 - least**BAND_ROWS)**BANDS, 0.99 at 0.8. A
+    band that more than `most` nodes hold is dealt again together with each other band, so that its members meet those
+    they share two bands with.
+    """
+    pivot = F.lit(_signed(int(PIVOTS[0])))
+    rows = nodes.select(F.explode("bands").alias("band"), "fp", "node", "sketch")
+    out = None
+    for level in range(2):
+        near: Column = F.bit_count(F.col("fp").bitwiseXOR(pivot))
+        dealt = rows.select("band", "fp", "node", "sketch").repartition("band").sortWithinPartitions("band", near)
+        found = shared_checkpoint(dealt.mapInArrow(_band_links(distance, least, most if level == 0 else 1 << 62), "band long, a long, b long"))
+        edges = found.filter("b is not null").select("a", "b")
+        out = edges if out is None else out.unionByName(edges)
+        again = found.filter("b is null").select(F.col("a").alias("node"), F.col("band").alias("held"))
+        if level or again.isEmpty():
+            return out
+        others = nodes.join(again, "node").select("node", "fp", "sketch", "held", F.explode("bands").alias("other")).filter("other <> held")
+        rows = others.withColumn("band", F.xxhash64(F.least("held", "other"), F.greatest("held", "other"))).dropDuplicates(["node", "band"])
+    return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each group of near-duplicates, the one with the smallest id, with all its columns.
+
+    Texts are near-duplicates if the sets of their shingles, words lower-cased, have a Jaccard similarity of `similarity`
+    or more as their sketches tell it. Texts without words, null ones too, are copies of each other. Null ids come last,
+    equal ids go by a hash of the text, and of equal rows one stays. Texts of any length are read whole; an empty table
+    gives no rows.
+    """
     key = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
-    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), key.alias("key"), F.col(text_col).alias("text"))
-    found = near_duplicates(packed.select("key", "text"), "key", "text", shingle, distance)
-    kept = found.filter("key = component_id").select(F.col("key").alias("kept")).distinct()
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = packed.schema["key"].dataType.simpleString()
+    drawn = packed.select("key", "text").mapInArrow(_sketch(shingle), f"key {kind}, fp long, bands array<long>, sketch binary")
+    drawn = shared_checkpoint(drawn.withColumn("node", F.xxhash64("fp", "sketch")))
+    nodes = drawn.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    roots = components(link_sketches(nodes.select("node", "fp", "bands", "sketch"), similarity))
+    rooted = nodes.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min("key").alias("kept")).select("kept")
     return packed.join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select("row.*")
