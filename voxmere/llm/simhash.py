@@ -236,7 +236,7 @@ def _minima(grams: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
         if not todo.any():
             break
         have = todo & np.roll(filled, -step, axis=1)
-        out[have] = (np.roll(least, -step, axis=1) + np.uint64(step) * PIVOTS[0])[have]
+        out[have] = (np.roll(least, -step, axis=1) + np.uint64(step * int(PIVOTS[0]) & 0xFFFFFFFFFFFFFFFF))[have]
         todo &= ~have
     return mix64(out)
 
