@@ -172,3 +172,64 @@ def test_forest_learns_a_separable_volume(spark):
     dice = overlap.micro(overlap.confusion(overlap.align(found, volume(spark, truth).filter("v > 0").withColumnRenamed("v", "lab")), "z")).first()["dice"]
     assert dice >= 0.95
     assert {r["lab"] for r in found.select("lab").distinct().collect()} == {255}
+
+
+def test_metric_texts_by_the_rule(spark):
+    """Hand cases: each space one underscore, hyphens stay; one percent sign goes, white space around it too."""
+    from voxmere.functions import runs as N
+
+    rows = [(" Val  IoU ", "5 %", "val__iou", 5.0), ("val-IoU", "5%%", "val-iou", None), ("   ", " 7e1 ", None, 70.0), ("F1", "true", "f1", None), ("x", "inf", "x", None), ("y", "%", "y", None), ("z", "-0.5%", "z", -0.5), (None, None, None, None)]
+    found = spark.createDataFrame([r[:2] for r in rows], "name string, text string").select(N.metric_key(F.col("name")), N.metric_value(F.col("text"))).collect()
+    assert [tuple(r) for r in found] == [r[2:] for r in rows]
+
+
+def test_ids_of_any_length_are_in_order(spark):
+    from voxmere.functions import runs as N
+
+    ids = ["9" * 30, "10", "abc", "7", "1" + "0" * 45]
+    found = spark.createDataFrame([(i,) for i in ids], "id string").orderBy(N.sort_key(F.col("id"))).collect()
+    assert [r[0] for r in found] == ["7", "10", "9" * 30, "1" + "0" * 45, "abc"]
+
+
+def test_sample_sets_match_by_ids_before_numbers(spark):
+    """A deleted and a new sample don't cancel out where ids were recorded."""
+    from voxmere.operators import runs as R
+
+    samples = spark.sql("SELECT * FROM VALUES (1L, 11L, 1), (1L, 12L, 2), (1L, 14L, 9) AS t(job_id, sample_id, sample_ts)")
+    models = spark.sql("SELECT 1L AS job_id, m AS model_id, 5 AS model_ts FROM VALUES (1L), (2L), (3L), (4L), (5L) AS t(m)")
+    records = spark.sql("SELECT 1L AS job_id, * FROM VALUES (1L, array(12L, 14L, 11L), 99L), (2L, array(11L, 12L, 13L), 3L), (3L, CAST(NULL AS array<bigint>), 3L), (4L, CAST(array() AS array<bigint>), CAST(NULL AS bigint)) AS t(model_id, sample_ids, annotation_count)")
+    found = {r["model_id"]: (r["n_seen"], r["matches"]) for r in R.set_matches(samples, models, records).collect()}
+    assert found == {1: (99, True), 2: (3, False), 3: (3, True), 4: (2, False), 5: (2, False)}
+
+
+def test_stencil_takes_gaps_as_zeros_and_volumes_apart(spark):
+    from voxmere.operators.annotations import stencil
+
+    rows = [("a", 0, 0, 0, 5), ("a", 2, 0, 0, 7), ("a", 1, 1, 0, 1), ("b", 1, 0, 0, 100)]
+    found = {(r["volume_id"], r["x"], r["y"]): (r["smooth"], r["gradient"]) for r in stencil(spark.createDataFrame(rows, "volume_id string, x long, y long, z long, v long")).collect()}
+    assert found == {("a", 0, 0): (21, 1), ("a", 2, 0): (29, -1), ("a", 1, 1): (16, 2), ("b", 1, 0): (400, 0)}
+
+
+def test_multiscale_features_against_plain_sums():
+    """The smoothed channel by direct weighted sums over mirrored pixels, and the others by differences of it."""
+    from voxmere.operators.learning import multiscale
+
+    r = np.random.default_rng(3)
+    image, sigma = r.random((9, 7)), 1.0
+    radius = int(3 * sigma + 0.5)
+    mirror = lambda k, n: min(k % (2 * n), 2 * n - 1 - k % (2 * n))
+    weights = {(i, j): np.exp(-(i * i + j * j) / 2 / sigma**2) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)}
+    total = sum(weights.values())
+    smooth = np.array([[sum(w * image[mirror(x + i, 9), mirror(y + j, 7)] for (i, j), w in weights.items()) / total for y in range(7)] for x in range(9)])
+    found = multiscale(image, (sigma,))
+    gx, gy = np.gradient(smooth)
+    hessian = np.stack([np.stack([np.gradient(gx)[0], np.gradient(gx)[1]], -1), np.stack([np.gradient(gx)[1], np.gradient(gy)[1]], -1)], -1)
+    values = np.linalg.eigvalsh(hessian)
+    assert np.allclose(found[..., 0], smooth) and np.allclose(found[..., 1], np.hypot(gx, gy))
+    assert np.allclose(found[..., 2], values[..., 1]) and np.allclose(found[..., 3], values[..., 0])
+
+
+def test_empty_training_rows_say_so(spark):
+    from voxmere.operators import learning as L
+
+    assert L.features(spark.createDataFrame([], "x long, y long, z long, v long")).count() == 0

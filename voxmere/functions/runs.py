@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What makes a key a metric.
+# Sections that hold metrics, spellings of name and value, and what makes a key a metric.
+METRIC_SECTIONS = ("metric", "metrics", "scores", "evaluation", "validation", "validation_metrics", "val_metrics", "results", "summary")
+METRIC_PAIRS = (("best_metric_name", "best_metric_value"), ("metric_name", "metric_value"), ("score_name", "score_value"), ("name", "value"))
 METRIC_WORDS = ("metric", "dice", "iou", "jaccard", "f1", "score", "accuracy", "precision", "recall", "loss")
 
 
@@ -19,24 +21,31 @@ def segmentation_id(path: Column) -> Column:
 
 
 def sort_key(run_id: Column) -> Column:
-    """Numbers before text, each in its own order."""
-    number = F.when(run_id.rlike("^[0-9]+$"), run_id.cast("decimal(38,0)").cast("long"))
-    return F.struct(number.isNull().cast("int").alias("kind"), number.alias("number"), run_id.alias("text"))
+    """Numbers of any length before text, each in its own order."""
+    digits = F.when(run_id.rlike("^[0-9]+$"), F.regexp_replace(run_id, "^0+", ""))
+    return F.struct(digits.isNull().cast("int").alias("kind"), F.length(digits).alias("size"), digits.alias("digits"), run_id.alias("text"))
 
 
 def metric_value(text: Column) -> Column:
-    """A number, or text that is one but for a percent sign; true, false and infinite values give null."""
-    plain = F.regexp_replace(F.trim(text), "%$", "")
+    """A number, or text that is one but for white space and one percent sign at its end; true, false and infinite values
+    give null."""
+    plain = F.regexp_replace(F.regexp_replace(text, "^\\s+|\\s*%?\\s*$", ""), "\\s+$", "")
     number = F.when(plain.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
     return F.when(number.isNotNull() & (F.abs(number) < F.lit(float("inf"))), number)
 
 
 def metric_key(name: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.lower(F.trim(name)), "[ -]+", "_"), F.lit(""))
+    """Trimmed, in lower case, each space as one underscore; null if nothing is left."""
+    return F.nullif(F.replace(F.lower(F.regexp_replace(name, "^\\s+|\\s+$", "")), F.lit(" "), F.lit("_")), F.lit(""))
 
 
 def is_metric(name: Column) -> Column:
-    return F.lower(name).rlike("|".join(METRIC_WORDS))
+    return F.coalesce(metric_key(name).rlike("|".join(METRIC_WORDS)), F.lit(False))
+
+
+def is_section(name: Column) -> Column:
+    """Whether an object of this name is searched for metrics."""
+    return F.coalesce(metric_key(name).isin(*METRIC_SECTIONS), F.lit(False)) | is_metric(name)
 
 
 def sample_id(name: Column) -> Column:

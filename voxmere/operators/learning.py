@@ -12,6 +12,9 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmere.operators.region import volume
+from voxmere.sources.blocks import scratch
+
 SIGMAS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
 
@@ -41,7 +44,7 @@ def multiscale(image: np.ndarray, sigmas: tuple[float, ...] = SIGMAS) -> np.ndar
 
 def features(voxels: DataFrame, function: Callable[[np.ndarray], np.ndarray] = multiscale, *by: str) -> DataFrame:
     """voxels with array column `features`, computed slice by slice: one task holds one slice, not a volume."""
-    keys = by or ("z",)
+    keys = by or (*volume(voxels), "z")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame["x"] - frame["x"].min(), frame["y"] - frame["y"].min()
@@ -54,15 +57,19 @@ def features(voxels: DataFrame, function: Callable[[np.ndarray], np.ndarray] = m
     return voxels.groupBy(*keys).applyInPandas(run, schema)
 
 
-def _vector(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    n = len(rows.select("features").first()[0])
-    names = [f"f{k}" for k in range(n)]
-    return rows.select("*", *(F.col("features")[k].alias(f"f{k}") for k in range(n))), names
+def channels(function: Callable[[np.ndarray], np.ndarray]) -> int:
+    """How many numbers a feature function gives for each pixel."""
+    return function(np.zeros((4, 4))).shape[-1]
+
+
+def _vector(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select("*", *(F.col("features")[k].alias(name) for k, name in enumerate(names)))
 
 
-def fit_forest(rows: DataFrame, trees: int = 50, depth: int = 12, seed: int = 0) -> PipelineModel:
-    """A forest over `features` that predicts raw labels, as one pipeline."""
-    wide, names = _vector(rows.withColumn("label_text", F.col("label").cast("string")))
+def fit_forest(rows: DataFrame, width: int, trees: int = 50, depth: int = 12, seed: int = 0) -> PipelineModel:
+    """A forest over `features`, arrays of the given width, that predicts raw labels, as one pipeline."""
+    names = [f"f{k}" for k in range(width)]
+    wide = _vector(rows.withColumn("label_text", F.col("label").cast("string")), names)
     indexer = StringIndexer(inputCol="label_text", outputCol="label_index", handleInvalid="keep")
     labels = indexer.fit(wide)
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label_index", numTrees=trees, maxDepth=depth, seed=seed)
@@ -72,7 +79,8 @@ def fit_forest(rows: DataFrame, trees: int = 50, depth: int = 12, seed: int = 0)
 
 def predict(model: Transformer, rows: DataFrame) -> DataFrame:
     """rows with column lab, the predicted raw label."""
-    wide, names = _vector(rows.withColumn("label_text", F.lit("0")) if "label_text" not in rows.columns else rows)
+    names = model.stages[1].getInputCols()
+    wide = _vector(rows.withColumn("label_text", F.lit("0")) if "label_text" not in rows.columns else rows, names)
     return model.transform(wide).withColumn("lab", F.col("predicted_text").cast("long")).drop(*names, "vector", "label_text", "label_index", "rawPrediction", "probability", "prediction", "predicted_text")
 
 
@@ -85,12 +93,14 @@ class ForestSegmenter:
     def fit(self, rows: DataFrame, **forest) -> ForestSegmenter:
         from voxmere.operators.annotations import subsample_negatives
 
-        self.model = fit_forest(subsample_negatives(features(rows, self.function), self.every), **forest)
+        path = scratch(rows.sparkSession)  # every round of the forest reads the features again
+        subsample_negatives(features(rows, self.function), self.every).write.parquet(path)
+        self.model = fit_forest(rows.sparkSession.read.parquet(path), channels(self.function), **forest)
         return self
 
     def segment(self, voxels: DataFrame) -> DataFrame:
         """Sparse labels: voxels predicted as background are left out."""
-        return predict(self.model, features(voxels, self.function)).filter("lab <> 0").select("x", "y", "z", "lab")
+        return predict(self.model, features(voxels, self.function)).filter("lab <> 0").select(*volume(voxels), "x", "y", "z", "lab")
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)

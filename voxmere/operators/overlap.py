@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxmere.operators.region import volume
+
 COUNTS = ("tp", "fp", "fn", "correct", "total")
 
 
 def align(pred: DataFrame, truth: DataFrame, value: str = "lab") -> DataFrame:
     """(x, y, z, p, t): both labels of every voxel that either side has; absence is background."""
-    zero = F.lit(0).cast("long")
-    joined = pred.select("x", "y", "z", F.col(value).alias("p")).join(truth.select("x", "y", "z", F.col(value).alias("t")), ["x", "y", "z"], "full_outer")
-    return joined.select("x", "y", "z", F.coalesce("p", zero).alias("p"), F.coalesce("t", zero).alias("t"))
+    zero, keys = F.lit(0).cast("long"), [*volume(pred), "x", "y", "z"]
+    joined = pred.select(*keys, F.col(value).alias("p")).join(truth.select(*keys, F.col(value).alias("t")), keys, "full_outer")
+    return joined.select(*keys, F.coalesce("p", zero).alias("p"), F.coalesce("t", zero).alias("t"))
 
 
 def confusion(aligned: DataFrame, *by: str) -> DataFrame:

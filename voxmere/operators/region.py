@@ -42,10 +42,15 @@ def stride(voxels: DataFrame, factors: tuple[int, int, int]) -> DataFrame:
     return out
 
 
+def volume(rows: DataFrame) -> list[str]:
+    """The column that tells volumes apart, if rows have it; operators on neighbours and groups never mix volumes."""
+    return ["volume_id"] if "volume_id" in rows.columns else []
+
+
 def block_max(voxels: DataFrame, m: int, value: str = "v") -> DataFrame:
     """Maximum over m x m x m cells; cells at the edge count as filled up with zeros."""
     cells = [floor_div(a, m).alias(a) for a in AXES]
-    return voxels.groupBy(*cells).agg(F.greatest(F.max(value), F.lit(0).cast("long")).alias(value))
+    return voxels.groupBy(*volume(voxels), *cells).agg(F.greatest(F.max(value), F.lit(0).cast("long")).alias(value))
 
 
 def permute(voxels: DataFrame, to: tuple[str, str, str]) -> DataFrame:

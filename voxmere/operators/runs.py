@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxmere.functions.runs import METRIC_PAIRS, is_metric, is_section, metric_key, metric_value
+
 
 def growth(samples: DataFrame, models: DataFrame) -> DataFrame:
     """(job_id, model_id, n_samples): samples up to each model's time, as a running count over the union of both.
@@ -37,23 +41,62 @@ def latest(rows: DataFrame, by: str, run: str, text_order: bool) -> DataFrame:
     return rows.groupBy(by).agg(F.max_by(run, key).alias(run))
 
 
-def freshness(samples: DataFrame, models: DataFrame, segmentations: DataFrame, meshes: DataFrame) -> DataFrame:
+def set_matches(samples: DataFrame, models: DataFrame, records: DataFrame) -> DataFrame:
+    """(job_id, model_id, n_seen, matches): whether a model was trained on just the job's present samples.
+
+    records has for each run (job_id, model_id, sample_ids, annotation_count), either of them null where it wasn't
+    recorded. Recorded ids decide, compared as sorted lists; without them the recorded number, and without that the number
+    of samples up to the model's time. n_seen is the recorded number, else the one up to the model's time.
+    """
+    now = samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_now"), F.sort_array(F.collect_list("sample_id")).alias("now_ids"))
+    rows = growth(samples, models).join(records, ["job_id", "model_id"], "left").join(now, "job_id", "left")
+    n_now = F.coalesce("n_now", F.lit(0))
+    n_seen = F.coalesce("annotation_count", "n_samples")
+    ids = F.filter(F.sort_array("sample_ids"), lambda x: x.isNotNull())
+    matches = F.when(F.size(ids) > 0, F.coalesce(ids == F.col("now_ids"), F.lit(False))).otherwise(n_seen == n_now)
+    return rows.select("job_id", "model_id", n_seen.alias("n_seen"), matches.alias("matches"))
+
+
+METRIC_LEVELS = 6
+
+
+def nested_metrics(sidecars: DataFrame, by: str, body: str, levels: int = METRIC_LEVELS) -> DataFrame:
+    """(by, key, value): the metrics in a column of JSON objects, sections inside each other down to `levels`.
+
+    An object gives first the names and values of METRIC_PAIRS, then its numbers with metric names, then what its sections
+    give, in their order; what comes later stands. Each of these is one step, so the steps on the way to a value order it.
+    """
+    at, found, places = sidecars.select(by, F.array().cast("array<int>").alias("steps"), F.col(body).alias("body")), [], F.col("steps")
+    step = lambda kind, k: F.concat(places, F.array(F.lit(kind), k.cast("int")))
+    for _ in range(levels):
+        at = at.withColumn("m", F.from_json("body", "map<string,string>"))
+        pairs = F.array(*(F.struct(F.get_json_object("body", f"$.{n}").alias("name"), F.col("m")[v].alias("text")) for n, v in METRIC_PAIRS))
+        named = at.select(by, "steps", F.posexplode(pairs).alias("k", "p")).select(by, step(0, F.col("k")).alias("at"), metric_key(F.col("p.name")).alias("key"), metric_value(F.col("p.text")).alias("value"))
+        inner = at.select(by, "steps", F.posexplode("m").alias("k", "name", "text"))
+        plain = inner.filter(is_metric(F.col("name"))).select(by, step(1, F.col("k")).alias("at"), metric_key(F.col("name")).alias("key"), metric_value(F.col("text")).alias("value"))
+        found += [named, plain]
+        at = inner.filter(is_section(F.col("name")) & F.col("text").startswith("{")).select(by, step(2, F.col("k")).alias("steps"), F.col("text").alias("body"))
+    rows = reduce(DataFrame.unionByName, found).filter("key is not null and value is not null")
+    return rows.groupBy(by, "key").agg(F.max_by("value", "at").alias("value"))
+
+
+def freshness(samples: DataFrame, models: DataFrame, segmentations: DataFrame, meshes: DataFrame, records: DataFrame) -> DataFrame:
     """For each job whether its latest segmentation and mesh still reflect its models and samples, and why not.
 
-    A segmentation is stale if a newer model exists, or if there are samples and its model had seen another number of
-    them; a mesh if it belongs to another run than the segmentation, or to a stale one.
+    A segmentation is stale if a newer model exists, or if there are samples and its model wasn't trained on just these
+    (see set_matches); a mesh if it belongs to another run than the segmentation, or to a stale one.
     """
     now = samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_now"))
     model = models.groupBy("job_id").agg(F.max("model_id").alias("model_id"))
     seg = latest(segmentations, "job_id", "seg_id", True)
     mesh = latest(meshes, "job_id", "mesh_id", True)
-    seen = growth(samples, models).select("job_id", F.col("model_id").alias("seg_id"), F.col("n_samples").alias("n_seen"))
+    seen = set_matches(samples, models, records).select("job_id", F.col("model_id").alias("seg_id"), "n_seen", "matches")
     jobs = now.select("job_id").unionByName(model.select("job_id")).distinct()
     rows = jobs.join(now, "job_id", "left").join(model, "job_id", "left").join(seg, "job_id", "left").join(mesh, "job_id", "left").join(seen, ["job_id", "seg_id"], "left")
     rows = rows.fillna(0, ["n_now", "n_seen"])
     has_seg, has_mesh = F.col("seg_id").isNotNull(), F.col("mesh_id").isNotNull()
     newer = has_seg & F.col("model_id").isNotNull() & (F.col("model_id") != F.col("seg_id"))
-    differs = has_seg & (F.col("n_now") > 0) & (F.col("n_now") != F.col("n_seen"))
+    differs = has_seg & (F.col("n_now") > 0) & ~F.coalesce("matches", F.lit(False))
     seg_reasons = F.array_compact(F.array(F.when(newer, "newer model"), F.when(differs, F.when(F.col("n_seen") < F.col("n_now"), "new samples").otherwise("does not reflect samples"))))
     rows = rows.withColumn("seg_reasons", seg_reasons).withColumn("seg_stale", F.size("seg_reasons") > 0)
     other = has_mesh & has_seg & (F.col("mesh_id") != F.col("seg_id"))

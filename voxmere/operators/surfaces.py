@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmere.operators.region import volume
+
 #: face: (neighbour offset, corners in order)
 FACES = (
     ((-1, 0, 0), ((0, 0, 0), (0, 0, 1), (0, 1, 1), (0, 1, 0))),
@@ -23,11 +25,12 @@ def faces(labels: DataFrame) -> DataFrame:
     exposed where its key comes once. One aggregation, no join with neighbours.
     """
     sides = F.array(*(F.struct(F.lit(k).alias("face"), F.lit(k // 2).alias("axis"), F.lit(max(sum(o), 0)).alias("step")) for k, (o, _) in enumerate(FACES)))
-    each = labels.filter("lab > 0").select("lab", "x", "y", "z", F.explode(sides).alias("s"))
+    keys = [*volume(labels), "lab"]
+    each = labels.filter("lab > 0").select(*keys, "x", "y", "z", F.explode(sides).alias("s"))
     plane = {a: (F.col(a) + F.when(F.col("s.axis") == k, F.col("s.step")).otherwise(0)).alias(f"p{a}") for k, a in enumerate("xyz")}
-    keyed = each.select("lab", F.col("s.axis").alias("axis"), *plane.values(), F.struct("x", "y", "z", F.col("s.face").alias("face")).alias("of"))
-    once = keyed.groupBy("lab", "axis", "px", "py", "pz").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("of")).filter("n = 1")
-    return once.select("lab", "of.*")
+    keyed = each.select(*keys, F.col("s.axis").alias("axis"), *plane.values(), F.struct("x", "y", "z", F.col("s.face").alias("face")).alias("of"))
+    once = keyed.groupBy(*keys, "axis", "px", "py", "pz").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("of")).filter("n = 1")
+    return once.select(*keys, "of.*")
 
 
 def triangles(exposed: DataFrame) -> DataFrame:

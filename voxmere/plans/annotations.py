@@ -50,8 +50,8 @@ def rasterize_regions(spark, d):
     return A.rasterize(rows, 8, 8)
 
 
-@query("stencil_features", "voxels", sql="""WITH f AS (SELECT x, y, z, v, coalesce(lag(v) OVER a, 0) + 2 * v + coalesce(lead(v) OVER a, 0) AS s, coalesce(lead(v) OVER a, 0) - coalesce(lag(v) OVER a, 0) AS g FROM voxels WINDOW a AS (PARTITION BY z, y ORDER BY x))
-    SELECT x, y, z, coalesce(lag(s) OVER b, 0) + 2 * s + coalesce(lead(s) OVER b, 0) AS smooth, coalesce(lag(g) OVER b, 0) + 2 * g + coalesce(lead(g) OVER b, 0) AS gradient FROM f WINDOW b AS (PARTITION BY z, x ORDER BY y)""")
+@query("stencil_features", "voxels", sql="""WITH o AS (SELECT unnest([-1, 0, 1]) AS d) SELECT c.x, c.y, c.z, CAST(sum(n.v * (2 - abs(a.d)) * (2 - abs(b.d))) AS BIGINT) AS smooth, CAST(sum(n.v * a.d * (2 - abs(b.d))) AS BIGINT) AS gradient
+    FROM voxels c CROSS JOIN o a CROSS JOIN o b JOIN voxels n ON n.z = c.z AND n.x = c.x + a.d AND n.y = c.y + b.d GROUP BY c.x, c.y, c.z""")
 def stencil_features(spark, d):
     return A.stencil(v(spark, d, "voxels")).select("x", "y", "z", "smooth", "gradient")
 

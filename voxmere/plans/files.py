@@ -109,19 +109,19 @@ def artifact_inventory(spark, d):
     return rows.groupBy("job_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("newest"))
 
 
-@query("image_stack_scan", "voxels", sql="SELECT x, y, z, v % 256 AS v FROM voxels WHERE z < 40")
+@query("image_stack_scan", "voxels", sql="SELECT x, y, z, v % 256 AS v FROM voxels")
 def image_stack_scan(spark, d):
-    """Slices written as 8-bit images, read with Spark's image source."""
+    """All slices encoded as 8-bit images in a landed table, and decoded again."""
     from voxmere.sources.images import read_stack, write_stack
 
-    voxels = view(spark, d, "voxels").filter("z < 40").withColumn("v", F.col("v") % 256)
+    voxels = view(spark, d, "voxels").withColumn("v", F.col("v") % 256)
     return read_stack(spark, write_stack(voxels))
 
 
-@query("slice_decode_fallback", "voxels", sql="SELECT x, y, z, CASE WHEN z % 5 = 0 THEN 0 ELSE v % 256 END AS v FROM voxels WHERE z < 40")
+@query("slice_decode_fallback", "voxels", sql="SELECT x, y, z, CASE WHEN z % 5 = 0 THEN 0 ELSE v % 256 END AS v FROM voxels")
 def slice_decode_fallback(spark, d):
     """As image_stack_scan, where every fifth file is broken and reads as zeros."""
     from voxmere.sources.images import read_stack, write_stack
 
-    voxels = view(spark, d, "voxels").filter("z < 40").withColumn("v", F.col("v") % 256)
+    voxels = view(spark, d, "voxels").withColumn("v", F.col("v") % 256)
     return read_stack(spark, write_stack(voxels, broken_every=5), width=8, height=8)

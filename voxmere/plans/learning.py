@@ -13,17 +13,13 @@ from voxmere.sources.blocks import scratch
 from voxmere.sources.views import view
 
 
-def small(image: np.ndarray) -> np.ndarray:
-    return L.multiscale(image, (1.0, 2.0))
-
-
 def training(spark, d):
-    rows = A.training_rows(view(spark, d, "voxels"), view(spark, d, "truth"))
-    return rows.filter("z % 4 = 0")
+    return A.training_rows(view(spark, d, "voxels"), view(spark, d, "truth"))
 
 
 def segmenter(spark, d):
-    return L.ForestSegmenter(function=small, every=4).fit(training(spark, d), trees=10, depth=6, seed=7)
+    """The default forest (50 trees, depth 12, six octaves, every 500th negative) on all slices."""
+    return L.ForestSegmenter().fit(training(spark, d), seed=7)
 
 
 @query("multiscale_features")
@@ -64,8 +60,8 @@ def model_save_load(spark, d):
     """Segmentation by a model that was written and read back."""
     path = scratch(spark)
     segmenter(spark, d).save(path)
-    again = L.ForestSegmenter.load(path, function=small)
-    return again.segment(view(spark, d, "voxels").filter("z % 4 = 1").select("x", "y", "z", "v"))
+    again = L.ForestSegmenter.load(path)
+    return again.segment(view(spark, d, "voxels").select("x", "y", "z", "v"))
 
 
 @query("segmenter_plugin", "voxels", sql="SELECT x, y, z, CAST(255 AS BIGINT) AS lab FROM voxels WHERE v > 36500")
@@ -85,16 +81,17 @@ def predict_samples(spark, d):
     """Predicted pixels of the annotated slices."""
     wanted = A.global_z(view(spark, d, "anno_meta")).filter("global_z is not null").select("sample_id", F.col("global_z").alias("z"))
     rows = wanted.join(view(spark, d, "voxels").select("x", "y", "z", "v"), "z")
-    found = L.predict(segmenter(spark, d).model, L.features(rows, small, "sample_id"))
+    found = L.predict(segmenter(spark, d).model, L.features(rows, L.multiscale, "sample_id"))
     return found.select("sample_id", "x", "y", "lab")
 
 
-@query("source_plugin", "voxels", sql="SELECT x, y, z, v FROM voxels WHERE z < 100")
+@query("source_plugin", "voxels", sql="SELECT x, y, z, v FROM voxels")
 def source_plugin(spark, d):
-    """Slices through a Python data source that reads one partition for each range of z."""
+    """Voxels through a Python data source that reads one partition for each range of z."""
     from voxmere.sources.plugin import SliceSource
 
     spark.dataSource.register(SliceSource)
     path = scratch(spark)
-    view(spark, d, "voxels").filter("z < 100").select("x", "y", "z", "v").write.partitionBy("z").parquet(path)
-    return spark.read.format("voxel_slices").option("depth", "100").option("parts", "4").load().join(spark.read.parquet(path), "z").select("x", "y", F.col("z").cast("long").alias("z"), "v")
+    view(spark, d, "voxels").select("x", "y", "z", "v").repartitionByRange("z").sortWithinPartitions("z").write.parquet(path)
+    depth = spark.read.parquet(path).agg(F.max("z")).first()[0]
+    return spark.read.format("voxel_slices").option("depth", str((-1 if depth is None else depth) + 1)).option("parts", str(spark.sparkContext.defaultParallelism)).load(path)

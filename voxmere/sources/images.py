@@ -1,4 +1,4 @@
-"""Image stacks: one PNG file for each z, through Spark's image source, with a reader for 16-bit gray."""
+"""Image stacks: one encoded image for each z in a landed table (name, content), with a reader for gray PNG of 8 or 16 bits."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def png_rows(voxels: DataFrame, dtype: str = "u1") -> DataFrame:
         image = np.zeros((frame["y"].max() + 1, frame["x"].max() + 1), dtype)
         image[frame["y"], frame["x"]] = frame["v"]
         z = int(frame["z"].iloc[0])
-        return pd.DataFrame({"name": [f"{z:04d}.png"], "z": [z], "content": [png(image)]})
+        return pd.DataFrame({"name": [f"{z:09d}.png"], "z": [z], "content": [png(image)]})
 
     return voxels.select("x", "y", "z", "v").groupBy("z").applyInPandas(encode, "name string, z long, content binary")
 

@@ -1,4 +1,4 @@
-"""A pluggable volume source: the slices of a volume, dealt to partitions by ranges of z."""
+"""A pluggable volume source: the voxels of a volume in Parquet files, dealt to partitions by ranges of z."""
 
 from __future__ import annotations
 
@@ -11,16 +11,22 @@ class Slices(InputPartition):
 
 
 class SliceReader(DataSourceReader):
+    """Each partition opens the files itself and reads only its own slices of them."""
+
     def __init__(self, options: dict):
-        self.depth, self.parts = int(options.get("depth", "0")), int(options.get("parts", "1"))
+        self.path, self.depth, self.parts = options["path"], int(options["depth"]), int(options.get("parts", "1"))
 
     def partitions(self):
         cuts = [self.depth * k // self.parts for k in range(self.parts + 1)]
-        return [Slices(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [Slices(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b] or [Slices(0, 0)]
 
     def read(self, partition):
-        for z in range(partition.lo, partition.hi):
-            yield (z,)
+        import pyarrow.dataset as ds
+        from pyarrow.fs import FileSystem
+
+        system, path = FileSystem.from_uri(self.path) if ":" in self.path else (None, self.path)
+        wanted = (ds.field("z") >= partition.lo) & (ds.field("z") < partition.hi)
+        yield from ds.dataset(path, format="parquet", filesystem=system).to_batches(columns=["x", "y", "z", "v"], filter=wanted)
 
 
 class SliceSource(DataSource):
@@ -29,7 +35,7 @@ class SliceSource(DataSource):
         return "voxel_slices"
 
     def schema(self) -> str:
-        return "z int"
+        return "x long, y long, z long, v long"
 
     def reader(self, schema):
         return SliceReader(self.options)

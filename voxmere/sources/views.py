@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: name: (Spark SQL or None where the DuckDB text serves both, DuckDB SQL, views that it reads)
@@ -17,12 +19,12 @@ VIEWS: dict[str, tuple[str | None, str, tuple[str, ...]]] = {
     "models": (None, "SELECT user_id AS job_id, event_id AS model_id, ts AS model_ts FROM events WHERE event_type = 'purchase'", ()),
     "segmentations": (
         None,
-        "SELECT user_id AS job_id, max(model_id) AS seg_id, event_id AS run_id FROM (SELECT v.user_id, v.event_id, m.event_id AS model_id FROM events v JOIN events m ON m.user_id = v.user_id AND m.event_type = 'purchase' AND m.ts <= v.ts WHERE v.event_type = 'view') q GROUP BY user_id, event_id",
+        "SELECT user_id AS job_id, seg_id, event_id AS run_id FROM (SELECT user_id, event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts) AS seg_id FROM events) q WHERE event_type = 'view' AND seg_id IS NOT NULL",
         (),
     ),
     "meshes": (
         None,
-        "SELECT user_id AS job_id, max(model_id) AS mesh_id, event_id AS run_id FROM (SELECT v.user_id, v.event_id, m.event_id AS model_id FROM events v JOIN events m ON m.user_id = v.user_id AND m.event_type = 'purchase' AND m.ts <= v.ts WHERE v.event_type = 'signup') q GROUP BY user_id, event_id",
+        "SELECT user_id AS job_id, mesh_id, event_id AS run_id FROM (SELECT user_id, event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts) AS mesh_id FROM events) q WHERE event_type = 'signup' AND mesh_id IS NOT NULL",
         (),
     ),
     "jobs": (
@@ -48,6 +50,17 @@ VIEWS: dict[str, tuple[str | None, str, tuple[str, ...]]] = {
     "anno_images": (None, "SELECT doc_id AS sample_id, doc_id % 20 AS job_id FROM documents", ()),
     "anno_masks": (None, "SELECT doc_id AS sample_id, quality, toxic FROM labels", ()),
     "anno_meta": (None, "SELECT item_id AS sample_id, item_id % 11 AS annotated_local_z_index, item_id * 3 AS z_origin, 11 AS requested_z, item_id % 4 AS z_pad_before, 11 - item_id % 4 AS actual_z FROM benchmark", ()),
+    # of three models one has recorded ids (of all samples, or without some), one a number, one nothing
+    "records": (
+        "SELECT m.job_id, m.model_id, CASE WHEN m.model_id % 3 = 0 THEN CASE WHEN m.model_id % 2 = 0 THEN s.whole ELSE s.some END END AS sample_ids, CASE WHEN m.model_id % 3 <> 2 THEN CASE WHEN m.model_id % 4 = 1 THEN s.n ELSE m.model_id % 9 END END AS annotation_count FROM models m LEFT JOIN (SELECT job_id, count(*) AS n, collect_list(sample_id) AS whole, collect_list(CASE WHEN sample_id % 7 <> 0 THEN sample_id END) AS some FROM samples GROUP BY job_id) s ON s.job_id = m.job_id",
+        "SELECT m.job_id, m.model_id, CASE WHEN m.model_id % 3 = 0 THEN CASE WHEN m.model_id % 2 = 0 THEN s.whole ELSE s.some END END AS sample_ids, CASE WHEN m.model_id % 3 <> 2 THEN CASE WHEN m.model_id % 4 = 1 THEN s.n ELSE m.model_id % 9 END END AS annotation_count FROM models m LEFT JOIN (SELECT job_id, count(*) AS n, list(sample_id ORDER BY sample_id) AS whole, list(sample_id ORDER BY sample_id) FILTER (sample_id % 7 <> 0) AS some FROM samples GROUP BY job_id) s ON s.job_id = m.job_id",
+        ("samples", "models"),
+    ),
+    "deep_json": (
+        None,
+        """SELECT event_id AS model_id, concat('{"metric_name":" Val Dice","metric_value":', event_id % 50, ',"LOSS":"', event_id % 30, ' %","final  loss":1,"rf_kwargs":{"loss":3},"note":"x","accuracy":true,"evaluation":{"name":"F1-Score","value":"0.5","best_metric_name":"IoU","best_metric_value":', event_id % 7, ',"iou":', event_id % 5, ',"scores":{"precision":', event_id % 11, ',"loss":7}},"val_metrics":{"loss":', event_id % 13, '}}') AS meta FROM events WHERE event_type = 'purchase'""",
+        (),
+    ),
     "model_json": (
         None,
         """SELECT event_id AS model_id, user_id AS job_id, concat('{"job_id":"', user_id, '","annotation_count":', event_id % 9, ',"rf_kwargs":{"n_estimators":50},"metrics":{"train_foreground_dice":', event_id % 100, ',"train_foreground_iou":"', event_id % 90, '%","note":"x","ok_score":true}}') AS meta FROM events WHERE event_type = 'purchase'""",
@@ -65,9 +78,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if f" {t}" in text}
     for t in tables:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    if "{" in sql.replace("{embeddings}", "") and name == "model_json":
-        events = tables["events"]
-        return events.filter("event_type = 'purchase'").selectExpr("event_id AS model_id", "user_id AS job_id", sql.split("AS job_id, ")[1].split(" FROM ")[0])
+    if name.endswith("_json"):
+        columns = re.split(r", (?=user_id AS|concat\()", sql.removeprefix("SELECT ").split(" FROM events")[0])
+        return tables["events"].filter("event_type = 'purchase'").selectExpr(*columns)
     return spark.sql(text, **tables)
 
 
