@@ -131,7 +131,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     longs = coded.select("key", "mark", F.explode(F.array_distinct(F.filter("lines", lambda h: h.bitwiseAND(F.lit(1)) == 1))).alias("h"))
     often = longs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") <= RARE).alias("rare"))
     salt = F.when(F.col("rare"), F.lit(0)).otherwise(F.pmod(F.xxhash64("key", "mark"), F.lit(salts)))
-    met = longs.join(often, "h").withColumn("salt", salt)
+    # dealt anew by salt: else the window would stay where the join has put all rows of a line
+    met = longs.join(often, "h").withColumn("salt", salt).repartition("h", "salt")
     me = F.struct("key", "mark")
     met = met.withColumn("partner", F.lag(me).over(Window.partitionBy("h", "salt").orderBy("key", "mark")))
     firsts = met.filter("partner is null and not rare").withColumn("partner", F.lag(me).over(Window.partitionBy("h").orderBy("key", "mark")))
