@@ -129,7 +129,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashed = lambda x: F.xxhash64(line(x)).bitwiseAND(F.lit(-2)).bitwiseOR((F.length(line(x)) >= least).cast("long"))
     coded = shared_checkpoint(base.select(F.col("_key").alias("key"), F.col("_mark").alias("mark"), F.transform(F.split(text, "\\n"), hashed).alias("lines")))
     longs = coded.select("key", "mark", F.explode(F.array_distinct(F.filter("lines", lambda h: h.bitwiseAND(F.lit(1)) == 1))).alias("h"))
-    often = longs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") <= RARE).alias("rare"))
+    # written first, so that the join below has no aggregate on its own shuffle and a line of many documents can be split
+    often = shared_checkpoint(longs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") <= RARE).alias("rare")))
     salt = F.when(F.col("rare"), F.lit(0)).otherwise(F.pmod(F.xxhash64("key", "mark"), F.lit(salts)))
     # dealt anew by salt: else the window would stay where the join has put all rows of a line
     met = longs.join(often, "h").withColumn("salt", salt).repartition("h", "salt")
