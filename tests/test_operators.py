@@ -37,6 +37,8 @@ def test_region_stride_max_equal_numpy(spark, v345):
     df = volume(spark, v345)
     assert (dense(region.region(df, x=(1, 3), z=(2, 4)), (3, 4, 5))[1:3, :, 2:4] == v345[1:3, :, 2:4]).all()
     assert region.region(df, x=(2, 2)).count() == 0
+    assert (dense(region.region(df, x=(1, 0), y=2, z=(None, 3)), (3, 4, 5))[1:, 2, :3] == v345[1:, 2, :3]).all()
+    assert region.region(df, x=(1, 0), y=2, z=(None, 3)).count() == 2 * 1 * 3
     assert (dense(region.stride(df, (2, 3, 2)), (2, 2, 3)) == v345[::2, ::3, ::2]).all()
     padded = np.pad(v345, [(0, 1), (0, 0), (0, 1)])
     assert (dense(region.block_max(df, 2), (2, 2, 3)) == padded.reshape(2, 2, 2, 2, 3, 2).max(axis=(1, 3, 5))).all()
@@ -65,6 +67,75 @@ def test_cutouts_pad_with_zeros(spark, v345):
     assert (found[1:, :2, :2] == v345[:2, 2:, 3:]).all() and found.sum() == v345[:2, 2:, 3:].sum()
 
 
+def test_random_cutouts(spark, v345):
+    """Boxes lie inside the volume, wider ones in its middle; each is that part of the array, padded."""
+    size, df = (2, 7, 3), volume(spark, v345)
+    origins = region.random_origins(spark.range(40), "id", v345.shape, size, 3)
+    places = {r["tile_id"]: r for r in region.centred_cutouts(origins, v345.shape, size).collect()}
+    assert {r["ox"] for r in places.values()} == {0, 1} and {r["oy"] for r in places.values()} == {0} and {r["oz"] for r in places.values()} == {0, 1, 2}
+    assert {(r["before_y"], r["after_y"], r["ny"], r["local_z"], r["global_z"] - r["oz"]) for r in places.values()} == {(1, 2, 4, 1, 1)}
+    again = region.random_origins(spark.range(40).repartition(7), "id", v345.shape, size, 3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, origins.collect()))
+    boxes = region.padded(df, region.centred_cutouts(origins, v345.shape, size), size)
+    for k in (0, 17, 39):
+        r = places[k]
+        part = v345[r["ox"] : r["ox"] + 2, :, r["oz"] : r["oz"] + 3]
+        assert (dense(boxes.filter(F.col("tile_id") == k), size) == np.pad(part, [(0, 0), (1, 2), (0, 0)])).all()
+    deep = region.centred_cutouts(spark.createDataFrame([(1, 0, 0, 4)], "tile_id long, ox long, oy long, oz long"), (3, 4, 5), (3, 4, 9)).first()
+    assert (deep["nz"], deep["before_z"], deep["local_z"], deep["global_z"]) == (1, 4, 4, 4)
+
+
+def test_blocks_keep_volumes_apart(spark):
+    """Bricks, chunks and volumes that meet: negative places, edges of a brick, equal places in two volumes."""
+    rows = [(k, x, y, z, k + x + y + z) for k in (1, 2) for x in (-1, 0, 63, 64, 300) for y in (0, 255, 256) for z in (-17, 15, 16, 64)]
+    df = spark.createDataFrame(rows, "volume_id int, x long, y long, z long, v long")
+    back = blocks.open_blocks(spark, blocks.write_blocks(df))
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(rows)
+    assert region.region(back, x=(0, 64), z=16).count() == 2 * 2 * 3
+
+
+def test_surface_files(spark, tmp_path):
+    """Files read in name order: OBJ faces name their own three vertices, STL facets follow each other; one voxel has 12."""
+    labels = spark.createDataFrame([(1, 0, 0, 0), (2, 3, 0, 0), (2, 3, 0, 1)], "lab long, x long, y long, z long")
+    tris = surfaces.triangles(surfaces.faces(labels))
+    texts = {}
+    for kind, lines in (("obj", surfaces.obj_lines), ("stl", surfaces.stl_lines)):
+        surfaces.write_lines(lines(tris), str(tmp_path / kind))
+        texts[kind] = {k: "".join(f.read_text() for f in sorted((tmp_path / kind / f"lab={k}").glob("part-*"))).splitlines() for k in (1, 2)}
+    for k, n in ((1, 12), (2, 20)):
+        assert [line[0] for line in texts["obj"][k]] == ["v"] * 3 * n + ["f"] * n
+        assert texts["obj"][k][3 * n :] == [f"f {3 * i + 1} {3 * i + 2} {3 * i + 3}" for i in range(n)]
+        stl = texts["stl"][k]
+        assert len(stl) == 7 * n + 2 and stl[0] == f"solid {k}" and stl[-1] == f"endsolid {k}"
+        assert [line.split()[-3:] for line in stl if "vertex" in line] == [line.split()[1:] for line in texts["obj"][k][: 3 * n]]
+        for i in range(n):  # the facet's normal is that of its corners, in their order
+            facet = [line.split() for line in stl[1 + 7 * i : 8 + 7 * i]]
+            a, b, c = (np.array(facet[j][1:], int) for j in (2, 3, 4))
+            assert np.cross(b - a, c - a).tolist() == [int(q) for q in facet[0][2:]]
+
+
+def test_regions_of_submissions(spark):
+    square = "[[[1,1],[6,1],[6,6]]]"
+    payloads = [
+        f'{{"regions_by_slice":{{"3":{{"positive_regions":{square}}}," 4 ":{{"negativeRegions":{square}}},"5":{{"positive_regions":[]}},"x":{{"positive_regions":{square}}}}},"positive_regions":{square}}}',
+        f'{{"regionsBySlice":{{"5":{{}}}},"positiveRegions":{square},"negative_regions":{square}}}',
+        f'{{"polygons":{{"negativeRegions":{square}}},"positive_regions":{square}}}',
+        f'{{"regions_by_slice":7,"polygons":"x","positive_regions":{square}}}',
+        '{"positive_regions":[]}', "[1]", "broken", "", None,
+    ]
+    df = spark.createDataFrame([(k, p, 9) for k, p in enumerate(payloads)], "sample_id int, payload string, z0 int")
+    found = {(r["sample_id"], r["z"], r["positive"] is not None, r["negative"] is not None) for r in annotations.regions_by_slice(df, "sample_id", "payload", "z0").collect()}
+    assert found == {(0, 3, True, False), (0, 4, False, True), (1, 9, True, True), (2, 9, False, True), (3, 9, True, False)}
+
+
+def test_polygons_scaled(spark):
+    """A picture twice as wide; points that aren't two numbers go first, and a polygon that has two left after them."""
+    rows = [(1, 1, False, [[4.0, 1.0], [12.0, 1.0], [5.0], [12.0, 6.0], [None, 3.0], [4.0, 6.0]]), (2, 1, False, [[0.0, 0.0], [8.0, 8.0], [1.0]])]
+    regions = spark.createDataFrame(rows, "mask_id int, poly_id int, negative boolean, points array<array<double>>")
+    assert {tuple(r) for r in annotations.rasterize(regions, 8, 8, (16, 8)).select("mask_id", "x", "y").collect()} == {(1, x, y) for x in range(2, 6) for y in range(1, 6)}
+    assert annotations.rasterize(regions, 8, 8, (0, 8)).count() == 20
+
+
 def test_block_store_round_trip(spark, v345):
     path = blocks.write_blocks(volume(spark, v345))
     assert (dense(blocks.open_blocks(spark, path), (3, 4, 5)) == v345).all()

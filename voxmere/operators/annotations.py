@@ -32,13 +32,17 @@ def restore_slices(meta: DataFrame, voxels: DataFrame, origin: tuple[int, int],
     return grid.join(found, ["sample_id", "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
 
 
-def rasterize(regions: DataFrame, width: int, height: int) -> DataFrame:
+def rasterize(regions: DataFrame, width: int, height: int, source: tuple[int, int] | None = None) -> DataFrame:
     """Mask pixels (mask_id, x, y) of polygons (mask_id, poly_id, negative, points): positives less negatives.
 
     Half-open parity rule. Each edge gives its crossings for the rows it spans, so nothing is joined with a pixel grid:
-    a row's sorted crossings bound its runs of pixels. Polygons with fewer than three points are left out.
+    a row's sorted crossings bound its runs of pixels. Points that aren't two numbers are dropped, then polygons with fewer
+    than three points. Points drawn on a picture of size `source` are scaled to the mask's; a size of zero counts as none.
     """
-    edges = regions.filter(F.size("points") >= 3).select("mask_id", "poly_id", "negative", F.posexplode("points").alias("k", "p"), "points")
+    by = (width / source[0], height / source[1]) if source and min(source) > 0 else (1.0, 1.0)
+    good = F.filter("points", lambda p: (F.size(p) == 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
+    scaled = regions.withColumn("points", F.transform(good, lambda p: F.array(p[0] * by[0], p[1] * by[1])))
+    edges = scaled.filter(F.size("points") >= 3).select("mask_id", "poly_id", "negative", F.posexplode("points").alias("k", "p"), "points")
     after = F.get("points", (F.col("k") + 1) % F.size("points"))
     edges = edges.select("mask_id", "poly_id", "negative", F.col("p")[0].alias("x1"), F.col("p")[1].alias("y1"), after[0].alias("x2"), after[1].alias("y2"))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
@@ -52,6 +56,33 @@ def rasterize(regions: DataFrame, width: int, height: int) -> DataFrame:
     return pixels.groupBy("mask_id", "x", "y").agg(F.bool_or("negative").alias("cut")).filter("not cut").drop("cut")
 
 
+def regions_by_slice(submissions: DataFrame, by: str, payload: str, default_z: str) -> DataFrame:
+    """(by, z, positive, negative): the regions of JSON submissions by slice, as JSON arrays.
+
+    Slices whose key isn't a whole number or whose regions are all empty are left out. A submission that has no slice
+    left counts as one on the slice in column default_z, by its regions under `polygons` or at the top. Names may be in
+    snake or camel case, snake first. Text that isn't a JSON object gives nothing.
+    """
+
+    def given(body: Column, snake: str, camel: str) -> Column:
+        return F.coalesce(F.get_json_object(body, f"$.{snake}"), F.get_json_object(body, f"$.{camel}"))
+
+    def regions(body: Column) -> list[Column]:
+        inner = F.get_json_object(body, "$.polygons")
+        body = F.when(inner.startswith("{"), inner).otherwise(body)
+        found = [given(body, f"{kind}_regions", f"{kind}Regions") for kind in ("positive", "negative")]
+        return [F.when(F.json_array_length(f) > 0, f).alias(kind) for kind, f in zip(("positive", "negative"), found, strict=True)]
+
+    some = "positive is not null or negative is not null"
+    text = F.col(payload)
+    slices = F.from_json(given(text, "regions_by_slice", "regionsBySlice"), "map<string,string>")
+    keyed = submissions.select(F.col(by), text.alias("_text"), F.col(default_z).cast("long").alias("_z"), slices.alias("_slices"))
+    entries = F.filter(F.transform(F.map_entries("_slices"), lambda e: F.struct(F.trim(e["key"]).try_cast("long").alias("z"), *regions(e["value"]))), lambda e: e["z"].isNotNull() & (e["positive"].isNotNull() | e["negative"].isNotNull()))
+    flat = F.array(F.struct(F.col("_z").alias("z"), *regions(F.col("_text"))))
+    either = keyed.withColumn("_e", entries).withColumn("_e", F.when(F.size("_e") > 0, F.col("_e")).otherwise(flat))
+    return either.select(by, F.explode("_e").alias("e")).select(by, "e.*").filter(some)
+
+
 def subsample_negatives(rows: DataFrame, every: int, by: str = "z") -> DataFrame:
     """All positives, and of each slice's negatives in x, y order the first and then every `every`-th."""
     if every <= 1:

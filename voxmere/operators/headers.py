@@ -63,7 +63,8 @@ def order_slices(headers: DataFrame) -> DataFrame:
 
 
 def validate_series(headers: DataFrame) -> DataFrame:
-    """Slices of another size than the first, and files of several frames, per series."""
-    first = F.min_by(F.struct("rows_", "cols_"), F.struct(*(k.alias(f"k{i}") for i, k in enumerate(slice_key()))))
-    sized = headers.groupBy("job_id", "series_uid").agg(F.collect_list(F.struct("rows_", "cols_")).alias("sizes"), first.alias("first"), F.count_if(F.col("n_frames") > 1).alias("n_multi_frame"))
-    return sized.select("job_id", "series_uid", F.size(F.filter("sizes", lambda s: s != F.col("first"))).cast("long").alias("n_other_size"), "n_multi_frame")
+    """Slices of another size than the first, and files of several frames, per series; counted by size, no series is gathered."""
+    key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(slice_key())))
+    sizes = headers.groupBy("job_id", "series_uid", "rows_", "cols_").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("key"), F.count_if(F.col("n_frames") > 1).alias("n_multi"))
+    series = sizes.groupBy("job_id", "series_uid").agg((F.sum("n") - F.min_by("n", "key")).alias("n_other_size"), F.sum("n_multi").alias("n_multi_frame"))
+    return series.select("job_id", "series_uid", "n_other_size", "n_multi_frame")

@@ -14,13 +14,19 @@ def floor_div(value: Column | str, by: int) -> Column:
     return F.floor(value / F.lit(by)).cast("long")
 
 
-def region(voxels: DataFrame, **bounds: tuple[int, int]) -> DataFrame:
-    """Voxels with lo <= axis < hi for each axis given; a chunk column c<axis> is bounded too, so partitions are pruned."""
+def region(voxels: DataFrame, **bounds: int | tuple[int | None, int | None]) -> DataFrame:
+    """Voxels with lo <= axis < hi for each axis given; a chunk column c<axis> is bounded too, so partitions are pruned.
+
+    A single number is one layer. A start of none is 0; a stop of none or 0 is the volume's end.
+    """
     out = voxels
-    for axis, (lo, hi) in bounds.items():
-        out = out.filter((F.col(axis) >= lo) & (F.col(axis) < hi))
+    for axis, bound in bounds.items():
+        lo, hi = (bound, bound + 1) if isinstance(bound, int) else (bound[0] or 0, bound[1] or None)
+        out = out.filter(F.col(axis) >= lo)
+        out = out if hi is None else out.filter(F.col(axis) < hi)
         if f"c{axis}" in voxels.columns:
-            out = out.filter(F.col(f"c{axis}").between(lo // CHUNK[axis], (hi - 1) // CHUNK[axis]))
+            out = out.filter(F.col(f"c{axis}") >= lo // CHUNK[axis])
+            out = out if hi is None else out.filter(F.col(f"c{axis}") <= (hi - 1) // CHUNK[axis])
     return out
 
 
@@ -72,8 +78,10 @@ def mosaic_pack(voxels: DataFrame, height: int) -> DataFrame:
     return voxels.withColumn("y", F.col("z") * height + F.col("y")).drop("z")
 
 
-def mosaic_unpack(mosaic: DataFrame, height: int) -> DataFrame:
-    return mosaic.withColumns({"z": floor_div("y", height), "y": F.col("y") % height})
+def mosaic_unpack(mosaic: DataFrame, height: int, z: int | None = None) -> DataFrame:
+    """Slices of a mosaic again, or the one band of slice z; the filter on y reaches the scan."""
+    band = mosaic if z is None else mosaic.filter((F.col("y") >= z * height) & (F.col("y") < (z + 1) * height))
+    return band.withColumns({"z": floor_div("y", height), "y": F.col("y") % height})
 
 
 def resize_nearest(voxels: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
@@ -91,6 +99,18 @@ def resize_nearest(voxels: DataFrame, width: int, height: int, new_width: int, n
     return out.withColumn("x", F.explode("_x")).withColumn("y", F.explode("_y")).drop("_x", "_y")
 
 
+def random_origins(rows: DataFrame, key: str, shape: tuple[int, int, int], size: tuple[int, int, int], seed: int) -> DataFrame:
+    """(tile_id, ox, oy, oz): for each key a place where a box of that size lies inside the volume, uniform on every axis.
+
+    The place follows from the seed, the axis and the key by a hash, so it is the same on every run and partitioning.
+    """
+    out = rows.select(F.col(key).cast("long").alias("tile_id"))
+    for axis, n, want in zip(AXES, shape, size, strict=True):
+        drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(axis), F.col("tile_id").cast("string"))), 1, 15), 16, 10)
+        out = out.withColumn(f"o{axis}", drawn.cast("long") % (max(n - want, 0) + 1))
+    return out
+
+
 def cutouts(voxels: DataFrame, origins: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """For each row (tile_id, ox, oy, oz) of origins the box of that shape, in box coordinates, zero where no voxel is."""
     box = origins
@@ -102,10 +122,21 @@ def cutouts(voxels: DataFrame, origins: DataFrame, shape: tuple[int, int, int])
 
 
 def centred_cutouts(origins: DataFrame, shape: tuple[int, int, int], requested: tuple[int, int, int]) -> DataFrame:
-    """Actual extent of each cutout inside a volume of that shape, and the padding before and after that centres it."""
+    """Actual extent of each cutout inside a volume of that shape, and the padding before and after that centres it.
+
+    The annotated slice is the middle of the requested depth; its place in the volume is null where it is padding.
+    """
     out = origins
     for axis, n, want in zip(AXES, shape, requested, strict=True):
         actual = F.greatest(F.least(F.col(f"o{axis}") + want, F.lit(n)) - F.col(f"o{axis}"), F.lit(0)).cast("long")
         pad = F.lit(want) - actual
         out = out.withColumns({f"n{axis}": actual, f"before_{axis}": floor_div(pad, 2), f"after_{axis}": pad - floor_div(pad, 2)})
-    return out
+    inside = F.lit(requested[2] // 2).cast("long") - F.col("before_z")
+    ok = (inside >= 0) & (inside < F.col("nz"))
+    return out.withColumns({"local_z": F.lit(requested[2] // 2).cast("long"), "global_z": F.when(ok, F.col("oz") + inside)})
+
+
+def padded(voxels: DataFrame, placed: DataFrame, requested: tuple[int, int, int]) -> DataFrame:
+    """Voxels of the cutouts that centred_cutouts placed: each in the middle of the requested box, zeros around it."""
+    corner = placed.select("tile_id", *((F.col(f"o{a}") - F.col(f"before_{a}")).alias(f"o{a}") for a in AXES))
+    return cutouts(voxels, corner, requested)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxmere.operators.region import volume
 
@@ -49,7 +50,38 @@ def combine(tris: DataFrame) -> DataFrame:
     return tris.groupBy("lab").agg(F.count(F.lit(1)).alias("n_triangles"), *bounds)
 
 
+def numbered(tris: DataFrame) -> DataFrame:
+    """Triangles with column n, their place in their object's file: by z, x, y, face and half, from 0.
+
+    Places are counted inside each layer of an object and shifted by what lower layers hold, so no task sorts a whole object.
+    """
+    layers = tris.groupBy("lab", "z").agg(F.count(F.lit(1)).alias("size"))
+    below = layers.select("lab", "z", (F.sum("size").over(Window.partitionBy("lab").orderBy("z")) - F.col("size")).alias("below"))
+    inside = F.row_number().over(Window.partitionBy("lab", "z").orderBy("x", "y", "face", "tri")) - 1
+    return tris.withColumn("inside", inside).join(below, ["lab", "z"]).withColumn("n", F.col("below") + F.col("inside")).drop("below", "inside")
+
+
 def obj_lines(tris: DataFrame) -> DataFrame:
-    """Vertex lines of a text mesh: three for each triangle, in the triangle's order."""
-    corners = F.posexplode(F.array("v0", "v1", "v2")).alias("k", "p")
-    return tris.select("lab", "x", "y", "z", "face", "tri", corners).select("lab", "x", "y", "z", "face", "tri", "k", F.format_string("v %d %d %d", "p.x", "p.y", "p.z").alias("line"))
+    """(lab, part, place, line): each object as a text mesh, three vertex lines for each triangle, then the face lines."""
+    placed = numbered(tris)
+    corners = placed.select("lab", "n", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "p"))
+    vertices = corners.select("lab", F.lit(0).alias("part"), (3 * F.col("n") + F.col("k")).alias("place"), F.format_string("v %d %d %d", "p.x", "p.y", "p.z").alias("line"))
+    first = 3 * F.col("n")
+    return vertices.unionByName(placed.select("lab", F.lit(1).alias("part"), F.col("n").alias("place"), F.format_string("f %d %d %d", first + 1, first + 2, first + 3).alias("line")))
+
+
+def stl_lines(tris: DataFrame) -> DataFrame:
+    """(lab, part, place, line): each object as an ASCII STL solid, one line of text for each facet's seven."""
+    normal = F.element_at(F.array(*(F.lit("%d %d %d" % o) for o, _ in FACES)), F.col("face") + 1)
+    corner = [F.format_string("      vertex %d %d %d", *(f"v{i}.{a}" for a in "xyz")) for i in range(3)]
+    facet = F.concat_ws("\n", F.concat(F.lit("  facet normal "), normal), F.lit("    outer loop"), *corner, F.lit("    endloop"), F.lit("  endfacet"))
+    facets = numbered(tris).select("lab", F.lit(1).alias("part"), F.col("n").alias("place"), facet.alias("line"))
+    names = tris.select("lab").distinct()
+    ends = [names.select("lab", F.lit(part).alias("part"), F.lit(0).cast("long").alias("place"), F.concat(F.lit(word), F.col("lab").cast("string")).alias("line")) for part, word in ((0, "solid "), (2, "endsolid "))]
+    return facets.unionByName(ends[0]).unionByName(ends[1])
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A folder lab=<object> for each object; its text files, one after the other by name, are the object's file."""
+    order = ["lab", "part", "place"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("lab", "line").write.partitionBy("lab").text(path)

@@ -36,7 +36,7 @@ def cutout_slice_restore(spark, d):
     return A.restore_slices(v(spark, d, "anno_meta"), v(spark, d, "voxels"), (-1, 3), (10, 6))
 
 
-POLYGONS = "pg AS (SELECT item_id AS mask_id, unnest([{'poly': 1, 'neg': false, 'pts': [[1 + item_id % 3, 1], [6, 1], [6, 6], [1, 6]]}, {'poly': 2, 'neg': true, 'pts': [[2, 2], [4, 2 + item_id % 2], [4, 4], [2, 4]]}, {'poly': 3, 'neg': false, 'pts': [[0, 0], [3, 3]]}]) AS q FROM benchmark), pe AS (SELECT mask_id, q.poly AS poly, q.neg AS neg, q.pts AS pts, unnest(range(len(q.pts))) AS k FROM pg WHERE len(q.pts) >= 3), ed AS (SELECT mask_id, poly, neg, pts[k + 1][1] AS x1, pts[k + 1][2] AS y1, pts[(k + 1) % len(pts) + 1][1] AS x2, pts[(k + 1) % len(pts) + 1][2] AS y2 FROM pe)"
+POLYGONS = "pg AS (SELECT item_id AS mask_id, unnest([{'poly': 1, 'neg': false, 'pts': [[1 + item_id % 3, 1], [6, 1], [6, 6], [1, 6]]}, {'poly': 2, 'neg': true, 'pts': [[2, 2], [4, 2 + item_id % 2], [4, 4], [2, 4]]}, {'poly': 3, 'neg': false, 'pts': [[0, 0], [3, 3]]}, {'poly': 4, 'neg': false, 'pts': [[5, 5], [7 + item_id % 2, 5], [8, 8]]}]) AS q FROM benchmark), pe AS (SELECT mask_id, q.poly AS poly, q.neg AS neg, q.pts AS pts, unnest(range(len(q.pts))) AS k FROM pg WHERE len(q.pts) >= 3), ed AS (SELECT mask_id, poly, neg, pts[k + 1][1] AS x1, pts[k + 1][2] AS y1, pts[(k + 1) % len(pts) + 1][1] AS x2, pts[(k + 1) % len(pts) + 1][2] AS y2 FROM pe)"
 
 
 @query("rasterize_regions", sql=f"WITH {POLYGONS}, px AS (SELECT mask_id, poly, neg, i AS x, j AS y, count(*) AS n FROM ed, range(8) a(i), range(8) b(j) WHERE (y1 > j) <> (y2 > j) AND i < (x2 - x1) * (j - y1) / CAST(y2 - y1 AS DOUBLE) + x1 GROUP BY 1, 2, 3, 4, 5) SELECT mask_id, x, y FROM px WHERE n % 2 = 1 GROUP BY mask_id, x, y HAVING NOT bool_or(neg)")
@@ -45,9 +45,10 @@ def rasterize_regions(spark, d):
 
     m, pt = F.col("item_id"), lambda x, y: F.array(F.lit(0.0) + x, F.lit(0.0) + y)
     poly = lambda k, neg, *pts: F.struct(F.lit(k).alias("poly_id"), F.lit(neg).alias("negative"), F.array(*(pt(*p) for p in pts)).alias("points"))
-    regions = F.array(poly(1, False, (1 + m % 3, 1), (6, 1), (6, 6), (1, 6)), poly(2, True, (2, 2), (4, 2 + m % 2), (4, 4), (2, 4)), poly(3, False, (0, 0), (3, 3)))
+    regions = F.array(poly(1, False, (1 + m % 3, 1), (6, 1), (6, 6), (1, 6)), poly(2, True, (2, 2), (4, 2 + m % 2), (4, 4), (2, 4)), poly(3, False, (0, 0), (3, 3)), poly(4, False, (5, 5), (7 + m % 2, 5), (8, 8)))
     rows = table(spark, d, "benchmark").select(m.alias("mask_id"), F.explode(regions).alias("r")).select("mask_id", "r.*")
-    return A.rasterize(rows, 8, 8)
+    drawn = F.transform("points", lambda p: F.array(p[0] * 3, p[1] * 2))  # on a picture of 24 x 16, with a point that isn't one
+    return A.rasterize(rows.withColumn("points", F.concat(drawn, F.array(F.array(F.lit(1.0))))), 8, 8, (24, 16))
 
 
 @query("stencil_features", "voxels", sql="""WITH o AS (SELECT unnest([-1, 0, 1]) AS d) SELECT c.x, c.y, c.z, CAST(sum(n.v * (2 - abs(a.d)) * (2 - abs(b.d))) AS BIGINT) AS smooth, CAST(sum(n.v * a.d * (2 - abs(b.d))) AS BIGINT) AS gradient
@@ -100,22 +101,29 @@ def ordered_slices(spark, d):
     return numbered.filter("has_meta or k = 1").select("sample_id", "z", "k")
 
 
-SLICES = "SELECT sample_id, CAST(key AS BIGINT) AS z, CASE WHEN key = '7' THEN 0 ELSE 1 END AS n_negative, 1 + sample_id % 2 AS n_positive FROM (SELECT sample_id, unnest([CAST(sample_id % 5 AS VARCHAR), '7', 'x']) AS key FROM anno_meta) WHERE key <> 'x'"
+SLICES = """SELECT sample_id, z, CASE WHEN z = 7 THEN 0 ELSE 1 END AS n_negative, 1 + sample_id % 2 AS n_positive FROM (SELECT sample_id, unnest([sample_id % 5, 7]) AS z FROM anno_meta WHERE sample_id % 4 < 2)
+    UNION ALL SELECT sample_id, annotated_local_z_index, 1, 1 + sample_id % 2 FROM anno_meta WHERE sample_id % 4 >= 2"""
+
+
+def submissions(spark, d):
+    """JSON submissions in three spellings: by slice, flat, and flat below `polygons` beside slices that can't be used."""
+    s = F.col("sample_id")
+    square = "[[1,1],[6,1],[6,6]]"
+    many = F.when(s % 2 == 0, f"[{square}]").otherwise(f"[{square},{square}]")
+    body = lambda p, n, negative: F.concat(F.lit(f'{{"{p}":'), many, F.lit(f',"{n}":{negative}}}'))
+    whole, camel = body("positive_regions", "negative_regions", f"[{square}]"), body("positiveRegions", "negativeRegions", f"[{square}]")
+    sliced = F.concat(F.lit('{"regions_by_slice":{"'), s % 5, F.lit('":'), whole, F.lit(',"7":'), body("positive_regions", "negativeRegions", "[]"), F.lit(',"x":'), whole, F.lit(',"9":{"positive_regions":[]}}}'))
+    below = F.concat(F.lit('{"regionsBySlice":{"x":'), whole, F.lit('},"polygons":'), camel, F.lit("}"))
+    text = F.when(s % 4 < 2, sliced).when(s % 4 == 2, camel).otherwise(below)
+    return v(spark, d, "anno_meta").select("sample_id", "annotated_local_z_index", text.alias("payload"))
 
 
 @query("regions_by_slice", "anno_meta", sql=SLICES)
 def regions_by_slice(spark, d):
-    """Regions of a JSON submission by slice; keys that aren't numbers and empty regions are left out."""
-    s = F.col("sample_id")
-    region = lambda pos, neg: F.struct(pos.alias("positive_regions"), neg.alias("negative_regions"))
-    square = F.array(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(6.0), F.lit(1.0)), F.array(F.lit(6.0), F.lit(6.0)))
-    many, none = F.array_repeat(square, (s % 2 + 1).cast("int")), F.array().cast("array<array<array<double>>>")
-    text = F.to_json(F.create_map((s % 5).cast("string"), region(many, F.array(square)), F.lit("7"), region(many, none), F.lit("x"), region(many, none)))
-    kind = "map<string,struct<positive_regions:array<array<array<double>>>,negative_regions:array<array<array<double>>>>>"
-    rows = v(spark, d, "anno_meta").select("sample_id", F.explode(F.from_json(text, kind)).alias("key", "r"))
-    keyed = rows.withColumn("z", F.col("key").try_cast("long")).filter("z is not null")
-    size = lambda f: F.size(F.filter(F.col(f"r.{f}"), lambda p: F.size(p) >= 3)).cast("long")
-    return keyed.select("sample_id", "z", size("positive_regions").alias("n_positive"), size("negative_regions").alias("n_negative"))
+    """How many regions each slice of the submissions has."""
+    found = A.regions_by_slice(submissions(spark, d), "sample_id", "payload", "annotated_local_z_index")
+    size = lambda f: F.coalesce(F.json_array_length(f), F.lit(0)).cast("long")
+    return found.select("sample_id", "z", size("positive").alias("n_positive"), size("negative").alias("n_negative"))
 
 
 @query("annotation_sample_write", "anno_meta", sql=f"WITH s AS ({SLICES}), c AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n FROM s) SELECT sample_id, z, CASE WHEN n > 1 THEN printf('%d-z%02d', sample_id, z) ELSE CAST(sample_id AS VARCHAR) END AS id, 'polygon_v2' AS annotation_source FROM c")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxmere.operators import surfaces as S
 from voxmere.plans.registry import query
+from voxmere.sources.blocks import scratch
 from voxmere.sources.views import view
 
 OFFSETS = "of6(face, dx, dy, dz) AS (VALUES " + ", ".join(f"({k}, {o[0]}, {o[1]}, {o[2]})" for k, (o, _) in enumerate(S.FACES)) + ")"
@@ -46,9 +47,25 @@ def surface_union(spark, d):
     return S.combine(S.triangles(all_.filter("z % 2 = 0")).unionByName(S.triangles(all_.filter("z % 2 = 1"))))
 
 
-@query("surface_export", "seg_labels", sql=f"WITH {FACES}, {CORNERS} SELECT lab, x, y, z, face, tri, k, printf('v %d %d %d', x + cx, y + cy, z + cz) AS line FROM fc JOIN cr USING (face)")
+@query(
+    "surface_export",
+    "seg_labels",
+    sql=f"""WITH {FACES}, {CORNERS}, tr AS (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY z, x, y, face, tri, k) - 1 AS place FROM fc JOIN cr USING (face)),
+    ob AS (SELECT lab, 'obj' AS kind, printf('v %d %d %d', x + cx, y + cy, z + cz) AS line FROM tr
+    UNION ALL SELECT lab, 'obj', printf('f %d %d %d', place + 1, place + 2, place + 3) FROM tr WHERE k = 0),
+    st AS (SELECT lab, 'stl' AS kind, printf('      vertex %d %d %d', x + cx, y + cy, z + cz) AS line FROM tr
+    UNION ALL SELECT lab, 'stl', unnest([printf('  facet normal %d %d %d', dx, dy, dz), '    outer loop', '    endloop', '  endfacet']) FROM tr JOIN of6 USING (face) WHERE k = 0
+    UNION ALL SELECT DISTINCT lab, 'stl', unnest([printf('solid %d', lab), printf('endsolid %d', lab)]) FROM tr)
+    SELECT kind, lab, line, count(*) AS n FROM (SELECT * FROM ob UNION ALL SELECT * FROM st) q GROUP BY ALL""",
+)
 def surface_export(spark, d):
-    return S.obj_lines(tris(spark, d))
+    """Every object written as OBJ and as STL text, and the files' lines read back and counted."""
+    found = []
+    for kind, lines in (("obj", S.obj_lines), ("stl", S.stl_lines)):
+        path = scratch(spark)
+        S.write_lines(lines(tris(spark, d)), path)
+        found.append(spark.read.schema("value string, lab long").text(path).select(F.lit(kind).alias("kind"), "lab", F.col("value").alias("line")))
+    return found[0].unionByName(found[1]).groupBy("kind", "lab", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("label_store_write", "seg_labels", sql="SELECT x, y, z, lab FROM seg_labels WHERE lab <> 0")

@@ -9,12 +9,26 @@ from voxmere.operators import region as R
 from voxmere.plans.registry import query
 from voxmere.sources.views import view
 
-ORIGINS = [(0, 1, 2, 5), (1, 5, 0, 40), (2, 0, 6, 100)]
-ORIGIN_SQL = "origins(tile_id, ox, oy, oz) AS (VALUES (0, 1, 2, 5), (1, 5, 0, 40), (2, 0, 6, 100))"
+SEED = 7
 
 
-def origins(spark):
-    return spark.createDataFrame(ORIGINS, "tile_id long, ox long, oy long, oz long")
+def drawn_sql(*size: int) -> str:
+    """Origins for every sample, and the padding that centres a box of that size."""
+    at = ", ".join(f"CAST('0x' || substr(md5(concat('{SEED}:{a}:', sample_id)), 1, 15) AS BIGINT) % (greatest(n{a} - {n}, 0) + 1) AS o{a}, least(n{a}, {n}) AS n{a}, ({n} - least(n{a}, {n})) // 2 AS before_{a}" for a, n in zip("xyz", size, strict=True))
+    return f"s AS (SELECT max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM voxels), origins AS (SELECT sample_id AS tile_id, {at} FROM anno_meta, s)"
+
+
+def tiles_sql(*size: int) -> str:
+    grid = " ".join(f"CROSS JOIN range({n}) at_{k}({k})" for k, n in zip("ijk", size, strict=True))
+    return f"""SELECT tile_id, i AS x, j AS y, k AS z, coalesce(v, 0) AS v FROM origins {grid}
+    LEFT JOIN voxels ON voxels.x = i + ox - before_x AND voxels.y = j + oy - before_y AND voxels.z = k + oz - before_z"""
+
+
+def placed(spark, d, size):
+    """A cutout for every annotation sample."""
+    extent = shape(spark, d).first()
+    whole = tuple(extent[f"n{a}"] for a in R.AXES)
+    return R.centred_cutouts(R.random_origins(view(spark, d, "anno_meta"), "sample_id", whole, size, SEED), whole, size)
 
 
 def shape(spark, d):
@@ -26,9 +40,9 @@ def array_source(spark, d):
     return view(spark, d, "voxels").select("x", "y", "z", "v")
 
 
-@query("region_slice", "voxels", sql="SELECT x, y, z, v FROM voxels WHERE x >= 2 AND x < 6 AND y >= 0 AND y < 5 AND z >= 10 AND z < 200")
+@query("region_slice", "voxels", sql="SELECT x, y, z, v FROM voxels WHERE x >= 2 AND x < 6 AND y = 4 AND z >= 10")
 def region_slice(spark, d):
-    return R.region(view(spark, d, "voxels"), x=(2, 6), y=(0, 5), z=(10, 200)).select("x", "y", "z", "v")
+    return R.region(view(spark, d, "voxels"), x=(2, 6), y=4, z=(10, 0)).select("x", "y", "z", "v")
 
 
 @query(
@@ -78,9 +92,14 @@ def mosaic_pack(spark, d):
     return R.mosaic_pack(view(spark, d, "voxels"), 8).select("x", "y", "v")
 
 
-@query("mosaic_unpack", "voxels", sql="SELECT x, y, z, v FROM voxels")
+@query("mosaic_unpack", "voxels", sql="SELECT x, y, z, v, z = (SELECT max(z) + 1 FROM voxels) // 2 AS middle FROM voxels")
 def mosaic_unpack(spark, d):
-    return R.mosaic_unpack(R.mosaic_pack(view(spark, d, "voxels"), 8), 8).select("x", "y", "z", "v")
+    """All slices of a mosaic; the middle one, shown where none is asked for, is cropped from it as a band."""
+    mosaic = R.mosaic_pack(view(spark, d, "voxels"), 8)
+    middle = (shape(spark, d).first()["nz"]) // 2
+    band = R.mosaic_unpack(mosaic, 8, middle).withColumn("middle", F.lit(True))
+    rest = R.mosaic_unpack(mosaic, 8).filter(F.col("z") != middle).withColumn("middle", F.lit(False))
+    return band.unionByName(rest).select("x", "y", "z", "v", "middle")
 
 
 @query(
@@ -93,32 +112,36 @@ def nearest_resize(spark, d):
     return R.resize_nearest(view(spark, d, "voxels"), 8, 8, 12, 5).select("x", "y", "z", "v")
 
 
-TILE_SQL = f"""WITH {ORIGIN_SQL} SELECT tile_id, i AS x, j AS y, k AS z, coalesce(v, 0) AS v
-    FROM origins CROSS JOIN range(4) a(i) CROSS JOIN range(4) b(j) CROSS JOIN range(6) c(k)
-    LEFT JOIN voxels ON voxels.x = i + ox AND voxels.y = j + oy AND voxels.z = k + oz"""
-
-
-@query("random_tiles", "voxels", sql=TILE_SQL)
+@query("random_tiles", "voxels", "anno_meta", sql=f"WITH {drawn_sql(4, 4, 1)} {tiles_sql(4, 4, 1)}")
 def random_tiles(spark, d):
-    return R.cutouts(view(spark, d, "voxels"), origins(spark), (4, 4, 6))
+    """A tile of one slice for every sample."""
+    return R.padded(view(spark, d, "voxels"), placed(spark, d, (4, 4, 1)), (4, 4, 1))
 
 
-@query("pad_to_shape", "voxels", sql=TILE_SQL.replace("range(4) a(i)", "range(10) a(i)").replace("i + ox", "i + ox - 2"))
+@query("pad_to_shape", "voxels", "anno_meta", sql=f"WITH {drawn_sql(11, 6, 1)} {tiles_sql(11, 6, 1)}")
 def pad_to_shape(spark, d):
-    return R.cutouts(view(spark, d, "voxels"), origins(spark).withColumn("ox", F.col("ox") - 2), (10, 4, 6))
+    """Tiles wider than the volume: the slice in the middle, zeros on both sides."""
+    return R.padded(view(spark, d, "voxels"), placed(spark, d, (11, 6, 1)), (11, 6, 1))
+
+
+CUTOUT = (6, 11, 5)
 
 
 @query(
     "random_cutouts",
     "voxels",
-    sql=f"""WITH {ORIGIN_SQL}, s AS (SELECT max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM voxels),
-    a AS (SELECT tile_id, ox, oy, oz, greatest(least(ox + 6, 8) - ox, 0) AS nx, greatest(least(oy + 4, 8) - oy, 0) AS ny, greatest(least(oz + 11, nz) - oz, 0) AS nz FROM origins, s)
-    SELECT *, (6 - nx) // 2 AS before_x, 6 - nx - (6 - nx) // 2 AS after_x, (4 - ny) // 2 AS before_y, 4 - ny - (4 - ny) // 2 AS after_y,
-    (11 - nz) // 2 AS before_z, 11 - nz - (11 - nz) // 2 AS after_z FROM a""",
+    "anno_meta",
+    sql=f"""WITH {drawn_sql(*CUTOUT)}, t AS ({tiles_sql(*CUTOUT)}),
+    a AS (SELECT tile_id, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (1 + x + 6 * y + 66 * z)) AS BIGINT) AS placed_total FROM t GROUP BY tile_id)
+    SELECT tile_id, ox, oy, oz, nx, ny, nz, before_x, 6 - nx - before_x AS after_x, before_y, 11 - ny - before_y AS after_y, before_z, 5 - nz - before_z AS after_z,
+    2 AS local_z, CASE WHEN 2 - before_z >= 0 AND 2 - before_z < nz THEN oz + 2 - before_z END AS global_z, total, placed_total FROM origins JOIN a USING (tile_id)""",
 )
 def random_cutouts(spark, d):
-    depth = shape(spark, d).first()["nz"]
-    return R.centred_cutouts(origins(spark), (8, 8, depth), (6, 4, 11))
+    """Where each sample's cutout lies, how it is padded, and sums over its voxels that depend on their places."""
+    where = placed(spark, d, CUTOUT)
+    weight = F.lit(1) + F.col("x") + 6 * F.col("y") + 66 * F.col("z")
+    sums = R.padded(view(spark, d, "voxels"), where, CUTOUT).groupBy("tile_id").agg(F.sum("v").alias("total"), F.sum(F.col("v") * weight).alias("placed_total"))
+    return where.join(sums, "tile_id")
 
 
 @query(

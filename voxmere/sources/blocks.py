@@ -1,4 +1,4 @@
-"""Chunked volumes as Parquet: one row for each block, voxels as an array in x, y, z order, partitioned by cz."""
+"""Chunked volumes as Parquet, partitioned by cz. A row is a brick of a chunk: places inside it and values, in order."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from voxmere.operators.region import AXES, CHUNK, floor_div, volume
 
+#: at most 65,536 voxels a row, so that one aggregation row stays at about a megabyte whatever the chunk holds
+BRICK = {"x": 64, "y": 64, "z": 16}
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the space that the cluster shares."""
@@ -21,9 +24,13 @@ def scratch(spark: SparkSession) -> str:
 
 
 def pack(voxels: DataFrame, value: str = "v") -> DataFrame:
-    """One row for each block: its chunk coordinates and its voxels."""
+    """One row for each brick: its chunk and brick coordinates, and its voxels by their place in it."""
     chunks = {f"c{a}": floor_div(a, CHUNK[a]) for a in AXES}
-    return voxels.withColumns(chunks).groupBy(*volume(voxels), *chunks).agg(F.array_sort(F.collect_list(F.struct(*AXES, F.col(value).alias("v")))).alias("voxels"))
+    bricks = {f"b{a}": floor_div(a, BRICK[a]) for a in AXES}
+    inside = {a: F.pmod(a, F.lit(BRICK[a])) for a in AXES}
+    place = ((inside["x"] * BRICK["y"] + inside["y"]) * BRICK["z"] + inside["z"]).cast("int")
+    keyed = voxels.select(*volume(voxels), *(c.alias(n) for n, c in (chunks | bricks).items()), F.struct(place.alias("at"), F.col(value).alias("v")).alias("voxel"))
+    return keyed.groupBy(*volume(voxels), *chunks, *bricks).agg(F.array_sort(F.collect_list("voxel")).alias("voxels"))
 
 
 def write_blocks(voxels: DataFrame, path: str | None = None, value: str = "v") -> str:
@@ -34,4 +41,8 @@ def write_blocks(voxels: DataFrame, path: str | None = None, value: str = "v") -
 
 def open_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Voxels of a block table, with their chunk coordinates for pruning."""
-    return spark.read.parquet(path).select("cx", "cy", "cz", F.explode("voxels").alias("p")).select("cx", "cy", "cz", "p.*")
+    bricks = spark.read.parquet(path)
+    kept = [*volume(bricks), "cx", "cy", "cz"]
+    each = bricks.select(*kept, *(f"b{a}" for a in AXES), F.explode("voxels").alias("p"))
+    inside = {"x": floor_div("p.at", BRICK["y"] * BRICK["z"]), "y": floor_div("p.at", BRICK["z"]) % BRICK["y"], "z": F.col("p.at") % BRICK["z"]}
+    return each.select(*kept, *((F.col(f"b{a}") * BRICK[a] + inside[a]).alias(a) for a in AXES), "p.v")
