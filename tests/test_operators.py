@@ -220,6 +220,45 @@ def test_uploads(spark):
 def test_images_of_16_bits(spark):
     deep = np.array([[0, 5000], [65535, 1]], "u2")
     assert (images.decode(images.png(deep)) == deep).all() and images.decode(b"broken") is None
+    colours = np.stack([deep, deep // 2, deep // 3], axis=-1)
+    assert (images.decode(images.png(colours)) == deep).all()
+    assert (images.decode(images.png(colours.astype("u1"))) == deep.astype("u1")).all()
+
+
+def test_filtered_rows():
+    """Rows filtered by the PNG rules read back: each kind of filter, pixels of one and three bytes."""
+    for step in (1, 3):
+        plain = np.random.default_rng(step).integers(0, 256, (10, 4 * step)).astype(np.uint8)
+        rows = []
+        for k, line in enumerate(plain.astype(int)):
+            up = plain[k - 1].astype(int) if k else np.zeros(4 * step, int)
+            left, corner = (np.concatenate([np.zeros(step, int), a[:-step]]) for a in (line, up))
+            guess = left + up - corner
+            far = np.abs(np.stack([guess - left, guess - up, guess - corner]))
+            paeth = np.choose(far.argmin(axis=0), [left, up, corner])
+            taken = (0 * line, left, up, (left + up) // 2, paeth)[k % 5]
+            rows.append(np.concatenate([[k % 5], (line - taken) % 256]))
+        assert (images.unfiltered(np.array(rows, np.uint8), step) == plain).all()
+
+
+def test_image_folders(spark, tmp_path):
+    """Two stacks below one folder, a broken file, and a colour file: first channel, z by name in each stack."""
+    image = np.arange(6, dtype="u1").reshape(2, 3)
+    for stack, names in (("a", ("s10.png", "s2.png")), ("b", ("x.png", "y.png", "z.txt"))):
+        rows = [(n, bytearray(b"none" if n == "y.png" else images.png(np.stack([image, image + 9, image + 7], -1) if n == "s2.png" else image + 1))) for n in names]
+        images.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path / "all" / stack))
+    found = images.read_folder(spark, str(tmp_path / "all"), width=3, height=2, glob="*.png")
+    for stack, z, want in (("a", 0, image + 1), ("a", 1, image), ("b", 0, image + 1), ("b", 1, image * 0)):
+        rows = found.filter((F.col("stack") == stack) & (F.col("z") == z)).collect()
+        assert len(rows) == 6 and all(want[r["y"], r["x"]] == r["v"] for r in rows)
+    assert found.select("stack", "z").distinct().count() == 4
+
+
+def test_landed_stacks(spark):
+    rows = spark.createDataFrame([(k, f"{n}.png", bytearray(images.png(np.full((1, 2), 10 * k + n, "u2")))) for k in (1, 2) for n in range(3)], "volume_id int, name string, content binary")
+    path = blocks.scratch(spark)
+    rows.write.parquet(path)
+    assert sorted(map(tuple, images.read_stack(spark, path).collect())) == sorted((k, x, 0, n, 10 * k + n) for k in (1, 2) for n in range(3) for x in (0, 1))
 
 
 def test_zip_members(spark):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxmere.operators import headers as H
 from voxmere.operators.region import floor_div
 from voxmere.plans.registry import query
+from voxmere.sources.blocks import scratch
 from voxmere.sources.views import view
 
 PARTS = "str_split(path, '/')"
@@ -111,17 +113,20 @@ def artifact_inventory(spark, d):
 
 @query("image_stack_scan", "voxels", sql="SELECT x, y, z, v % 256 AS v FROM voxels")
 def image_stack_scan(spark, d):
-    """All slices encoded as 8-bit images in a landed table, and decoded again."""
-    from voxmere.sources.images import read_stack, write_stack
+    """All slices as a folder of 8-bit image files, read by Spark's image source."""
+    from voxmere.sources.images import png_rows, read_folder, write_files
 
-    voxels = view(spark, d, "voxels").withColumn("v", F.col("v") % 256)
-    return read_stack(spark, write_stack(voxels))
+    folder = scratch(spark)
+    write_files(png_rows(view(spark, d, "voxels").withColumn("v", F.col("v") % 256)), folder)
+    return read_folder(spark, folder, glob="*.png").select("x", "y", "z", "v")
 
 
 @query("slice_decode_fallback", "voxels", sql="SELECT x, y, z, CASE WHEN z % 5 = 0 THEN 0 ELSE v % 256 END AS v FROM voxels")
 def slice_decode_fallback(spark, d):
-    """As image_stack_scan, where every fifth file is broken and reads as zeros."""
-    from voxmere.sources.images import read_stack, write_stack
+    """As image_stack_scan, where every fifth file is broken and reads as zeros, and every third is in colours."""
+    from voxmere.sources.images import broken, png_rows, read_folder, write_files
 
-    voxels = view(spark, d, "voxels").withColumn("v", F.col("v") % 256)
-    return read_stack(spark, write_stack(voxels, broken_every=5), width=8, height=8)
+    paint = lambda image, z: image if z % 3 else np.stack([image, image // 2, 255 - image], axis=-1)
+    folder = scratch(spark)
+    write_files(broken(png_rows(view(spark, d, "voxels").withColumn("v", F.col("v") % 256), paint=paint), 5), folder)
+    return read_folder(spark, folder, width=8, height=8).select("x", "y", "z", "v")

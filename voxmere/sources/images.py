@@ -1,84 +1,174 @@
-"""Image stacks: one encoded image for each z in a landed table (name, content), with a reader for gray PNG of 8 or 16 bits."""
+"""Image stacks: a folder of image files, one for each z, and the same as a landed table (name, content).
+
+Folders of 8-bit images of any kind are read by Spark's image source; tables by a reader for PNG of 8 or 16 bits.
+"""
 
 from __future__ import annotations
 
+import posixpath
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from voxmere.operators.region import volume
 from voxmere.sources.blocks import scratch
 
+#: colour type of a PNG: how many channels a pixel has
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
 
 def png(pixels: np.ndarray) -> bytes:
-    """A gray PNG of 8 or 16 bits."""
-    height, width = pixels.shape
-    depth = pixels.dtype.itemsize * 8
+    """A PNG of 8 or 16 bits: gray from (height, width), colour from (height, width, 3)."""
+    height, width = pixels.shape[:2]
+    depth, colour = pixels.dtype.itemsize * 8, 2 if pixels.ndim == 3 else 0
     raw = b"".join(b"\0" + row.astype(f">u{depth // 8}").tobytes() for row in pixels)
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of an image whose rows each begin with the kind of their filter; step is the width of a pixel in bytes."""
+    out = np.zeros((len(raw), raw.shape[1] - 1), np.uint8)
+    above = np.zeros(raw.shape[1] - 1, np.uint8)
+    for k, row in enumerate(raw):
+        kind, line = row[0], row[1:].copy()
+        if kind == 1:
+            line = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            line += above
+        elif kind in (3, 4):
+            got, up = line.tolist(), above.tolist()
+            for i in range(len(got)):
+                left, over, corner = (got[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
+                near = min((abs(over - corner), 0, left), (abs(left - corner), 1, over), (abs(left + over - 2 * corner), 2, corner))[2]
+                got[i] = (got[i] + (near if kind == 4 else (left + over) // 2)) % 256
+            line = np.array(got, np.uint8)
+        elif kind > 4:
+            raise ValueError("unknown filter")
+        out[k] = above = line
+    return out
+
+
+def decode(content: bytes) -> np.ndarray | None:
+    """First channel of a PNG of 8 or 16 bits that isn't interlaced and has no palette, None if it can't be read."""
+    try:
+        width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", content[16:29])
+        if depth not in (8, 16) or colour not in CHANNELS or interlaced:
+            return None
+        at, data = 8, b""
+        while at < len(content):
+            (size,), kind = struct.unpack(">I", content[at : at + 4]), content[at + 4 : at + 8]
+            data += content[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+            at += size + 12
+        step = CHANNELS[colour] * depth // 8
+        rows = unfiltered(np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * step), step)
+        return rows.view(f">u{depth // 8}").reshape(height, width, -1)[:, :, 0].astype(np.int64)
+    except (struct.error, zlib.error, ValueError):
+        return None
 
 
-def png_rows(voxels: DataFrame, dtype: str = "u1") -> DataFrame:
-    """(name, z, content): one encoded image for each slice; x runs along a row."""
+def gray(image: np.ndarray, z: int) -> np.ndarray:
+    return image
+
+
+def png_rows(voxels: DataFrame, dtype: str = "u1", name: str = "{:09d}.png", paint: Callable[[np.ndarray, int], np.ndarray] = gray) -> DataFrame:
+    """(name, z, content): one encoded image for each slice of one volume; x runs along a row. paint(image, z) may add colours."""
 
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((frame["y"].max() + 1, frame["x"].max() + 1), dtype)
         image[frame["y"], frame["x"]] = frame["v"]
         z = int(frame["z"].iloc[0])
-        return pd.DataFrame({"name": [f"{z:09d}.png"], "z": [z], "content": [png(image)]})
+        return pd.DataFrame({"name": [name.format(z)], "z": [z], "content": [png(paint(image, z))]})
 
     return voxels.select("x", "y", "z", "v").groupBy("z").applyInPandas(encode, "name string, z long, content binary")
 
 
-def write_stack(voxels: DataFrame, broken_every: int = 0) -> str:
-    """Slices as rows of a Parquet table (name, content), as an upload folder is landed; some can be cut short."""
-    rows = png_rows(voxels)
-    if broken_every:
-        rows = rows.withColumn("content", F.when(F.col("z") % broken_every == 0, F.substring("content", 1, 20)).otherwise(F.col("content")))
-    path = scratch(voxels.sparkSession)
-    rows.select("name", "content").write.parquet(path)
-    return path
+def broken(rows: DataFrame, every: int) -> DataFrame:
+    """rows with every so many files cut short."""
+    return rows.withColumn("content", F.when(F.col("z") % every == 0, F.substring("content", 1, 20)).otherwise(F.col("content")))
 
 
-def decode(content: bytes) -> np.ndarray | None:
-    """Pixels of an unfiltered gray PNG of 8 or 16 bits, None if it is broken."""
-    try:
-        width, height, depth, colour = struct.unpack(">IIBB", content[16:26])
-        at, data = 8, b""
-        while at < len(content):
-            (size,), kind = struct.unpack(">I", content[at : at + 4]), content[at + 4 : at + 8]
-            data += content[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
-            at += size + 12
-        raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * depth // 8)
-        if colour or raw[:, 0].any():
-            return None
-        return np.ascontiguousarray(raw[:, 1:]).view(f">u{depth // 8}").astype(np.int64)
-    except (struct.error, zlib.error, ValueError):
-        return None
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Each row (name, content) as one file of the folder; a task that runs again writes the same files once more."""
 
+    def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
 
-def read_stack(spark: SparkSession, path: str, width: int | None = None, height: int | None = None) -> DataFrame:
-    """Voxels of a stack; z is a file's rank by name, a broken file is a slice of zeros of the given size."""
+        system, path = FileSystem.from_uri(folder) if ":" in folder else (None, folder)
+        if system is None:
+            from pyarrow.fs import LocalFileSystem
 
-    def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            system = LocalFileSystem()
+        system.create_dir(path)
         for frame in frames:
             for name, content in zip(frame["name"], frame["content"], strict=True):
-                image = decode(bytes(content))
+                with system.open_output_stream(posixpath.join(path, name)) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    rows.select("name", "content").mapInPandas(written, "n long").agg(F.sum("n")).collect()
+
+
+def spread(images: DataFrame, read: Callable[[pd.Series], np.ndarray | None], width: int | None = None, height: int | None = None) -> DataFrame:
+    """Pixels (stack, name, z, x, y, v) of images; one that can't be read is a slice of zeros of the given size, or an error."""
+
+    def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                image = read(row)
                 if image is None:
                     if width is None:
-                        raise ValueError(f"{name} can't be read")
+                        raise ValueError(f"{row.name} can't be read")
                     image = np.zeros((height, width), np.int64)
                 y, x = np.indices(image.shape)
-                yield pd.DataFrame({"name": name, "x": x.ravel(), "y": y.ravel(), "v": image.ravel()})
+                yield pd.DataFrame({"stack": row.stack, "name": row.name, "z": row.z, "x": x.ravel(), "y": y.ravel(), "v": image.ravel()})
+
+    return images.mapInPandas(pixels, "stack string, name string, z long, x long, y long, v long")
 
-    from pyspark.sql.window import Window
 
+def placed(images: DataFrame, names: DataFrame) -> DataFrame:
+    """images with z, a file's rank by name in its stack. Only names are ranked, and images are joined before they spread."""
+    order = names.select("stack", "name").withColumn("z", (F.row_number().over(Window.partitionBy("stack").orderBy("name")) - 1).cast("long"))
+    return images.join(order, ["stack", "name"])
+
+
+def write_stack(voxels: DataFrame, broken_every: int = 0) -> str:
+    """Slices as rows of a Parquet table (name, content), as an upload folder is landed; some can be cut short."""
+    rows = png_rows(voxels)
+    path = scratch(voxels.sparkSession)
+    (broken(rows, broken_every) if broken_every else rows).select("name", "content").write.parquet(path)
+    return path
+
+
+def read_stack(spark: SparkSession, path: str, width: int | None = None, height: int | None = None) -> DataFrame:
+    """Voxels of landed images; rows of several stacks have a column volume_id. A broken file is zeros of the given size."""
     files = spark.read.parquet(path)
-    order = files.select("name").withColumn("z", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
-    found = files.mapInPandas(pixels, "name string, x long, y long, v long")
-    return found.join(order, "name").select("x", "y", "z", "v")
+    keys = volume(files)
+    named = files.select((F.col(keys[0]).cast("string") if keys else F.lit("")).alias("stack"), "name", "content")
+    found = spread(placed(named, named), lambda row: decode(bytes(row.content)), width, height)
+    kept = [F.col("stack").cast(files.schema[k].dataType).alias(k) for k in keys]
+    return found.select(*kept, "x", "y", "z", "v")
+
+
+def first_of(row) -> np.ndarray | None:
+    """First channel of an image as Spark's source gives it: blue, green, red where there are three or more."""
+    if row.height < 0:
+        return None
+    image = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
+    return image[:, :, 2 if row.nChannels >= 3 else 0].astype(np.int64)
+
+
+def read_folder(spark: SparkSession, folder: str, width: int | None = None, height: int | None = None, glob: str = "*") -> DataFrame:
+    """Voxels (stack, x, y, z, v) of image files of 8 bits; stack is the folder that holds a file, name its name there."""
+    images = spark.read.format("image").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    origin = F.col("image.origin")
+    named = images.select(F.regexp_extract(origin, "([^/]*)/[^/]*$", 1).alias("stack"), F.regexp_extract(origin, "([^/]*)$", 1).alias("name"), "image.height", "image.width", "image.nChannels", "image.data")
+    names = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    listed = names.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("stack"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    return spread(placed(named, listed), first_of, width, height).select("stack", "x", "y", "z", "v")
