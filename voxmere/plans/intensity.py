@@ -53,7 +53,7 @@ def custom_transform(spark, d):
 
 @query("slice_stack_export", "voxels", sql="SELECT printf('%04d.png', z) AS name, x // 2 AS x, y // 2 AS y, v % 256 AS v FROM voxels WHERE x % 2 = 0 AND y % 2 = 0")
 def slice_stack_export(spark, d):
-    """Slices written as 8-bit image files named by z; the files read again in the order of their names."""
+    """Slices written as 8-bit image files named by z; the files read again."""
     from voxmere.operators.region import stride
     from voxmere.sources.blocks import scratch
     from voxmere.sources.images import png_rows, read_folder, write_files
@@ -61,4 +61,4 @@ def slice_stack_export(spark, d):
     small = stride(view(spark, d, "voxels"), (2, 2, 1)).withColumn("v", pixels.wrap(F.col("v"), 8))
     folder = scratch(spark)
     write_files(png_rows(small, name="{:04d}.png"), folder)
-    return read_folder(spark, folder).select(F.format_string("%04d.png", "z").alias("name"), "x", "y", "v")
+    return read_folder(spark, folder).select("name", "x", "y", "v")

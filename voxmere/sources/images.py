@@ -165,10 +165,10 @@ def first_of(row) -> np.ndarray | None:
 
 
 def read_folder(spark: SparkSession, folder: str, width: int | None = None, height: int | None = None, glob: str = "*") -> DataFrame:
-    """Voxels (stack, x, y, z, v) of image files of 8 bits; stack is the folder that holds a file, name its name there."""
+    """Voxels (stack, name, x, y, z, v) of image files of 8 bits; stack is the folder that holds a file, name its name there."""
     images = spark.read.format("image").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     origin = F.col("image.origin")
     named = images.select(F.regexp_extract(origin, "([^/]*)/[^/]*$", 1).alias("stack"), F.regexp_extract(origin, "([^/]*)$", 1).alias("name"), "image.height", "image.width", "image.nChannels", "image.data")
     names = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     listed = names.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("stack"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
-    return spread(placed(named, listed), first_of, width, height).select("stack", "x", "y", "z", "v")
+    return spread(placed(named, listed), first_of, width, height).select("stack", "name", "x", "y", "z", "v")
