@@ -97,7 +97,7 @@ def test_blocks_keep_volumes_apart(spark):
 def test_surface_files(spark, tmp_path):
     """Files read in name order: OBJ faces name their own three vertices, STL facets follow each other; one voxel has 12."""
     labels = spark.createDataFrame([(1, 0, 0, 0), (2, 3, 0, 0), (2, 3, 0, 1)], "lab long, x long, y long, z long")
-    tris = surfaces.triangles(surfaces.faces(labels))
+    tris = surfaces.numbered(surfaces.triangles(surfaces.faces(labels)))
     texts = {}
     for kind, lines in (("obj", surfaces.obj_lines), ("stl", surfaces.stl_lines)):
         surfaces.write_lines(lines(tris), str(tmp_path / kind))

@@ -61,22 +61,21 @@ def numbered(tris: DataFrame) -> DataFrame:
     return tris.withColumn("inside", inside).join(below, ["lab", "z"]).withColumn("n", F.col("below") + F.col("inside")).drop("below", "inside")
 
 
-def obj_lines(tris: DataFrame) -> DataFrame:
-    """(lab, part, place, line): each object as a text mesh, three vertex lines for each triangle, then the face lines."""
-    placed = numbered(tris)
+def obj_lines(placed: DataFrame) -> DataFrame:
+    """(lab, part, place, line): each object of numbered triangles as a text mesh, three vertex lines for each, then the faces."""
     corners = placed.select("lab", "n", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "p"))
     vertices = corners.select("lab", F.lit(0).alias("part"), (3 * F.col("n") + F.col("k")).alias("place"), F.format_string("v %d %d %d", "p.x", "p.y", "p.z").alias("line"))
     first = 3 * F.col("n")
     return vertices.unionByName(placed.select("lab", F.lit(1).alias("part"), F.col("n").alias("place"), F.format_string("f %d %d %d", first + 1, first + 2, first + 3).alias("line")))
 
 
-def stl_lines(tris: DataFrame) -> DataFrame:
-    """(lab, part, place, line): each object as an ASCII STL solid, one line of text for each facet's seven."""
+def stl_lines(placed: DataFrame) -> DataFrame:
+    """(lab, part, place, line): each object of numbered triangles as an ASCII STL solid; a row is a facet with its seven lines."""
     normal = F.element_at(F.array(*(F.lit("%d %d %d" % o) for o, _ in FACES)), F.col("face") + 1)
     corner = [F.format_string("      vertex %d %d %d", *(f"v{i}.{a}" for a in "xyz")) for i in range(3)]
     facet = F.concat_ws("\n", F.concat(F.lit("  facet normal "), normal), F.lit("    outer loop"), *corner, F.lit("    endloop"), F.lit("  endfacet"))
-    facets = numbered(tris).select("lab", F.lit(1).alias("part"), F.col("n").alias("place"), facet.alias("line"))
-    names = tris.select("lab").distinct()
+    facets = placed.select("lab", F.lit(1).alias("part"), F.col("n").alias("place"), facet.alias("line"))
+    names = placed.select("lab").distinct()
     ends = [names.select("lab", F.lit(part).alias("part"), F.lit(0).cast("long").alias("place"), F.concat(F.lit(word), F.col("lab").cast("string")).alias("line")) for part, word in ((0, "solid "), (2, "endsolid "))]
     return facets.unionByName(ends[0]).unionByName(ends[1])
 

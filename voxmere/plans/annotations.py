@@ -101,8 +101,8 @@ def ordered_slices(spark, d):
     return numbered.filter("has_meta or k = 1").select("sample_id", "z", "k")
 
 
-SLICES = """SELECT sample_id, z, CASE WHEN z = 7 THEN 0 ELSE 1 END AS n_negative, 1 + sample_id % 2 AS n_positive FROM (SELECT sample_id, unnest([sample_id % 5, 7]) AS z FROM anno_meta WHERE sample_id % 4 < 2)
-    UNION ALL SELECT sample_id, annotated_local_z_index, 1, 1 + sample_id % 2 FROM anno_meta WHERE sample_id % 4 >= 2"""
+SLICES = """SELECT sample_id, z, CAST(CASE WHEN z = 7 THEN 0 ELSE 1 END AS BIGINT) AS n_negative, 1 + sample_id % 2 AS n_positive FROM (SELECT sample_id, unnest([sample_id % 5, 7]) AS z FROM anno_meta WHERE sample_id % 4 < 2)
+    UNION ALL SELECT sample_id, annotated_local_z_index, CAST(1 AS BIGINT), 1 + sample_id % 2 FROM anno_meta WHERE sample_id % 4 >= 2"""
 
 
 def submissions(spark, d):

@@ -60,10 +60,12 @@ def surface_union(spark, d):
 )
 def surface_export(spark, d):
     """Every object written as OBJ and as STL text, and the files' lines read back and counted."""
-    found = []
+    found, path = [], scratch(spark)
+    S.numbered(tris(spark, d)).write.parquet(path)  # both formats read it, and each is ranged by a sample first
+    placed = spark.read.parquet(path)
     for kind, lines in (("obj", S.obj_lines), ("stl", S.stl_lines)):
         path = scratch(spark)
-        S.write_lines(lines(tris(spark, d)), path)
+        S.write_lines(lines(placed), path)
         found.append(spark.read.schema("value string, lab long").text(path).select(F.lit(kind).alias("kind"), "lab", F.col("value").alias("line")))
     return found[0].unionByName(found[1]).groupBy("kind", "lab", "line").agg(F.count(F.lit(1)).alias("n"))
 

@@ -134,7 +134,7 @@ CUTOUT = (6, 11, 5)
     sql=f"""WITH {drawn_sql(*CUTOUT)}, t AS ({tiles_sql(*CUTOUT)}),
     a AS (SELECT tile_id, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (1 + x + 6 * y + 66 * z)) AS BIGINT) AS placed_total FROM t GROUP BY tile_id)
     SELECT tile_id, ox, oy, oz, nx, ny, nz, before_x, 6 - nx - before_x AS after_x, before_y, 11 - ny - before_y AS after_y, before_z, 5 - nz - before_z AS after_z,
-    2 AS local_z, CASE WHEN 2 - before_z >= 0 AND 2 - before_z < nz THEN oz + 2 - before_z END AS global_z, total, placed_total FROM origins JOIN a USING (tile_id)""",
+    CAST(2 AS BIGINT) AS local_z, CASE WHEN 2 - before_z >= 0 AND 2 - before_z < nz THEN oz + 2 - before_z END AS global_z, total, placed_total FROM origins JOIN a USING (tile_id)""",
 )
 def random_cutouts(spark, d):
     """Where each sample's cutout lies, how it is padded, and sums over its voxels that depend on their places."""
