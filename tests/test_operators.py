@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxmere.functions import pixels, runs
 from voxmere.operators import annotations, headers, intensity, jobs, learning, overlap, region, surfaces
-from voxmere.sources import archives, blocks, images
+from voxmere.sources import archives, blocks, images, paths
 
 
 def volume(spark, array):
@@ -247,16 +247,32 @@ def test_image_folders(spark, tmp_path):
     for stack, names in (("a", ("s10.png", "s2.png")), ("b", ("x.png", "y.png", "z.txt"))):
         rows = [(n, bytearray(b"none" if n == "y.png" else images.png(np.stack([image, image + 9, image + 7], -1) if n == "s2.png" else image + 1))) for n in names]
         images.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path / "all" / stack))
-    found = images.read_folder(spark, str(tmp_path / "all"), width=3, height=2, glob="*.png")
+    found = images.read_folder(spark, str(tmp_path / "all"), width=3, height=2, glob="*.png").withColumn("stack", F.regexp_extract("stack", "([^/]*)$", 1))
     for stack, z, want in (("a", 0, image + 1), ("a", 1, image), ("b", 0, image + 1), ("b", 1, image * 0)):
         rows = found.filter((F.col("stack") == stack) & (F.col("z") == z)).collect()
         assert len(rows) == 6 and all(want[r["y"], r["x"]] == r["v"] for r in rows)
     assert found.select("stack", "z").distinct().count() == 4
 
 
+def test_folders_of_one_name_stay_apart(spark, tmp_path):
+    """Also below folders whose names hold spaces, signs and letters beyond ASCII."""
+    for folder, add in (("1+ a%20/stack", 0), ("2 é/stack", 100)):
+        rows = [(f"s {k}.png", bytearray(images.png(np.full((2, 2), k + add, "u1")))) for k in range(2)]
+        images.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path / folder))
+    found = [(r["name"], r["z"], r["v"]) for r in images.read_folder(spark, str(tmp_path)).collect()]
+    assert sorted(set(found)) == [("s 0.png", 0, 0), ("s 0.png", 0, 100), ("s 1.png", 1, 1), ("s 1.png", 1, 101)] and len(found) == 16
+
+
+def test_slices_of_two_volumes_are_written_apart(spark, tmp_path):
+    voxels = spark.createDataFrame([(k, x, 0, z, 10 * k + z) for k in (1, 2) for x in (0, 1) for z in (0, 1)], "volume_id int, x long, y long, z long, v long")
+    images.write_files(images.png_rows(voxels, name="{:03d}.png"), str(tmp_path / "out"))
+    found = images.read_folder(spark, str(tmp_path / "out")).withColumn("stack", F.regexp_extract("stack", "([^/]*)$", 1))
+    assert sorted(tuple(r) for r in found.select("stack", "z", "x", "v").collect()) == sorted((str(k), z, x, 10 * k + z) for k in (1, 2) for x in (0, 1) for z in (0, 1))
+
+
 def test_landed_stacks(spark):
     rows = spark.createDataFrame([(k, f"{n}.png", bytearray(images.png(np.full((1, 2), 10 * k + n, "u2")))) for k in (1, 2) for n in range(3)], "volume_id int, name string, content binary")
-    path = blocks.scratch(spark)
+    path = paths.scratch(spark)
     rows.write.parquet(path)
     assert sorted(map(tuple, images.read_stack(spark, path).collect())) == sorted((k, x, 0, n, 10 * k + n) for k in (1, 2) for n in range(3) for x in (0, 1))
 
@@ -266,7 +282,7 @@ def test_zip_members(spark):
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("a/b.txt", "x")
         z.mkdir("empty")
-    path = blocks.scratch(spark)
+    path = paths.scratch(spark)
     spark.createDataFrame([("7.zip", out.getvalue())], "archive string, content binary").write.parquet(path)
     assert [(r["job_id"], r["path"], bytes(r["content"])) for r in archives.members(spark, path).collect()] == [(7, "a/b.txt", b"x")]
 

@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from voxmere.operators.halo import over_bricks
 from voxmere.operators.region import volume
-from voxmere.sources.blocks import scratch
+from voxmere.sources.paths import scratch
 
 SIGMAS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+#: wide, as its rim is: what is shuffled for the default reach is twice the volume
+BRICK = (512, 512, 1)
 
 
 def gaussian(image: np.ndarray, sigma: float) -> np.ndarray:
@@ -42,19 +46,33 @@ def multiscale(image: np.ndarray, sigmas: tuple[float, ...] = SIGMAS) -> np.ndar
     return np.stack(out, axis=-1)
 
 
-def features(voxels: DataFrame, function: Callable[[np.ndarray], np.ndarray] = multiscale, *by: str) -> DataFrame:
-    """voxels with array column `features`, computed slice by slice: one task holds one slice, not a volume."""
+def reach_of(sigmas: tuple[float, ...] = SIGMAS) -> int:
+    """How far a pixel of multiscale looks: the widest kernel, and two differences of neighbours."""
+    return max(int(3 * sigma + 0.5) for sigma in sigmas) + 2
+
+
+def features(voxels: DataFrame, function: Callable[[np.ndarray], np.ndarray] = multiscale, *by: str, reach: int | None = None, brick: tuple[int, int, int] = BRICK) -> DataFrame:
+    """voxels with array column `features`, computed in each slice (of each key in `by`, if given).
+
+    A function that looks no further than `reach` pixels works on bricks with a rim, so slices may have any size; the default
+    does. Without a reach a function sees the whole slice, and one task holds one slice.
+    """
+    reach = reach_of() if reach is None and function is multiscale else reach
+    if reach is not None and not by:
+        return over_bricks(voxels, reach, lambda image: {"features": function(image).astype(float)}, "features array<double>", brick)
     keys = by or (*volume(voxels), "z")
+    schema = T.StructType([*voxels.schema.fields, T.StructField("features", T.ArrayType(T.DoubleType()))])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = frame["x"] - frame["x"].min(), frame["y"] - frame["y"].min()
+    def run(table: pa.Table) -> pa.Table:
+        x, y, v = (table.column(c).to_numpy() for c in ("x", "y", "v"))
+        x, y = x - x.min(), y - y.min()
         image = np.zeros((x.max() + 1, y.max() + 1))
-        image[x, y] = frame["v"]
-        frame["features"] = list(function(image)[x, y])
-        return frame
+        image[x, y] = v
+        found = np.asarray(function(image)[x, y], float)
+        offsets = pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32())
+        return table.append_column("features", pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1))))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in voxels.schema) + ", features array<double>"
-    return voxels.groupBy(*keys).applyInPandas(run, schema)
+    return voxels.groupBy(*keys).applyInArrow(run, schema)
 
 
 def channels(function: Callable[[np.ndarray], np.ndarray]) -> int:

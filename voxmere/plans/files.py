@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxmere.operators import headers as H
 from voxmere.operators.region import floor_div
 from voxmere.plans.registry import query
-from voxmere.sources.blocks import scratch
+from voxmere.sources.paths import scratch
 from voxmere.sources.views import view
 
 PARTS = "str_split(path, '/')"

@@ -55,7 +55,7 @@ def custom_transform(spark, d):
 def slice_stack_export(spark, d):
     """Slices written as 8-bit image files named by z; the files read again."""
     from voxmere.operators.region import stride
-    from voxmere.sources.blocks import scratch
+    from voxmere.sources.paths import scratch
     from voxmere.sources.images import png_rows, read_folder, write_files
 
     small = stride(view(spark, d, "voxels"), (2, 2, 1)).withColumn("v", pixels.wrap(F.col("v"), 8))

@@ -54,7 +54,7 @@ def job_upsert(spark, d):
 @query("job_table_scan", "jobs", sql="SELECT CASE WHEN id % 11 <> 0 THEN id END AS id, CASE WHEN id % 7 = 0 OR id % 11 = 0 THEN 0.0 ELSE progress END AS progress, CASE WHEN id % 5 = 0 OR id % 11 = 0 THEN 'image_stack' ELSE 'dicom' END AS source_type, CASE WHEN id % 11 <> 0 THEN status END AS status, id % 11 = 0 AS corrupt FROM jobs")
 def job_table_scan(spark, d):
     """Job records as JSON lines with an explicit schema; missing fields get defaults, broken records stay marked."""
-    from voxmere.sources.blocks import scratch
+    from voxmere.sources.paths import scratch
 
     i, path = F.col("id"), scratch(spark)
     record = F.to_json(F.struct("id", "status", F.when(i % 7 != 0, F.col("progress")).alias("progress"), F.when(i % 5 != 0, "dicom").alias("source_type")))

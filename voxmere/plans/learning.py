@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from voxmere.operators import annotations as A
 from voxmere.operators import learning as L
+from voxmere.operators import model_store as M
 from voxmere.operators import overlap as O
+from voxmere.operators.centres import NearestCentre
+from voxmere.plans.annotations import GLOBAL
 from voxmere.plans.registry import query
-from voxmere.sources.blocks import scratch
+from voxmere.sources.paths import scratch
 from voxmere.sources.views import view
 
 
@@ -64,8 +68,8 @@ def model_save_load(spark, d):
     return again.segment(view(spark, d, "voxels").select("x", "y", "z", "v"))
 
 
-@query("segmenter_plugin", "voxels", sql="SELECT x, y, z, CAST(255 AS BIGINT) AS lab FROM voxels WHERE v > 36500")
-def segmenter_plugin(spark, d):
+@query("threshold_plugin", "voxels", sql="SELECT x, y, z, CAST(255 AS BIGINT) AS lab FROM voxels WHERE v > 36500")
+def threshold_plugin(spark, d):
     class Threshold:
         def fit(self, rows):
             return self
@@ -76,13 +80,66 @@ def segmenter_plugin(spark, d):
     return Threshold().fit(None).segment(view(spark, d, "voxels"))
 
 
+def smoothed(spark, d):
+    """Training rows with two features, the value and its 3 x 3 sum."""
+    return A.stencil(training(spark, d)).select("x", "y", "z", "label", F.array(F.col("v").cast("double"), F.col("smooth").cast("double")).alias("features"))
+
+
+SMOOTHED = """o AS (SELECT unnest([-1, 0, 1]) AS d), sm AS (SELECT c.x, c.y, c.z, CAST(any_value(c.v) AS DOUBLE) AS a, CAST(sum(n.v * (2 - abs(p.d)) * (2 - abs(q.d))) AS DOUBLE) AS b
+    FROM voxels c CROSS JOIN o p CROSS JOIN o q JOIN voxels n ON n.z = c.z AND n.x = c.x + p.d AND n.y = c.y + q.d GROUP BY c.x, c.y, c.z),
+    fe AS (SELECT s.*, coalesce(lab, 0) AS label FROM sm s LEFT JOIN truth t ON t.x = s.x AND t.y = s.y AND t.z = s.z)"""
+NEAREST = "arg_min(ce.label, ((a - ma) * (a - ma) + (b - mb) * (b - mb), ce.label)) AS lab"
+
+
+@query("segmenter_plugin", "voxels", "truth", sql=f"WITH {SMOOTHED}, ce AS (SELECT label, avg(a) AS ma, avg(b) AS mb FROM fe WHERE z % 2 = 0 GROUP BY label) SELECT x, y, z, {NEAREST} FROM fe, ce GROUP BY x, y, z, a, b")
+def segmenter_plugin(spark, d):
+    """Another method in the forest's place: nearest class centres, fitted on every other slice as a stage of a Pipeline, saved, loaded."""
+    rows, path = smoothed(spark, d), scratch(spark)
+    Pipeline(stages=[NearestCentre()]).fit(rows.filter("z % 2 = 0")).save(path)
+    return PipelineModel.load(path).transform(rows).select("x", "y", "z", "lab")
+
+
+JOB_OF = "sample_id % 4"
+
+
+def annotated(spark, d):
+    """(sample_id, job_id, z) of the annotated slices; samples are dealt to four jobs."""
+    return A.global_z(view(spark, d, "anno_meta")).filter("global_z is not null").select("sample_id", F.expr(JOB_OF).alias("job_id"), F.col("global_z").alias("z"))
+
+
+def centre_model(spark, rows):
+    return M.save_centres(NearestCentre().fit(rows), scratch(spark))
+
+
 @query("predict_samples")
 def predict_samples(spark, d):
-    """Predicted pixels of the annotated slices."""
-    wanted = A.global_z(view(spark, d, "anno_meta")).filter("global_z is not null").select("sample_id", F.col("global_z").alias("z"))
-    rows = wanted.join(view(spark, d, "voxels").select("x", "y", "z", "v"), "z")
-    found = L.predict(segmenter(spark, d).model, L.features(rows, L.multiscale, "sample_id"))
-    return found.select("sample_id", "x", "y", "lab")
+    """Predicted pixels of the annotated slices by the newest model of each job: the default forest for job 0 (it has an older model,
+    too), centres for job 1, null for jobs without a model."""
+    truth = training(spark, d)
+    shape = lambda rows, **o: L.features(rows, L.multiscale, **o)
+    forest = M.save_forest(segmenter(spark, d).model, scratch(spark))
+    centres = centre_model(spark, shape(truth.filter("z % 2 = 0")))
+    models = spark.createDataFrame([(0, 100, centres), (0, 200, forest), (1, 150, centres)], "job_id long, model_id long, path string")
+    slices = annotated(spark, d).join(view(spark, d, "voxels").select("x", "y", "z", "v"), "z").withColumnRenamed("sample_id", "volume_id")
+    found = M.predict_newest(shape(slices), models)
+    return found.select(F.col("volume_id").alias("sample_id"), "job_id", "model_id", "x", "y", "lab")
+
+
+@query(
+    "predict_samples_by_centres", "voxels", "truth", "anno_meta",
+    sql=f"""WITH {SMOOTHED}, md(job_id, model_id, part) AS (VALUES (0, 100, 0), (0, 200, 1), (1, 150, 0), (2, 90, 2)), nm AS (SELECT job_id, arg_max(part, model_id) AS part, max(model_id) AS model_id FROM md GROUP BY job_id),
+    ce AS (SELECT part, label, avg(a) AS ma, avg(b) AS mb FROM fe JOIN (SELECT DISTINCT part FROM md) ON part = z % 3 GROUP BY part, label),
+    {GLOBAL}, sa AS (SELECT sample_id, {JOB_OF} AS job_id, global_z AS z FROM gg WHERE global_z IS NOT NULL)
+    SELECT sample_id, sa.job_id, CAST(any_value(model_id) AS BIGINT) AS model_id, x, y, {NEAREST} FROM sa JOIN fe ON fe.z = sa.z LEFT JOIN nm ON nm.job_id = sa.job_id LEFT JOIN ce ON ce.part = nm.part GROUP BY sample_id, sa.job_id, x, y, a, b""",
+)
+def predict_samples_by_centres(spark, d):
+    """As predict_samples with centres alone: job 0 has two models, 1 and 2 have one each, 3 has none."""
+    path = scratch(spark)
+    smoothed(spark, d).write.parquet(path)
+    rows = spark.read.parquet(path)
+    parts = [centre_model(spark, rows.filter(F.col("z") % 3 == k)) for k in range(3)]
+    models = spark.createDataFrame([(0, 100, parts[0]), (0, 200, parts[1]), (1, 150, parts[0]), (2, 90, parts[2])], "job_id long, model_id long, path string")
+    return M.predict_newest(annotated(spark, d).join(rows.drop("label"), "z"), models).select("sample_id", "job_id", "model_id", "x", "y", "lab")
 
 
 @query("source_plugin", "voxels", sql="SELECT x, y, z, v FROM voxels")

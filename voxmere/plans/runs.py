@@ -251,7 +251,7 @@ def metadata_merge(spark, d):
 @query("sidecar_write", "model_json", "segmentations", sql="WITH s AS (SELECT seg_id, count(*) AS n FROM segmentations GROUP BY seg_id) SELECT model_id, job_id, meta, CASE WHEN n IS NOT NULL THEN concat(model_id, '.zarr') END AS segmentation_id FROM model_json LEFT JOIN s ON seg_id = model_id")
 def sidecar_write(spark, d):
     """Sidecars, written, then read and merged with what is known later."""
-    from voxmere.sources.blocks import scratch
+    from voxmere.sources.paths import scratch
 
     path = scratch(spark)
     view(spark, d, "model_json").write.parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxmere.operators import surfaces as S
 from voxmere.plans.registry import query
-from voxmere.sources.blocks import scratch
+from voxmere.sources.paths import scratch
 from voxmere.sources.views import view
 
 OFFSETS = "of6(face, dx, dy, dz) AS (VALUES " + ", ".join(f"({k}, {o[0]}, {o[1]}, {o[2]})" for k, (o, _) in enumerate(S.FACES)) + ")"

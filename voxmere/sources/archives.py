@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.sources.blocks import scratch
+from voxmere.sources.paths import scratch
 
 
 def write_archives(files: DataFrame) -> str:

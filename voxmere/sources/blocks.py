@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmere.operators.region import AXES, CHUNK, floor_div, volume
+from voxmere.sources.paths import scratch
 
 #: at most 65,536 voxels a row, so that one aggregation row stays at about a megabyte whatever the chunk holds
 BRICK = {"x": 64, "y": 64, "z": 16}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the space that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def pack(voxels: DataFrame, value: str = "v") -> DataFrame:
     """One row for each brick: its chunk and brick coordinates, and its voxels by their place in it."""
     chunks = {f"c{a}": floor_div(a, CHUNK[a]) for a in AXES}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import posixpath
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmere.operators.region import volume
-from voxmere.sources.blocks import scratch
+from voxmere.sources.paths import opened, qualified, scratch
 
 #: colour type of a PNG: how many channels a pixel has
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -78,15 +79,21 @@ def gray(image: np.ndarray, z: int) -> np.ndarray:
 
 
 def png_rows(voxels: DataFrame, dtype: str = "u1", name: str = "{:09d}.png", paint: Callable[[np.ndarray, int], np.ndarray] = gray) -> DataFrame:
-    """(name, z, content): one encoded image for each slice of one volume; x runs along a row. paint(image, z) may add colours."""
+    """(name, z, content): one encoded image for each slice; x runs along a row. paint(image, z) may add colours.
+
+    Where rows have a volume_id, so does the result, and its names lie in a folder of that name.
+    """
+    keys = volume(voxels)
 
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         image = np.zeros((frame["y"].max() + 1, frame["x"].max() + 1), dtype)
         image[frame["y"], frame["x"]] = frame["v"]
-        z = int(frame["z"].iloc[0])
-        return pd.DataFrame({"name": [name.format(z)], "z": [z], "content": [png(paint(image, z))]})
+        z, own = int(frame["z"].iloc[0]), {k: [frame[k].iloc[0]] for k in keys}
+        folder = "".join(f"{v[0]}/" for v in own.values())
+        return pd.DataFrame({**own, "name": [folder + name.format(z)], "z": [z], "content": [png(paint(image, z))]})
 
-    return voxels.select("x", "y", "z", "v").groupBy("z").applyInPandas(encode, "name string, z long, content binary")
+    kept = "".join(f"{k} {voxels.schema[k].dataType.simpleString()}, " for k in keys)
+    return voxels.select(*keys, "x", "y", "z", "v").groupBy(*keys, "z").applyInPandas(encode, f"{kept}name string, z long, content binary")
 
 
 def broken(rows: DataFrame, every: int) -> DataFrame:
@@ -95,37 +102,42 @@ def broken(rows: DataFrame, every: int) -> DataFrame:
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
-    """Each row (name, content) as one file of the folder; a task that runs again writes the same files once more."""
-
-    def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem
+    """Each row (name, content) as one file of the folder, or of a folder below it that its name gives.
 
-        system, path = FileSystem.from_uri(folder) if ":" in folder else (None, folder)
-        if system is None:
-            from pyarrow.fs import LocalFileSystem
+    A file is written under a hidden name and moved when it is whole, so who watches the folder never sees half of one; a task
+    that runs again writes the same files once more.
+    """
+    target = qualified(rows.sparkSession, folder)
 
-            system = LocalFileSystem()
-        system.create_dir(path)
+    def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = opened(target)
         for frame in frames:
+            for below in {posixpath.dirname(name) for name in frame["name"]}:
+                system.create_dir(posixpath.join(path, below))
             for name, content in zip(frame["name"], frame["content"], strict=True):
-                with system.open_output_stream(posixpath.join(path, name)) as out:
+                whole = posixpath.join(path, name)
+                part = posixpath.join(posixpath.dirname(whole), f".{uuid.uuid4().hex}")
+                with system.open_output_stream(part) as out:
                     out.write(content)
+                system.move(part, whole)
             yield pd.DataFrame({"n": [len(frame)]})
 
     rows.select("name", "content").mapInPandas(written, "n long").agg(F.sum("n")).collect()
 
 
 def spread(images: DataFrame, read: Callable[[pd.Series], np.ndarray | None], width: int | None = None, height: int | None = None) -> DataFrame:
-    """Pixels (stack, name, z, x, y, v) of images; one that can't be read is a slice of zeros of the given size, or an error."""
+    """Pixels (stack, name, z, x, y, v) of images; one that can't be read is a slice of zeros of the given size, or of the size in
+    its own columns w and h, or else an error."""
 
     def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 image = read(row)
                 if image is None:
-                    if width is None:
+                    size = (height, width) if width is not None else (getattr(row, "h", None), getattr(row, "w", None))
+                    if size[0] is None:
                         raise ValueError(f"{row.name} can't be read")
-                    image = np.zeros((height, width), np.int64)
+                    image = np.zeros(tuple(map(int, size)), np.int64)
                 y, x = np.indices(image.shape)
                 yield pd.DataFrame({"stack": row.stack, "name": row.name, "z": row.z, "x": x.ravel(), "y": y.ravel(), "v": image.ravel()})
 
@@ -165,10 +177,11 @@ def first_of(row) -> np.ndarray | None:
 
 
 def read_folder(spark: SparkSession, folder: str, width: int | None = None, height: int | None = None, glob: str = "*") -> DataFrame:
-    """Voxels (stack, name, x, y, z, v) of image files of 8 bits; stack is the folder that holds a file, name its name there."""
+    """Voxels (stack, name, x, y, z, v) of image files of 8 bits; stack is the whole path of the folder that holds a file, so folders
+    of one name stay apart, and name is the file's name there."""
+    place = lambda c: (F.regexp_extract(F.regexp_replace(c, "^file:/+", "file:/"), "^(.*)/[^/]*$", 1).alias("stack"), F.regexp_extract(c, "([^/]*)$", 1).alias("name"))
     images = spark.read.format("image").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    origin = F.col("image.origin")
-    named = images.select(F.regexp_extract(origin, "([^/]*)/[^/]*$", 1).alias("stack"), F.regexp_extract(origin, "([^/]*)$", 1).alias("name"), "image.height", "image.width", "image.nChannels", "image.data")
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))  # the image source gives an encoded URI
+    named = images.select(*place(origin), "image.height", "image.width", "image.nChannels", "image.data")
     names = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    listed = names.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("stack"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
-    return spread(placed(named, listed), first_of, width, height).select("stack", "name", "x", "y", "z", "v")
+    return spread(placed(named, names.select(*place(F.col("path")))), first_of, width, height).select("stack", "name", "x", "y", "z", "v")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.sources.blocks import scratch
+from voxmere.sources.paths import scratch
 
 
 def land(rows: DataFrame, parts: int, by: str) -> str:
