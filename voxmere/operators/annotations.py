@@ -99,6 +99,49 @@ def training_rows(voxels: DataFrame, truth: DataFrame) -> DataFrame:
     return voxels.join(truth.select("x", "y", "z", "lab"), ["x", "y", "z"], "left").select("z", "x", "y", "v", F.coalesce("lab", F.lit(0).cast("long")).alias("label"))
 
 
+def sample_training_rows(raw: DataFrame, images: DataFrame, masks: DataFrame) -> DataFrame:
+    """(sample_id, x, y, v, label, uses_raw): pixels of annotated samples with their mask, 0 outside it.
+
+    raw (sample_id, x, y, v) are slices restored from the volume for samples with metadata, images those of the pictures saved
+    for all; a sample that has both is taken from the volume. Only samples with a mask (sample_id, x, y, lab) count. All must
+    have one size: an error names it and the first that differs.
+    """
+    known = raw.select("sample_id").distinct()
+    pictures = images.join(known, "sample_id", "left_anti")
+    both = raw.select("sample_id", "x", "y", "v").withColumn("uses_raw", F.lit(True)).unionByName(pictures.select("sample_id", "x", "y", "v").withColumn("uses_raw", F.lit(False)))
+    rows = both.join(masks.select("sample_id").distinct(), "sample_id", "left_semi")
+    sizes = rows.groupBy("sample_id").agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny")).groupBy("nx", "ny").agg(F.min("sample_id").alias("first")).orderBy("first").limit(2).collect()
+    if len(sizes) > 1:
+        one, other = sizes
+        raise ValueError(f"samples must have one size: {one['first']} has {one['nx']} x {one['ny']}, {other['first']} has {other['nx']} x {other['ny']}")
+    return rows.join(masks.select("sample_id", "x", "y", "lab"), ["sample_id", "x", "y"], "left").select("sample_id", "x", "y", "v", F.coalesce("lab", F.lit(0).cast("long")).alias("label"), "uses_raw")
+
+
+def sample_records(slices: DataFrame, rasters: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(sample_id, z, record): what is saved for each annotated slice, as JSON.
+
+    slices (sample_id, job_id, z, default_z) have drawn regions, rasters (sample_id, job_id, z) a painted mask; metadata
+    (sample_id, meta) is a map, if there is one. Several slices without metadata: only the default one, else the first, is
+    kept. A record is the metadata for its slice, with id, job, file names and source laid over it; several slices of one
+    submission have their z in the id. A painted sample without metadata leaves no record, its row a null.
+    """
+    drawn = slices.join(metadata, "sample_id", "left")
+    own = Window.partitionBy("sample_id")
+    first = F.row_number().over(own.orderBy((F.col("z") != F.col("default_z")).cast("int"), "z"))
+    kept = drawn.withColumns({"k": first, "n": F.count(F.lit(1)).over(own)}).filter(F.col("meta").isNotNull() | (F.col("k") == 1))
+    several = (F.col("n") > 1) & F.col("meta").isNotNull()
+    text = lambda c: F.col(c).cast("string")
+    named = kept.select("sample_id", "job_id", "z", "meta", F.when(several, F.format_string("%d-z%02d", "sample_id", "z")).otherwise(text("sample_id")).alias("id"), F.lit("polygon_v2").alias("source"))
+    painted = rasters.join(metadata, "sample_id", "left").select("sample_id", "job_id", "z", "meta", text("sample_id").alias("id"), F.lit("legacy_raster").alias("source"))
+    pair = lambda k, v: [F.lit(k), v]
+    over = F.create_map(*pair("timestamp", F.col("id")), *pair("job_id", text("job_id")), *pair("training_image_filename", F.concat(F.lit("img"), "id", F.lit(".png"))), *pair("training_mask_filename", F.concat(F.lit("seg"), "id", F.lit(".png"))), *pair("annotation_source", F.col("source")))
+    base = F.coalesce("meta", F.create_map().cast("map<string,string>"))
+    placed = F.when(F.col("meta").isNotNull(), F.create_map(F.lit("annotated_local_z_index"), text("z"))).otherwise(F.create_map().cast("map<string,string>"))
+    rest = F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k) & (k != "annotated_local_z_index"))
+    record = F.when((F.col("source") == "polygon_v2") | F.col("meta").isNotNull(), F.to_json(F.map_concat(rest, placed, over)))
+    return named.unionByName(painted).select("sample_id", "z", record.alias("record"))
+
+
 def reject_reason(has_image: Column, has_mask: Column, has_meta: Column, n_regions: Column) -> Column:
     """Why a submission can't be used, null if it can: image and mask, or regions with an image or metadata."""
     return F.when(has_image & has_mask, None).when(n_regions == 0, "no regions").when(~(has_image | has_meta), "no image or metadata")

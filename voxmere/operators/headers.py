@@ -68,3 +68,18 @@ def validate_series(headers: DataFrame) -> DataFrame:
     sizes = headers.groupBy("job_id", "series_uid", "rows_", "cols_").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("key"), F.count_if(F.col("n_frames") > 1).alias("n_multi"))
     series = sizes.groupBy("job_id", "series_uid").agg((F.sum("n") - F.min_by("n", "key")).alias("n_other_size"), F.sum("n_multi").alias("n_multi_frame"))
     return series.select("job_id", "series_uid", "n_other_size", "n_multi_frame")
+
+
+def explode_frames(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(voxels, rejected) of image files (file_id, n_frames, rows_, cols_, n_channels, pixels), pixels being one flat array, frame by frame and row
+    by row, channels last.
+
+    A file of one frame is one slice, of several a slice for each; of a single frame in colours the first channel is taken. rejected (file_id, reason):
+    several frames in colours, or a number of pixels that doesn't fit.
+    """
+    fits = F.size("pixels") == F.col("n_frames") * F.col("rows_") * F.col("cols_") * F.col("n_channels")
+    reason = F.when(F.coalesce(~fits, F.lit(True)), "wrong size").when((F.col("n_frames") > 1) & (F.col("n_channels") > 1), "colour frames")
+    judged = files.withColumn("reason", reason)
+    each = judged.filter("reason is null").select("file_id", "rows_", "cols_", "n_channels", F.posexplode("pixels").alias("p", "v")).filter("p % n_channels = 0").withColumn("p", F.expr("p DIV n_channels"))
+    voxels = each.select("file_id", F.expr("p DIV (rows_ * cols_)").alias("z"), (F.col("p") % F.col("cols_")).alias("x"), F.expr("(p DIV cols_) % rows_").alias("y"), "v")
+    return voxels, judged.filter("reason is not null").select("file_id", "reason")

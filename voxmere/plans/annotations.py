@@ -133,3 +133,42 @@ def annotation_sample_write(spark, d):
     rows = regions_by_slice(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sample_id")))
     name = F.when(F.col("n") > 1, F.format_string("%d-z%02d", "sample_id", "z")).otherwise(F.col("sample_id").cast("string"))
     return rows.select("sample_id", "z", name.alias("id"), F.lit("polygon_v2").alias("annotation_source"))
+
+
+RAW = "rw AS (SELECT sample_id, i AS x, j AS y, coalesce(v, 0) AS v FROM gg CROSS JOIN range(8) a(i) CROSS JOIN range(8) b(j) LEFT JOIN voxels o ON o.z = global_z AND o.x = i AND o.y = j WHERE global_z IS NOT NULL)"
+
+
+@query(
+    "sample_training_rows", "anno_meta", "voxels",
+    sql=f"""WITH {GLOBAL}, {RAW} SELECT sample_id, x, y, CASE WHEN sample_id % 3 <> 0 THEN v ELSE v % 256 END AS v, CAST(CASE WHEN (x + y + sample_id) % 5 = 0 THEN 255 ELSE 0 END AS BIGINT) AS label, sample_id % 3 <> 0 AS uses_raw FROM rw WHERE sample_id % 7 <> 0""",
+)
+def sample_training_rows(spark, d):
+    """Two of three samples have metadata and come from the volume, the others from their 8-bit picture; one in seven has no mask."""
+    pixels = A.restore_slices(v(spark, d, "anno_meta"), v(spark, d, "voxels"), (0, 0), (8, 8))
+    s = F.col("sample_id")
+    masks = pixels.filter((s % 7 != 0) & ((F.col("x") + F.col("y") + s) % 5 == 0)).select("sample_id", "x", "y", F.lit(255).cast("long").alias("lab"))
+    return A.sample_training_rows(pixels.filter(s % 3 != 0), pixels.withColumn("v", F.col("v") % 256), masks)
+
+
+@query(
+    "annotation_sample_records", "anno_meta",
+    sql=f"""WITH s AS ({SLICES}), c AS (SELECT s.sample_id, z, count(*) OVER w AS n, row_number() OVER (PARTITION BY s.sample_id ORDER BY CASE WHEN z = annotated_local_z_index THEN 0 ELSE 1 END, z) AS k, s.sample_id % 3 <> 0 AS has FROM s JOIN anno_meta m ON m.sample_id = s.sample_id WHERE s.sample_id % 5 <> 4 WINDOW w AS (PARTITION BY s.sample_id)),
+    r AS (SELECT sample_id, z, CASE WHEN n > 1 AND has THEN printf('%d-z%02d', sample_id, z) ELSE CAST(sample_id AS VARCHAR) END AS id, 'polygon_v2' AS source, has FROM c WHERE has OR k = 1
+    UNION ALL SELECT sample_id, annotated_local_z_index, CAST(sample_id AS VARCHAR), 'legacy_raster', sample_id % 3 <> 0 FROM anno_meta WHERE sample_id % 5 = 4)
+    SELECT r.sample_id, z, CASE WHEN ok THEN id END AS id, CASE WHEN ok THEN source END AS source, CASE WHEN ok THEN concat('img', id, '.png') END AS image, CASE WHEN ok THEN concat('seg', id, '.png') END AS mask, CASE WHEN ok THEN CAST(r.sample_id % 20 AS VARCHAR) END AS job,
+    CASE WHEN has THEN CAST(z AS VARCHAR) END AS local_z, CASE WHEN has THEN CAST(z_origin AS VARCHAR) END AS z_origin FROM (SELECT *, has OR source = 'polygon_v2' AS ok FROM r) r JOIN anno_meta m ON m.sample_id = r.sample_id""",
+)
+def annotation_sample_records(spark, d):
+    """Records of drawn and painted samples, written as JSON lines and read again: metadata with names and source laid over it."""
+    from voxmere.sources.paths import scratch
+
+    s, meta = F.col("sample_id"), v(spark, d, "anno_meta")
+    drawn = A.regions_by_slice(submissions(spark, d).filter(s % 5 != 4), "sample_id", "payload", "annotated_local_z_index").select("sample_id", "z")
+    slices = drawn.join(meta.select("sample_id", F.col("annotated_local_z_index").alias("default_z")), "sample_id").withColumn("job_id", s % 20)
+    rasters = meta.filter(s % 5 == 4).select("sample_id", (s % 20).alias("job_id"), F.col("annotated_local_z_index").alias("z"))
+    known = meta.filter(s % 3 != 0).select("sample_id", F.create_map(F.lit("z_origin"), F.col("z_origin").cast("string"), F.lit("annotated_local_z_index"), F.lit("-1"), F.lit("annotation_source"), F.lit("unknown")).alias("meta"))
+    path = scratch(spark)
+    A.sample_records(slices, rasters, known).write.json(path)
+    rows = spark.read.schema("sample_id long, z long, record string").json(path)
+    got = lambda k: F.get_json_object("record", f"$.{k}")
+    return rows.select("sample_id", "z", got("timestamp").alias("id"), got("annotation_source").alias("source"), got("training_image_filename").alias("image"), got("training_mask_filename").alias("mask"), got("job_id").alias("job"), got("annotated_local_z_index").alias("local_z"), got("z_origin").alias("z_origin"))

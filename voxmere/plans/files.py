@@ -93,6 +93,20 @@ def multiframe_explode(spark, d):
     return pixels.select("file_id", "z", (F.col("p") % 8).cast("long").alias("x"), floor_div("p", 8).alias("y"), "v")
 
 
+@query("frames_of_files", "voxels", sql="""SELECT z // 4 AS file_id, NULL AS reason, z % 4 AS z, x, y, v FROM voxels WHERE z // 4 % 5 <> 0 AND z // 4 % 5 <> 3 AND NOT (z // 4 % 5 = 4 AND z % 4 > 0) AND NOT (z // 4 % 5 = 2 AND z % 4 > 0)
+    UNION ALL SELECT DISTINCT z // 4, CASE WHEN z // 4 % 5 = 0 THEN 'colour frames' ELSE 'wrong size' END, NULL, NULL, NULL, NULL FROM voxels WHERE z // 4 % 5 IN (0, 3)""")
+def frames_of_files(spark, d):
+    """Files of four frames; some have one frame, some one in colours, some four in colours, and of some a pixel is missing."""
+    v, kind = view(spark, d, "voxels"), F.col("file_id") % 5
+    files_ = v.groupBy(floor_div("z", 4).alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("z", "y", "x", "v"))).alias("ps"), (F.max("x") + 1).alias("cols_"), (F.max("y") + 1).alias("rows_"), F.countDistinct("z").alias("n_frames"))
+    gray = F.transform("ps", lambda p: p["v"])
+    first = F.slice(gray, F.lit(1), (F.col("cols_") * F.col("rows_")).cast("int"))
+    coloured = lambda a: F.flatten(F.transform(a, lambda p: F.array(p, p % 7, p % 3)))
+    pixels = F.when(kind == 0, coloured(gray)).when(kind == 2, coloured(first)).when(kind == 3, F.slice(gray, 2, 1 << 20)).when(kind == 4, first).otherwise(gray)
+    voxels, rejected = H.explode_frames(files_.select("file_id", F.when(kind.isin(2, 4), 1).otherwise(F.col("n_frames")).alias("n_frames"), "rows_", "cols_", F.when(kind.isin(0, 2), 3).otherwise(1).alias("n_channels"), pixels.alias("pixels")))
+    return voxels.unionByName(rejected, allowMissingColumns=True).select("file_id", "reason", F.col("z").cast("long"), F.col("x").cast("long"), F.col("y").cast("long"), "v")
+
+
 @query("infer_volume_shape", "dicom_headers", sql=f"WITH f AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {KEY}) AS k FROM dicom_headers) SELECT job_id, max(cols_) FILTER (k = 1) AS width, max(rows_) FILTER (k = 1) AS height, count(*) AS depth FROM f GROUP BY job_id")
 def infer_volume_shape(spark, d):
     order = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(H.slice_key())))

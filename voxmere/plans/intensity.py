@@ -36,6 +36,17 @@ def intensity_stats(spark, d):
     return I.window_bounds(view(spark, d, "voxels"))
 
 
+STATED = ("source_min", "source_max", "window_min", "window_max")
+FLOATS = "fv AS (SELECT label, CAST(CAST(v - 32768 AS DOUBLE) / 7 * (1 + x) AS FLOAT)::DOUBLE AS v FROM voxels)"
+
+
+@query("float_intensity_stats", "voxels", sql=f"WITH {FLOATS}, {STATS.replace('FROM voxels', 'FROM fv')} SELECT label, {', '.join(f'round({c}, 4) AS {c}' for c in STATED)} FROM w")
+def float_intensity_stats(spark, d):
+    """As intensity_stats for a volume of 32-bit floats, where distinct values have no bound."""
+    value = ((F.col("v") - 32768).cast("double") / 7 * (F.lit(1) + F.col("x"))).cast("float")
+    return I.window_bounds(view(spark, d, "voxels").withColumn("v", value)).select("label", *(F.round(c, 4).alias(c) for c in STATED))
+
+
 @query(
     "auto_window_intensity",
     "voxels",
@@ -51,6 +62,15 @@ def custom_transform(spark, d):
     return view(spark, d, "voxels").select("x", "y", "z", plug_in(F.col("v")).alias("v"))
 
 
+@query("array_transform", "voxels", sql="SELECT x, y, z, v - max(v) OVER (PARTITION BY x, y, z // 16) AS v FROM voxels")
+def array_transform(spark, d):
+    """A plug-in over dense 32-bit arrays: each value less the largest of its column of voxels in the brick."""
+    from voxmere.sources.blocks import pack, transform_bricks, unpack
+
+    relative = lambda a: a - a.max(axis=2, keepdims=True)
+    return unpack(transform_bricks(pack(view(spark, d, "voxels")), relative, "int32")).select("x", "y", "z", "v")
+
+
 @query("slice_stack_export", "voxels", sql="SELECT printf('%04d.png', z) AS name, x // 2 AS x, y // 2 AS y, v % 256 AS v FROM voxels WHERE x % 2 = 0 AND y % 2 = 0")
 def slice_stack_export(spark, d):
     """Slices written as 8-bit image files named by z; the files read again."""

@@ -144,11 +144,17 @@ def predict_samples_by_centres(spark, d):
 
 @query("source_plugin", "voxels", sql="SELECT x, y, z, v FROM voxels")
 def source_plugin(spark, d):
-    """Voxels through a Python data source that reads one partition for each range of z."""
-    from voxmere.sources.plugin import SliceSource
+    """Voxels through a sink and a source of our own: written as 16-bit values by ranges of z, and read again."""
+    from voxmere.sources.plugin import open_volume, write_volume
 
-    spark.dataSource.register(SliceSource)
-    path = scratch(spark)
-    view(spark, d, "voxels").select("x", "y", "z", "v").repartitionByRange("z").sortWithinPartitions("z").write.parquet(path)
-    depth = spark.read.parquet(path).agg(F.max("z")).first()[0]
-    return spark.read.format("voxel_slices").option("depth", str((-1 if depth is None else depth) + 1)).option("parts", str(spark.sparkContext.defaultParallelism)).load(path)
+    rows = open_volume(spark, write_volume(view(spark, d, "voxels"), scratch(spark), "uint16"))
+    return rows.select("x", "y", "z", F.col("v").cast("long").alias("v"))
+
+
+@query("source_plugin_region", "voxels", sql="SELECT x, y, z, v FROM voxels WHERE z >= 20 AND z < 60 AND x <> 3")
+def source_plugin_region(spark, d):
+    """A region of such a volume: the bounds on z are pushed into the source."""
+    from voxmere.sources.plugin import open_volume, write_volume
+
+    rows = open_volume(spark, write_volume(view(spark, d, "voxels"), scratch(spark), "float64"))
+    return rows.filter("z >= 20 AND z < 60 AND x <> 3").select("x", "y", "z", F.col("v").cast("long").alias("v"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxmere.functions import runs as N
 from voxmere.operators import runs as R
 from voxmere.plans.registry import query
+from voxmere.sources.paths import scratch
 from voxmere.sources.views import view
 
 ASOF = "seen AS (SELECT m.job_id, m.model_id, count(s.sample_id) AS n_samples FROM models m LEFT JOIN samples s ON s.job_id = m.job_id AND s.sample_ts <= m.model_ts GROUP BY m.job_id, m.model_id)"
@@ -229,13 +230,16 @@ def backfill_metadata(spark, d):
 
 @query("training_sample_ids", "models", "samples", sql="SELECT m.model_id, string_agg(CAST(s.sample_id AS VARCHAR), ',' ORDER BY s.sample_id) FILTER (s.sample_id % 4 <> 0) AS ids FROM models m JOIN samples s ON s.job_id = m.job_id AND s.sample_ts <= m.model_ts GROUP BY m.model_id HAVING count(*) FILTER (s.sample_id % 4 <> 0) > 0")
 def training_sample_ids(spark, d):
-    pairs = models(spark, d).join(view(spark, d, "samples"), "job_id").filter("sample_ts <= model_ts")
-    entry = F.struct(F.when(F.col("sample_id") % 2 == 1, F.col("sample_id")).alias("sample_id"), F.when(F.col("sample_id") % 4 == 2, F.concat(F.lit("img"), "sample_id", F.lit(".png"))).alias("image_filename"))
-    lists = pairs.groupBy("model_id").agg(F.collect_list(entry).alias("training_samples"))
-    ids = F.filter(F.transform("training_samples", lambda s: F.coalesce(s["sample_id"], N.sample_id(s["image_filename"]))), lambda x: x.isNotNull())
-    return lists.select("model_id", F.array_sort(ids).alias("ids")).filter(F.size("ids") > 0).withColumn("ids", F.array_join("ids", ","))
-
+    """Lists grow from run to run by what each run saw first; no run is joined with all samples before it."""
+    from pyspark.sql.window import Window
 
+    s = F.col("sample_id")
+    named = R.new_samples(view(spark, d, "samples"), models(spark, d)).filter("model_id is not null")
+    entry = R.listed_sample_id(F.when(s % 2 == 1, s), F.when(s % 4 == 2, F.concat(F.lit("img"), s.cast("string"), F.lit(".png"))))
+    added = named.groupBy("job_id", "model_id").agg(F.collect_list(entry).alias("ids"))
+    upto = Window.partitionBy("job_id").orderBy("model_ts", "model_id").rowsBetween(Window.unboundedPreceding, 0)
+    lists = models(spark, d).join(added, ["job_id", "model_id"], "left").withColumn("ids", F.array_sort(F.flatten(F.collect_list("ids").over(upto))))
+    return lists.filter(F.size("ids") > 0).select("model_id", F.array_join("ids", ",").alias("ids"))
 
 
 @query("metadata_merge", "model_json", sql="SELECT model_id, CAST(job_id AS VARCHAR) AS job_id, CASE WHEN model_id % 2 = 0 THEN 'new' ELSE 'forest' END AS kind, CASE WHEN model_id % 3 = 0 THEN 'x' END AS note FROM model_json")
@@ -251,18 +255,32 @@ def metadata_merge(spark, d):
 @query("sidecar_write", "model_json", "segmentations", sql="WITH s AS (SELECT seg_id, count(*) AS n FROM segmentations GROUP BY seg_id) SELECT model_id, job_id, meta, CASE WHEN n IS NOT NULL THEN concat(model_id, '.zarr') END AS segmentation_id FROM model_json LEFT JOIN s ON seg_id = model_id")
 def sidecar_write(spark, d):
     """Sidecars, written, then read and merged with what is known later."""
-    from voxmere.sources.paths import scratch
-
     path = scratch(spark)
     view(spark, d, "model_json").write.parquet(path)
     done = view(spark, d, "segmentations").select(F.col("seg_id").alias("model_id")).distinct().withColumn("segmentation_id", F.concat("model_id", F.lit(".zarr")))
     return spark.read.parquet(path).join(done, "model_id", "left").select("model_id", "job_id", "meta", "segmentation_id")
 
 
-@query("training_record", "models", "samples", sql=f"WITH {ASOF} SELECT model_id, job_id, n_samples AS annotation_count, 50 AS n_estimators, n_samples > 0 AS usable FROM seen")
+@query(
+    "training_record", "models", "samples", "anno_meta", "model_json",
+    sql="""WITH fs AS (SELECT s.job_id, s.sample_id, m.sample_id IS NOT NULL AS uses_raw, (SELECT arg_min(o.model_id, (o.model_ts, o.model_id)) FROM models o WHERE o.job_id = s.job_id AND o.model_ts >= s.sample_ts) AS model_id FROM samples s LEFT JOIN anno_meta m ON m.sample_id = s.sample_id),
+    ad AS (SELECT model_id, count(*) AS n, count(*) FILTER (uses_raw) AS raw, string_agg(concat('img', sample_id, '.png ', 'seg', sample_id, '.png', CASE WHEN uses_raw THEN concat(' meta', sample_id, '.json') ELSE '' END), '; ' ORDER BY sample_id) AS files FROM fs WHERE model_id IS NOT NULL GROUP BY model_id),
+    rc AS (SELECT m.*, coalesce(files, '') AS files, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS annotation_count, CAST(coalesce(sum(raw) OVER w, 0) AS BIGINT) AS metadata_backed_sample_count FROM models m LEFT JOIN ad ON ad.model_id = m.model_id WINDOW w AS (PARTITION BY job_id ORDER BY model_ts, m.model_id ROWS UNBOUNDED PRECEDING))
+    SELECT rc.model_id, rc.job_id, annotation_count, metadata_backed_sample_count, files, CAST(json_extract_string(meta, '$.rf_kwargs.n_estimators') AS BIGINT) AS n_estimators, CAST(json_extract_string(meta, '$.metrics.train_foreground_dice') AS DOUBLE) AS dice,
+    CAST(replace(json_extract_string(meta, '$.metrics.train_foreground_iou'), '%', '') AS DOUBLE) AS iou, 'ready' AS curve FROM rc LEFT JOIN model_json j ON j.model_id = rc.model_id""",
+)
 def training_record(spark, d):
-    counts = R.growth(view(spark, d, "samples"), models(spark, d))
-    return counts.select("model_id", "job_id", F.col("n_samples").alias("annotation_count"), F.lit(50).alias("n_estimators"), (F.col("n_samples") > 0).alias("usable"))
+    """Records of all runs, written as JSON and read again: counts, the samples that are new in each, parameters and metrics."""
+    raw = view(spark, d, "anno_meta").select("sample_id", F.lit(True).alias("raw")).distinct()
+    samples = view(spark, d, "samples").join(raw, "sample_id", "left").withColumn("uses_raw", F.coalesce("raw", F.lit(False))).drop("raw")
+    records, path = R.training_records(samples, models(spark, d), view(spark, d, "model_json").select("model_id", "meta")), scratch(spark)
+    records.write.json(path)
+    rows = spark.read.schema(records.schema).json(path)
+    line = F.transform("new_samples", lambda s: F.concat_ws(" ", s["image_filename"], s["mask_filename"], s["metadata_filename"]))
+    return rows.select(
+        "model_id", "job_id", "annotation_count", "metadata_backed_sample_count", F.array_join(line, "; ").alias("files"), F.col("parameters")["n_estimators"].cast("long").alias("n_estimators"),
+        F.col("metrics")["train_foreground_dice"].alias("dice"), F.col("metrics")["train_foreground_iou"].alias("iou"), F.col("artifacts.training_curve.status").alias("curve"),
+    )
 
 
 @query("sidecar_scan", "model_json", sql="SELECT model_id, CASE WHEN model_id % 10 <> 0 THEN TRY_CAST(json_extract_string(meta, '$.annotation_count') AS BIGINT) END AS annotation_count FROM model_json")

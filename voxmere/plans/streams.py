@@ -16,6 +16,7 @@ from voxmere.sources.tables import table
 from voxmere.sources.views import view
 from voxmere.streaming import intake as S
 from voxmere.streaming import landing as L
+from voxmere.streaming import progress as P
 
 WAVES, JOBS = 3, 6
 
@@ -80,3 +81,18 @@ def stream_job_progress(spark, d):
     return S.counts(spark, S.land(rows, 4, "event_id"), rows.schema, "user_id")
 
 
+@query("job_progress_stream", sql="WITH t AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS total FROM events GROUP BY user_id) SELECT user_id AS job_id, total AS done, total, 1.0::DOUBLE AS progress FROM t")
+def job_progress_stream(spark, d):
+    """Finished blocks in four batches, some told twice, and totals in three; what was last said of each job."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    blocks = events.filter("event_type = 'view'").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("block_id"))
+    again = blocks.unionByName(blocks.filter("block_id % 3 = 0"))
+    totals = events.groupBy(F.col("user_id").alias("job_id")).agg(F.count_if(F.col("event_type") == "view").alias("total"))
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", L.STATE_STORE)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    told = P.job_progress(S.follow(session, S.land(again, 4, "block_id"), again.schema), S.follow(session, S.land(totals, 3, "job_id"), totals.schema))
+    out = scratch(spark)
+    S.run_to_end(told, "update", lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/step={k}"))
+    last = spark.read.parquet(out).groupBy("job_id").agg(F.max_by(F.struct("done", "total", "progress"), "batch").alias("p"))
+    return last.select("job_id", "p.*")
