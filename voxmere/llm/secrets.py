@@ -212,7 +212,10 @@ def guess_cost(value: str, ranks: dict[str, int], lengths: list[int] | None = No
 
 
 def find_spans(text: str, ranks: dict[str, int], least_cost: float, lengths: list[int] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, float]]]:
-    """(base spans, added spans, costed values); a span is (start, order of its kind, end)."""
+    """(base spans, added spans, costed values); a span is (start, order of its kind, end).
+
+    Added is the whole value of a credential that costs enough, unless one base span covers it; base spans stay as they are.
+    """
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -229,8 +232,8 @@ def find_spans(text: str, ranks: dict[str, int], least_cost: float, lengths: lis
         start, end = m.start(1), m.start(1) + len(value)
         cost = guess_cost(value, ranks, lengths)
         costs.append((start, end, cost))
-        before = bisect_right(starts, end - 1)
-        if cost >= least_cost and not (before and ends[before - 1] > start):
+        before = bisect_right(starts, start)
+        if cost >= least_cost and not (before and ends[before - 1] >= end):  # a base span that ends early leaves the rest open
             added.append((start, 3, end))
     return base, added, costs
 
