@@ -181,3 +181,107 @@ def test_very_long_pages(spark):
     page = "<article>" + "".join(f"<p>Paragraph {k}.</p>" for k in range(60_000)) + "</article>"
     (found,) = run(spark, [("http://long.example/", page)])
     assert found == "\n".join(f"Paragraph {k}." for k in range(60_000))
+
+
+def grown(r, n):
+    return " ".join("".join(r.choices("aeioubcdrst", k=r.randint(2, 8))) for _ in range(n))
+
+
+def test_template_inside_articles(spark):
+    """Boxes without telling names, between, around and among the paragraphs of articles, at several hosts: precision and recall by block."""
+    r = random.Random(12)
+    pages, wants, boxed = [], [], set()
+    for host in range(6):
+        boxes = [f"Join our club {host} {grown(r, 6)}", f"Read this {grown(r, 9)}"]
+        boxed |= set(boxes)
+        for k in range(8):
+            story_ = [grown(r, r.randint(5, 40)) for _ in range(r.randint(2, 7))]
+            parts = [f"<p>{x}</p>" for x in story_]
+            parts.insert(r.randint(0, len(parts)), f"<div class=x1><span>{boxes[0]}</span></div>" if host % 2 else f"<p>{boxes[0]}</p>")
+            if k % 4:
+                parts.append(f"<section><p>{boxes[1]}</p></section>")
+            root = ("article", "main", "article")[host % 3]
+            pages.append((f"http://h{host}.example/", f"<body><ul><li>top</ul><{root}>{''.join(parts)}</{root}></body>"))
+            wants.append(story_)
+    found = [t.split("\n") for t in run(spark, pages)]
+    hits = sum(len(set(f) & set(w)) for f, w in zip(found, wants))
+    assert hits >= 0.95 * sum(map(len, found)) and hits >= 0.95 * sum(map(len, wants))
+    assert not boxed & {x for f in found for x in f}
+
+
+def test_copies_of_a_story_are_no_template(spark):
+    """Pages of one host that share most of their article, with other headers or a changed line, keep it."""
+    r = random.Random(13)
+    shared = [grown(r, 20) for _ in range(6)]
+    pages = [("http://copies.example/", f"<body><i>{k}</i><article>{''.join(f'<p>{x}</p>' for x in shared)}<p>{grown(r, 12)}</p></article></body>") for k in range(9)]
+    found = run(spark, pages)
+    assert all(f.split("\n")[:6] == shared and len(f.split("\n")) == 7 for f in found)
+
+
+def slow_extract(pages):
+    """extract_text by loops over whole lists: one fold for each host, then counts of texts by slot."""
+    hosts = {}
+    for url, page in pages:
+        hosts.setdefault(re.sub("^.*//|/.*$", "", url), []).append(page)
+    out = {}
+    for host, texts in hosts.items():
+        shapes = {}
+        for t in texts:
+            shape = H.dump(H.expression(H.parse(t)))
+            shapes[shape] = shapes.get(shape, 0) + 1
+        whole = None
+        for shape in sorted(shapes, key=lambda x: (-shapes[x], x)):
+            whole = H.load(shape) if whole is None else H.merge(whole, H.load(shape))
+        import json
+
+        slots = H.Slots(json.dumps({"wrapper": H.dump(whole)}))
+        filled = {t: H.blocks(H.parse(t), slots.tree) for t in set(texts)}
+
+        def fixed(pages):
+            held, has = {}, {}
+            for t in pages:
+                for text, _, slot, area in filled[t]:
+                    held.setdefault((slot, area, text), set()).add(t)
+                    has.setdefault((slot, area), set()).add(t)
+            return {k for k, v in held.items() if len(v) >= 3 and 2 * len(v) > len(has[k[:2]])}
+
+        first = fixed(set(texts))
+        shown = set()
+        for t in set(texts):
+            inside = [(slot, area, text) for text, _, slot, area in filled[t] if area]
+            n, same = sum(len(x[2]) for x in inside), sum(len(x[2]) for x in inside if x in first)
+            if inside and (n - same) * 3 >= n:
+                shown.add(t)
+        template = {x for x in first if not x[1]} | {x for x in fixed(shown) if x[1]}
+        chars = {}
+        for t in set(texts):
+            for text, links, slot, area in filled[t]:
+                if (slot, area, text) not in template:
+                    a = chars.setdefault((slot, area), [0, 0])
+                    a[0], a[1] = a[0] + len(text), a[1] + min(links, len(text))
+        main = sum(v[0] for k, v in chars.items() if k[1] == H.MAIN) > sum(v[0] for k, v in chars.items() if k[1] == H.ARTICLE)
+        linky = {k[0] for k, v in chars.items() if k[1] == 0 and 2 * v[1] > v[0]}
+        for t in set(texts):
+            told = [b for b in filled[t] if b[1] * 2 <= len(b[0]) and not (b[1] and b[2] in linky)]
+            for area in (H.MAIN, H.ARTICLE) if main else (H.ARTICLE, H.MAIN):
+                within = [b for b in filled[t] if b[3] >= area]
+                if within:
+                    told = within
+                    break
+            out[host, t] = "\n".join(b[0] for b in told if all((b[2], a, b[0]) not in template for a in (0, 1, 2)))
+    return [out[re.sub("^.*//|/.*$", "", url), page] for url, page in pages]
+
+
+def test_extraction_against_a_slow_twin(spark):
+    r = random.Random(14)
+    lines = ["fixed one", "fixed two", "ad <a href=x>link here</a>", "<a href=y>go</a>"]
+    pages = []
+    for host in range(5):
+        for _ in range(9):
+            blocks_ = [r.choice(lines) if r.random() < 0.4 else grown(r, r.randint(1, 15)) for _ in range(r.randint(1, 7))]
+            tags = [r.choice(["p", "div", "section"]) for _ in blocks_]
+            body = "".join(f"<{t}>{b}</{t}>" for t, b in zip(tags, blocks_))
+            cut = r.randint(0, len(body)) if r.random() < 0.2 else 0
+            inner = r.choice(["{}", "<article>{}</article>", "<main>{}</main>", "<main><p>fixed three</p><article>{}</article></main>"]).format(body)
+            pages.append((f"http://s{host}.example/", f"<body><p>fixed one</p>{inner}<p>foot</p></body>" if not cut else body[:cut]))
+    assert run(spark, pages) == slow_extract(pages)

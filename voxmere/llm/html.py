@@ -8,9 +8,10 @@ merged in groups of bounded size, round by round, so no task holds all expressio
 
 Then every page is aligned with its host's wrapper, which says of each text which slot it fills. Over the different pages
 of a host, a text that fills one slot on more than half of the pages that have the slot is template; what varies is
-content. Slots in article or main elements are the article where pages have such elements; which of the two is learned
-from what the host's slots hold. Elsewhere the article is what varies and isn't mostly links. Elements and names that say
-of themselves that they hold something else (menus, adverts, comments) are left out.
+content. That holds inside article and main elements, too, where only pages count whose article varies by a third or more, so
+that copies of one story don't make it a template. Other slots in article or main elements are the article where pages have such
+elements; which of the two is learned from what the host's slots hold. Elsewhere the article is what varies and isn't mostly
+links. Elements and names that say of themselves that they hold something else (menus, adverts, comments) are left out.
 """
 
 from __future__ import annotations
@@ -395,12 +396,12 @@ _FILLED = [("host", pa.string()), ("page", pa.int64()), ("slot", pa.int32()), ("
 
 
 def _fill(batch: pa.RecordBatch, infos: list[str]) -> Iterator[pa.RecordBatch]:
-    """What each page's slots hold: a row for each text, or for each slot of an article element."""
+    """What each page's slots hold: a row for each text."""
     rows = []
     for host, text, info in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), infos, strict=True):
         page, held = xxhash.xxh64_intdigest(text) >> 1, {}
         for found, links, slot, area in blocks(parse(text), _slots(info).tree):
-            key = (slot, area, 0 if area == ARTICLE else xxhash.xxh64_intdigest(found) >> 1)
+            key = (slot, area, xxhash.xxh64_intdigest(found) >> 1)
             chars, linked = held.get(key, (0, 0))
             held[key] = (chars + len(found), linked + links)
         rows += [(host, page, *key, *sums) for key, sums in held.items()]
@@ -408,18 +409,33 @@ def _fill(batch: pa.RecordBatch, infos: list[str]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _FILLED, strict=True)], [n for n, _ in _FILLED])
 
 
+def _told(filled: DataFrame) -> DataFrame:
+    """(host, slot, area, text, chars, links, fixed): the texts of all slots, and whether they fill theirs on most different pages."""
+    spread = filled.select("host", "slot", "area", "page").distinct().groupBy("host", "slot", "area").agg(F.count(F.lit(1)).alias("pages"))
+    once = filled.groupBy("host", "slot", "area", "text", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
+    texts = once.groupBy("host", "slot", "area", "text").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    return texts.join(spread, ["host", "slot", "area"]).withColumn("fixed", (F.col("m") >= 3) & (F.col("m") * 2 > F.col("pages")))
+
+
 def learn_slots(pages: DataFrame, wrappers: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, info): of each host, as JSON, its wrapper, its template (texts that fill a slot on more than half of the
     different pages that have it, three at least), the slots whose other texts are mostly links, and whether its main
-    elements hold more outside their article elements than in them."""
+    elements hold more outside their article elements than in them.
+
+    Inside article and main elements a text is template only if it is one among the pages whose article, less all such
+    texts, keeps a third of its characters: pages that share their story tell nothing of the template. Hosts of fewer than three
+    different pages have no template; null urls count as host '', null html as a page without texts; no pages, no rows.
+    """
     named = pages.select(_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     bare = wrappers.select("host", F.to_json(F.struct("wrapper")).alias("info"))
     filled = shared_checkpoint(_with_info(named, bare, "host string, page long, slot int, area int, text long, chars long, links long", _fill))
-    spread = filled.select("host", "slot", "area", "page").distinct().groupBy("host", "slot", "area").agg(F.count(F.lit(1)).alias("pages"))
-    once = filled.groupBy("host", "slot", "area", "text", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
-    texts = once.groupBy("host", "slot", "area", "text").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    told = texts.join(spread, ["host", "slot", "area"])
-    told = shared_checkpoint(told.withColumn("fixed", (F.col("area") != ARTICLE) & (F.col("m") >= 3) & (F.col("m") * 2 > F.col("pages"))))
+    told = shared_checkpoint(_told(filled))
+    within = told.filter("fixed and area > 0").select("host", "slot", "area", "text", F.lit(True).alias("held"))
+    inside = filled.filter("area > 0").join(within.select("host").distinct(), "host", "left_semi").join(within, ["host", "slot", "area", "text"], "left")
+    shown = inside.groupBy("host", "page").agg(F.sum("chars").alias("whole"), F.sum(F.when(F.col("held"), F.col("chars")).otherwise(0)).alias("same")).filter("(whole - same) * 3 >= whole")
+    proven = _told(inside.join(shown.select("host", "page").distinct(), ["host", "page"], "left_semi")).filter("fixed").select("host", "slot", "area", "text", F.lit(True).alias("proven"))
+    told = told.join(proven, ["host", "slot", "area", "text"], "left").withColumn("fixed", F.when(F.col("area") == PLAIN, F.col("fixed")).otherwise(F.coalesce("proven", F.lit(False))))
+    told = shared_checkpoint(told.drop("proven"))
     varying = told.filter("not fixed").groupBy("host", "slot", "area").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     by_host = varying.groupBy("host").agg(
         F.sum(F.when(F.col("area") == MAIN, F.col("chars")).otherwise(0)).alias("in_main"),
@@ -433,11 +449,11 @@ def learn_slots(pages: DataFrame, wrappers: DataFrame, url_col: str = "url", htm
 
 def article(found: list[Block], slots: Slots) -> list[str]:
     """The texts of a page that are its article, from the slots that they fill."""
-    by_area = {area: [b[0] for b in found if b[3] >= area] for area in (MAIN, ARTICLE)}
-    for area in (MAIN, ARTICLE) if slots.main else (ARTICLE, MAIN):
-        if by_area[area]:
-            return by_area[area]
     told = [b for b in found if b[1] * 2 <= len(b[0]) and not (b[1] and b[2] in slots.links)]
+    for area in (MAIN, ARTICLE) if slots.main else (ARTICLE, MAIN):
+        if within := [b for b in found if b[3] >= area]:
+            told = within
+            break
     return [b[0] for b in told if not slots.template or (b[2], xxhash.xxh64_intdigest(b[0]) >> 1) not in slots.template]
 
 
