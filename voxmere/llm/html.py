@@ -411,7 +411,8 @@ def _fill(batch: pa.RecordBatch, infos: list[str]) -> Iterator[pa.RecordBatch]:
 
 def _told(filled: DataFrame) -> DataFrame:
     """(host, slot, area, text, chars, links, fixed): the texts of all slots, and whether they fill theirs on most different pages."""
-    spread = filled.select("host", "slot", "area", "page").distinct().groupBy("host", "slot", "area").agg(F.count(F.lit(1)).alias("pages"))
+    # written, so that Spark can split a host with very many texts when they meet their slot's count
+    spread = shared_checkpoint(filled.select("host", "slot", "area", "page").distinct().groupBy("host", "slot", "area").agg(F.count(F.lit(1)).alias("pages")))
     once = filled.groupBy("host", "slot", "area", "text", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
     texts = once.groupBy("host", "slot", "area", "text").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     return texts.join(spread, ["host", "slot", "area"]).withColumn("fixed", (F.col("m") >= 3) & (F.col("m") * 2 > F.col("pages")))
