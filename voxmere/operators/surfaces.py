@@ -80,7 +80,19 @@ def stl_lines(placed: DataFrame) -> DataFrame:
     return facets.unionByName(ends[0]).unionByName(ends[1])
 
 
+#: Lines of one file.
+LINES = 1 << 17
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
-    """A folder lab=<object> for each object; its text files, one after the other by name, are the object's file."""
+    """A folder lab=<object> for each object; its text files, one after the other by name, are the object's file.
+
+    Lines know their place in their part of an object, so their file follows from how many lines the parts before have, and
+    no sample of them has to be drawn. Only objects are counted and put in order.
+    """
     order = ["lab", "part", "place"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("lab", "line").write.partitionBy("lab").text(path)
+    sizes = lines.groupBy("lab", "part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("lab", "part")) - F.col("size"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    dealt = lines.join(before.drop("size"), ["lab", "part"]).withColumn("file", F.floor((F.col("before") + F.col("place")) / LINES).cast("int"))
+    dealt.repartitionById(max(1, -(-total // LINES)), F.col("file")).sortWithinPartitions(*order).select("lab", "line").write.partitionBy("lab").text(path)
