@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder of this machine would not be seen by the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
