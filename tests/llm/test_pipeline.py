@@ -47,7 +47,7 @@ def test_run_equals_slow_stages(spark):
     sets = {i: shingles(t) for i, t in before.items()}
     for i in before:
         best = max((similar(sets[i], sets[j]) for j in before if j < i), default=0)
-        assert best >= 0.65 if i not in kept else best < 0.9
+        assert best >= 0.8 if i not in kept else best < 0.8
     assert {i: before[i] for i in kept} == kept
 
     items = [(r["item_id"], plain(r["text"])) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
@@ -71,4 +71,4 @@ def test_stages_bear_odd_rows_and_columns(spark, edge_docs, no_docs):
 
 
 def test_registry():
-    assert [k.split("_")[0] for k in registry.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [k.split("_")[0] for k in registry.QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]
