@@ -114,6 +114,40 @@ def test_surface_files(spark, tmp_path):
             assert np.cross(b - a, c - a).tolist() == [int(q) for q in facet[0][2:]]
 
 
+def test_binary_surface_files(spark, tmp_path):
+    """The parts of an object in name order are a binary STL file: header, number, then 50 bytes for each facet; any part size."""
+    from voxmere.sources.images import write_files
+
+    labels = spark.createDataFrame([(1, 0, 0, 0), (2, 3, 0, 0), (2, 3, 0, 1)], "lab long, x long, y long, z long")
+    tris = surfaces.numbered(surfaces.triangles(surfaces.faces(labels)))
+    want = {k: [r for r in sorted(tris.collect(), key=lambda r: r["n"]) if r["lab"] == k] for k in (1, 2)}
+    for facets in (7, surfaces.FACETS):
+        folder = tmp_path / str(facets)
+        write_files(surfaces.stl_parts(tris, facets), str(folder))
+        for k, n in ((1, 12), (2, 20)):
+            parts = sorted(p for p in (folder / f"{k}.combined.stl").iterdir() if p.name.isdigit())
+            data = b"".join(p.read_bytes() for p in parts)
+            assert len(parts) == -(-n // facets) and len(data) == 84 + 50 * n and int.from_bytes(data[80:84], "little") == n
+            found = np.frombuffer(data, surfaces.FACET, offset=84)
+            assert found["corners"].tolist() == [[[float(c) for c in r[f"v{i}"]] for i in range(3)] for r in want[k]]
+            assert np.cross(found["corners"][:, 1] - found["corners"][:, 0], found["corners"][:, 2] - found["corners"][:, 0]).tolist() == found["normal"].tolist()
+    empty = surfaces.numbered(surfaces.triangles(surfaces.faces(labels.filter("lab = 9"))))
+    assert surfaces.stl_parts(empty).count() == 0
+
+
+def test_surface_files_of_blocks(spark, tmp_path):
+    """One solid for each object and block, negative places too; together they hold each triangle once."""
+    labels = spark.createDataFrame([(1, -1, 0, 0), (1, 0, 0, 0), (1, 9, 9, 9)], "lab long, x long, y long, z long")
+    tris = surfaces.triangles(surfaces.faces(labels))
+    surfaces.write_blocks(tris, (4, 4, 4), str(tmp_path / "b"))
+    found = {f.name: [p.read_text().splitlines() for p in f.glob("part-*")] for f in (tmp_path / "b").glob("lab=*")}
+    assert set(found) == {"lab=_1_-4_0_0", "lab=_1_0_0_0", "lab=_1_8_8_8"}
+    for name, files in found.items():
+        (lines,) = files
+        assert lines[0] == f"solid {name[4:]}" and lines[-1] == f"endsolid {name[4:]}"
+        assert len(lines) == 2 + 7 * (12 if name.endswith("_8") else 10)
+
+
 def test_regions_of_submissions(spark):
     square = "[[[1,1],[6,1],[6,6]]]"
     payloads = [

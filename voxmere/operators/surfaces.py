@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmere.operators.region import volume
+from voxmere.operators.region import floor_div, volume
 
 #: face: (neighbour offset, corners in order)
 FACES = (
@@ -96,3 +100,62 @@ def write_lines(lines: DataFrame, path: str) -> None:
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     dealt = lines.join(before.drop("size"), ["lab", "part"]).withColumn("file", F.floor((F.col("before") + F.col("place")) / LINES).cast("int"))
     dealt.repartitionById(max(1, -(-total // LINES)), F.col("file")).sortWithinPartitions(*order).select("lab", "line").write.partitionBy("lab").text(path)
+
+
+def by_block(tris: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """Triangles with lab replaced by the name of their object's part in a block, _<object>_<x>_<y>_<z>, where x, y and z are
+    the first voxel of the block that holds the triangle's voxel."""
+    corner = [(floor_div(a, n) * n).cast("string") for a, n in zip("xyz", size, strict=True)]
+    return tris.withColumn("lab", F.concat_ws("_", F.lit(""), F.col("lab").cast("string"), *corner))
+
+
+def write_blocks(tris: DataFrame, size: tuple[int, int, int], path: str) -> None:
+    """A folder lab=_<object>_<x>_<y>_<z> for each object and block with its ASCII STL solid in one file: a block bounds it, so
+    it is put in order in one task."""
+    lines = stl_lines(numbered(by_block(tris, size)))
+    lines.repartition("lab").sortWithinPartitions("lab", "part", "place").select("lab", "line").write.partitionBy("lab").text(path)
+
+
+#: A facet of a binary STL file, and how many one of its parts holds.
+FACET = np.dtype([("normal", "<f4", 3), ("corners", "<f4", (3, 3)), ("extra", "<u2")])
+FACETS = 1 << 17
+HEADER = 80
+
+
+def stl_parts(placed: DataFrame, facets: int = FACETS) -> DataFrame:
+    """(name, content): binary STL of each object of numbered triangles, in parts of so many facets. The parts of an object,
+    one after the other by name, are its file; the first begins with the header and the number of all facets."""
+    normals = np.array([o for o, _ in FACES], "<f4")
+
+    def pack(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("n")
+        out = np.zeros(rows.num_rows, FACET)
+        out["normal"] = normals[rows.column("face").to_numpy()]
+        out["corners"] = np.stack([rows.column(k).to_numpy() for k in range(2, 11)], axis=1).reshape(-1, 3, 3)
+        lab, part, total = (rows.column(k)[0].as_py() for k in ("lab", "part", "total"))
+        head = b"" if part else bytes(HEADER) + int(total).to_bytes(4, "little")
+        return pa.table({"name": [f"{lab}.combined.stl/{part:09d}"], "content": [head + out.tobytes()]})
+
+    corners = [F.col(f"v{i}.{a}").alias(f"v{i}{a}") for i in range(3) for a in "xyz"]
+    totals = placed.groupBy("lab").agg(F.count(F.lit(1)).alias("total"))
+    dealt = placed.join(totals, "lab").select("face", "n", *corners, "lab", "total", F.floor(F.col("n") / facets).alias("part"))
+    return dealt.groupBy("lab", "part").applyInArrow(pack, "name string, content binary")
+
+
+def read_stl(spark: SparkSession, folder: str) -> DataFrame:
+    """(lab, n, nx, ny, nz, corners): the facets of the binary files that stl_parts names, and their corners' nine numbers."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lab, part, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = np.frombuffer(content, FACET, offset=0 if part else HEADER + 4)
+                flat = pa.array(np.ascontiguousarray(rows["corners"]).ravel())
+                normal = [pa.array(np.ascontiguousarray(rows["normal"][:, k])) for k in range(3)]
+                place = pa.array(part * FACETS + np.arange(len(rows)))
+                corners = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 9, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), lab)), place, *normal, corners], ["lab", "n", "nx", "ny", "nz", "corners"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = lambda k: F.regexp_extract("path", "([0-9]+)[.]combined[.]stl/([0-9]+)$", k).cast("long")
+    named = files.select(found(1).alias("lab"), found(2).alias("part"), "content")
+    return named.mapInArrow(unpack, "lab long, n long, nx float, ny float, nz float, corners array<float>")

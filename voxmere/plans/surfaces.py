@@ -70,6 +70,41 @@ def surface_export(spark, d):
     return found[0].unionByName(found[1]).groupBy("kind", "lab", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "surface_export_binary",
+    "seg_labels",
+    sql=f"""WITH {FACES}, {CORNERS}, tr AS (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY z, x, y, face, tri, k) - 1 AS place FROM fc JOIN cr USING (face))
+    SELECT lab, place // 3 AS n, max(dx) AS nx, max(dy) AS ny, max(dz) AS nz, string_agg(concat_ws(' ', x + cx, y + cy, z + cz), ' ' ORDER BY place) AS corners FROM tr JOIN of6 USING (face) GROUP BY lab, place // 3""",
+)
+def surface_export_binary(spark, d):
+    """Every object written as a binary STL file in parts, and the facets read back from the bytes."""
+    from voxmere.sources.images import write_files
+
+    path = scratch(spark)
+    write_files(S.stl_parts(S.numbered(tris(spark, d))), path)
+    whole = F.array_join(F.transform("corners", lambda c: c.cast("int").cast("string")), " ")
+    return S.read_stl(spark, path).select("lab", "n", *(F.col(c).cast("int").alias(c) for c in ("nx", "ny", "nz")), whole.alias("corners"))
+
+
+BLOCK = (4, 4, 16)
+
+
+@query(
+    "surface_export_blocks",
+    "seg_labels",
+    sql=f"""WITH {FACES}, {CORNERS}, tr AS (SELECT *, concat('_', lab, '_', x // {BLOCK[0]} * {BLOCK[0]}, '_', y // {BLOCK[1]} * {BLOCK[1]}, '_', z // {BLOCK[2]} * {BLOCK[2]}) AS part FROM fc JOIN cr USING (face))
+    SELECT part, line, count(*) AS n FROM (SELECT part, printf('      vertex %d %d %d', x + cx, y + cy, z + cz) AS line FROM tr
+    UNION ALL SELECT part, unnest([printf('  facet normal %d %d %d', dx, dy, dz), '    outer loop', '    endloop', '  endfacet']) FROM tr JOIN of6 USING (face) WHERE k = 0
+    UNION ALL SELECT DISTINCT part, unnest(['solid ' || part, 'endsolid ' || part]) FROM tr) q GROUP BY ALL""",
+)
+def surface_export_blocks(spark, d):
+    """Every object's part in each block written as an ASCII STL file of its own, and the files' lines read back and counted."""
+    path = scratch(spark)
+    S.write_blocks(tris(spark, d), BLOCK, path)
+    lines = spark.read.schema("value string, lab string").text(path).select(F.col("lab").alias("part"), F.col("value").alias("line"))
+    return lines.groupBy("part", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("label_store_write", "seg_labels", sql="SELECT x, y, z, lab FROM seg_labels WHERE lab <> 0")
 def label_store_write(spark, d):
     from voxmere.sources.blocks import open_blocks, write_blocks
