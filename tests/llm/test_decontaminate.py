@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-
+import pyarrow as pa
 import pytest
 
 from voxmere.llm import decontaminate as D
@@ -148,3 +148,34 @@ def test_the_latent_space_decides(spark):
     found = lambda rank: {(x["doc_id"], x["item_id"]) for x in find_leaks(docs, table, rank=rank).collect()}
     assert len(found(D.RANK) & want) >= 0.98 * len(want)
     assert len(found(1) & want) < 0.9 * len(want)
+
+
+def test_sums_of_rows_equal_plain_addition():
+    r = np.random.default_rng(4)
+    for n, m in ((1, 0), (1, 1), (7, 300), (1000, 5000), (3, 20000)):
+        matrix, rows, groups = r.standard_normal((50, 4)), r.integers(0, 50, m), r.integers(0, n, m)
+        want = np.zeros((n, 4))
+        np.add.at(want, groups, matrix[rows])
+        assert np.allclose(D.sum_rows(matrix, rows, groups, n), want)
+
+
+def test_the_space_is_fitted_on_all_texts(spark, monkeypatch):
+    """More texts than one could take as a sample: frequencies, singular values and space equal those of all passages."""
+    monkeypatch.setattr(D, "PASSAGES", 1000)
+    r = random.Random(21)
+    items = [" ".join(f"t{r.randrange(60)}" for _ in range(20)) for _ in range(6)]
+    texts = [" ".join(f"t{min(r.randrange(90), r.randrange(90))}" for _ in range(r.randrange(3) and 5 or 40)) for _ in range(24000)]
+    words = [h for t in items for _, _, h, _ in D.plain_words(pa.array([t]))]
+    found, want = D._block(list(range(6)), words), D._block(list(range(6)), words)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    D.fit(docs, [found], "text", 16, D.LEAST_COMMON)
+    n, seen, passages = len(want.terms) - want.n_common, np.zeros(len(want.terms)), []
+    for _, _, hashes, firsts in D.plain_words(pa.array(texts)):
+        for lo, hi in zip(firsts[:-1], firsts[1:], strict=True):
+            term = want.find(hashes[lo:hi])
+            seen[np.unique(term[term >= 0])] += 1
+            passages += [np.bincount(x[(x >= 0) & (x < n)], minlength=n) for x in (term[: D.BLOCK], term[D.BLOCK :])]
+    passages = np.array(passages, float)
+    D._settle(want, len(texts), seen, passages.T @ (passages @ D._test_matrix(n, 16)), D.LEAST_COMMON)
+    assert np.allclose(found.weight, want.weight, rtol=1e-5) and np.allclose(found.singular, want.singular, rtol=1e-3)
+    assert np.allclose(found.basis[:, :4] @ found.basis[:, :4].T, want.basis[:, :4] @ want.basis[:, :4].T, atol=1e-2)

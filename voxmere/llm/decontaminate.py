@@ -2,8 +2,8 @@
 
 Passages of documents and benchmark items are TF-IDF vectors over the items' terms. A distributed randomised SVD finds
 the latent space: one pass over all documents counts document frequencies and the product of the Gram matrix of the
-passages of about FITTED documents with a random test matrix (a diagonal weight can be applied to both afterwards, as any
-test matrix of full rank will do). The items, at unit length, are added to the passages with ITEM_SHARE of their weight; of the singular vectors of
+passages of all of them with a random test matrix (a diagonal weight can be applied to both afterwards, as any test matrix
+of full rank will do). The items, at unit length, are added to the passages with ITEM_SHARE of their weight; of the singular vectors of
 the weighted product, RANK at most, those that hold ENERGY of the whole stay. Terms that many items have are coordinates of their
 own. A second pass projects half-overlapping windows of every text, whose length follows that of the items, and searches
 the items by their product with the window in that space, cosine times lengths. A window is a candidate if the product is at least SLACK of
@@ -26,19 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmere.llm.text import mix64, slices, word_bounds, word_hashes
+from voxmere.llm.text import slices, word_bounds, word_hashes
 
 BLOCK = 32
 RANK = 256
 BLOCK_ITEMS, BLOCK_WORDS, ROUND_BLOCKS = 224, 1 << 13, 8
 ENERGY, SLACK, ITEM_SHARE = 0.99, 0.7, 4.0
-#: Texts whose passages the latent space is fitted on, chosen by a hash; frequencies are counted in all.
-FITTED = 20_000
 FAN = 32
 COMMON = 128
 LEAST_STRIDE = 8
 ANSWER = 5
 PART = 512
+PASSAGES = 1 << 14
 
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[128:] = np.arange(128, 256)
@@ -130,10 +129,33 @@ def _test_matrix(n_terms: int, rank: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((n_terms, rank))
 
 
-def _gather(blocks: list[Items], rank: int, share: float):
-    """Of each task and block: document frequencies and the Gram product, in parts of PART terms; and its number of texts. The
-    product is that of a share of the texts, by a hash of their words."""
-    below = np.uint64(min(share, 1.0) * (2**64 - 1025))
+def sum_rows(matrix: np.ndarray, rows: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sums of matrix[rows] by group, groups numbered from 0 to n - 1 and those without rows zero.
+
+    Groups are added up FAN rows at a time, the k-th rows of all of them at once, until one sum of each is left.
+    """
+    out = np.zeros((n, matrix.shape[1]), matrix.dtype)
+    order = np.argsort(groups, kind="stable")
+    rows, groups = rows[order], groups[order]
+    while len(rows):
+        begin = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        part = np.flatnonzero((np.arange(len(groups)) - np.repeat(begin, np.diff(np.append(begin, len(groups))))) % FAN == 0)
+        size = np.diff(np.append(part, len(groups)))
+        order = np.argsort(-size, kind="stable")
+        longest, least = part[order], -size[order]
+        sums = matrix[rows[longest]]
+        for k in range(1, -least[0]):
+            more = np.searchsorted(least, -k)
+            sums[:more] += matrix[rows[longest[:more] + k]]
+        if len(part) == len(begin):
+            out[groups[longest]] = sums
+            break
+        rows, matrix, groups = np.argsort(order), sums, groups[part]
+    return out
+
+
+def _gather(blocks: list[Items], rank: int):
+    """Of each task and block: document frequencies and the Gram product, in parts of PART terms; and its number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = [_test_matrix(len(x.terms) - x.n_common, rank).astype(np.float32) for x in blocks]
@@ -142,10 +164,8 @@ def _gather(blocks: list[Items], rank: int, share: float):
         for batch in batches:
             texts += batch.num_rows
             for _, _, hashes, firsts in plain_words(batch.column(0)):
-                total = np.concatenate([[0], np.cumsum(hashes)]).astype(np.uint64)
-                fitted = mix64(total[firsts[1:]] - total[firsts[:-1]]) <= below
                 for items, test, (seen, product, usual) in zip(blocks, tests, sums, strict=True):
-                    _count(items.find(hashes), firsts, fitted, test, seen, product, usual)
+                    _count(items.find(hashes), firsts, test, seen, product, usual)
         names, columns = ["block", "part", "blob"], [[], [], []]
         for block, (seen, product, usual) in enumerate(sums):
             parts = [(k // PART, np.concatenate([[texts], seen[k : k + PART], product[k : k + PART].ravel()])) for k in range(0, len(seen), PART)]
@@ -158,7 +178,7 @@ def _gather(blocks: list[Items], rank: int, share: float):
     return run
 
 
-def _count(term: np.ndarray, firsts: np.ndarray, fitted: np.ndarray, test: np.ndarray, seen: np.ndarray, product: np.ndarray, usual: np.ndarray) -> None:
+def _count(term: np.ndarray, firsts: np.ndarray, test: np.ndarray, seen: np.ndarray, product: np.ndarray, usual: np.ndarray) -> None:
     """Add the texts of a slice, by the numbers of their words' terms, to the sums of a block."""
     n, own = len(seen), len(usual)
     at = np.flatnonzero(term >= n)
@@ -171,16 +191,14 @@ def _count(term: np.ndarray, firsts: np.ndarray, fitted: np.ndarray, test: np.nd
     term = term[at]
     doc = np.searchsorted(firsts, at, side="right") - 1
     seen += np.bincount(np.unique(doc * n + term) % n, minlength=n)
-    at, term, doc = (x[fitted[doc]] for x in (at, term, doc))
-    if not len(at):
-        return
     passage = doc * (1 << 32) + (at - firsts[doc]) // BLOCK
     begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    total = np.add.reduceat(test[term], begin, axis=0)
-    which = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(term)]])))
-    order = np.argsort(term, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) > 0]))
-    product[term[order][head]] += np.add.reduceat(total[which[order]], head, axis=0)
+    which, begin = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(term)))), np.append(begin, len(term))
+    for k in range(0, len(begin) - 1, PASSAGES):
+        last = min(k + PASSAGES, len(begin) - 1)
+        inside = slice(begin[k], begin[last])
+        total = sum_rows(test, term[inside], which[inside] - k, last - k)
+        product += sum_rows(total, which[inside] - k, term[inside], n)
 
 
 def _sum(frame: pd.DataFrame) -> pd.DataFrame:
@@ -191,14 +209,13 @@ def _sum(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, blocks: list[Items], text_col: str, rank: int, least_common: float) -> list[Items]:
-    """The latent space of each block of items among all documents, from one pass over them. Frequencies are those of all
-    documents, the passages for the decomposition those of about FITTED of them.
+    """The latent space of each block of items among all documents, from one pass over them: frequencies and the passages
+    for the decomposition are those of all documents.
 
     Sums of tasks are added up in a tree, FAN at a time (three levels and the last, for up to a million tasks), so no task
     holds more; what comes to the driver has the size of the vocabularies.
     """
-    share = FITTED / max(1, docs.count())
-    partial = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_gather(blocks, rank, share), "block int, part int, blob binary")
+    partial = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_gather(blocks, rank), "block int, part int, blob binary")
     sums = partial.withColumn("salt", F.floor(F.spark_partition_id() / FAN).cast("int"))
     for _ in range(3):
         sums = sums.groupBy("block", "part", "salt").applyInPandas(lambda x: _sum(x), "block int, part int, salt int, blob binary")
@@ -314,16 +331,15 @@ def _matches(items: Items, hashes: np.ndarray, firsts: np.ndarray, least_common:
     sums = np.zeros((len(name), rank + own), np.float32)
     told = np.flatnonzero(term < n)
     if len(told):
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(block[told]) > 0]))
-        sums[block[told[begin]], :rank] = np.add.reduceat(items.basis[term[told]], begin, axis=0)
+        sums[:, :rank] = sum_rows(items.basis, term[told], block[told], len(name))
     usual = np.flatnonzero(term >= n)
     if len(usual):
         sums[:, rank:] = np.bincount(block[usual] * own + term[usual] - n, minlength=len(name) * own).reshape(-1, own)
     for wide, which, least in items.classes:
         while stride < wide:
             name = name >> 32 << 32 | (name & 0xFFFFFFFF) >> 1
-            begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-            name, sums, stride = name[begin], np.add.reduceat(sums, begin, axis=0), stride * 2
+            new = np.concatenate([[True], name[1:] != name[:-1]])
+            name, sums, stride = name[new], sum_rows(sums, np.arange(len(sums)), np.cumsum(new) - 1, int(new.sum())), stride * 2
         windows = sums.copy()
         pairs = np.flatnonzero(name[1:] == name[:-1] + 1)
         windows[pairs] += sums[pairs + 1]
