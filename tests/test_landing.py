@@ -100,3 +100,48 @@ def test_a_batch_that_runs_twice(land):
             note.unlink()
     land.run()
     assert land.volumes() == {"a": slices(5)} and land.states() == {"a": ("converted", 1, 1)}
+
+
+def test_a_job_is_converted_once_a_run(land, monkeypatch):
+    """Its files come in six batches, five of which make it whole; the state has as many parts as the session says."""
+    for k in range(6):
+        land.put("a", f"{k}.png", image(k))
+    land.put("a", "job.json", b'{"files": 2}')
+    seen, real = [], landing.convert
+    monkeypatch.setattr(landing, "convert", lambda files: seen.append(files) or real(files))
+    before = land.spark.conf.get("spark.sql.shuffle.partitions")
+    land.spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        landing.convert_landed(land.spark, str(land.root), land.blocks, land.checkpoint, files_a_batch=1)
+    finally:
+        land.spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1 and land.volumes() == {"a": slices(0, 1, 2, 3, 4, 5)} and land.states() == {"a": ("converted", 6, 6)}
+    assert land.spark.getActiveSession()._jsparkSession.equals(land.spark._jsparkSession)  # the query's own session stays its own
+    assert len([p for p in (Path(land.checkpoint) / "state" / "0").iterdir() if p.name.isdigit()]) == 2
+
+
+def test_a_conversion_that_fails_is_made_up_for(land, monkeypatch):
+    """The batches are over and noted, the conversion isn't: the next run does it though no file came since."""
+    land.put("a", "1.png", image(5))
+    land.put("a", "job.json", b'{"files": 1}')
+
+    def fails(files):
+        raise OSError("full")
+
+    with monkeypatch.context() as m, pytest.raises(Exception, match="full"):
+        m.setattr(landing, "convert", fails)
+        land.run()
+    land.run()
+    assert land.volumes() == {"a": slices(5)} and land.states() == {"a": ("converted", 1, 1)}
+
+
+def test_groups_go_over_batches():
+    import pyarrow as pa
+
+    from voxmere.sources.grouped import grouped
+
+    rows = [(a, b, k) for k, (a, b) in enumerate([(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (2, 2), (2, 2), (3, 2)])]
+    table = pa.table({n: [r[k] for r in rows] for k, n in enumerate("abk")})
+    for size in range(1, 9):
+        batches = [b for batch in table.to_batches(size) for b in (batch, batch.slice(0, 0))]
+        assert [t.column("k").to_pylist() for t in grouped(iter(batches), ["a", "b"])] == [[0, 1], [2], [3, 4, 5, 6], [7]]

@@ -9,15 +9,19 @@ import posixpath
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from voxmere.operators.region import volume
+from voxmere.sources.grouped import grouped
 from voxmere.sources.paths import opened, qualified, scratch
 
 #: colour type of a PNG: how many channels a pixel has
@@ -74,6 +78,23 @@ def decode(content: bytes) -> np.ndarray | None:
         return None
 
 
+#: Rows that a task makes one by one go on in batches of so many, or of so many bytes.
+ROWS, BYTES = 4096, 1 << 20
+
+
+def together(rows: Iterable[tuple[object, int]]) -> Iterator[list]:
+    """Rows, each given with its bytes, in lists of bounded size; a large row is passed on at once."""
+    held, size = [], 0
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if len(held) >= ROWS or size >= BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def gray(image: np.ndarray, z: int) -> np.ndarray:
     return image
 
@@ -83,17 +104,26 @@ def png_rows(voxels: DataFrame, dtype: str = "u1", name: str = "{:09d}.png", pai
 
     Where rows have a volume_id, so does the result, and its names lie in a folder of that name.
     """
-    keys = volume(voxels)
+    keys = [*volume(voxels), "z"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[dict, int]]:
+            for rows in grouped(batches, keys):
+                x, y, v = (rows.column(k).to_numpy() for k in "xyv")
+                own = {k: rows.column(k)[0].as_py() for k in keys}
+                image = np.zeros((y.max() + 1, x.max() + 1), dtype)
+                image[y, x] = v
+                folder = "".join(f"{own[k]}/" for k in keys[:-1])
+                content = png(paint(image, own["z"]))
+                yield {**own, "name": folder + name.format(own["z"]), "content": content}, len(content)
 
-    def encode(frame: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((frame["y"].max() + 1, frame["x"].max() + 1), dtype)
-        image[frame["y"], frame["x"]] = frame["v"]
-        z, own = int(frame["z"].iloc[0]), {k: [frame[k].iloc[0]] for k in keys}
-        folder = "".join(f"{v[0]}/" for v in own.values())
-        return pd.DataFrame({**own, "name": [folder + name.format(z)], "z": [z], "content": [png(paint(image, z))]})
+        for some in together(each()):
+            yield pa.RecordBatch.from_pylist(some, schema)
 
-    kept = "".join(f"{k} {voxels.schema[k].dataType.simpleString()}, " for k in keys)
-    return voxels.select(*keys, "x", "y", "z", "v").groupBy(*keys, "z").applyInPandas(encode, f"{kept}name string, z long, content binary")
+    kept = "".join(f"{k} {voxels.schema[k].dataType.simpleString()}, " for k in keys[:-1])
+    result = f"{kept}name string, z long, content binary"
+    schema = to_arrow_schema(StructType.fromDDL(result))
+    return voxels.select(*keys[:-1], "x", "y", "z", "v").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(encode, result)
 
 
 def broken(rows: DataFrame, every: int) -> DataFrame:
@@ -130,16 +160,23 @@ def spread(images: DataFrame, read: Callable[[pd.Series], np.ndarray | None], wi
     its own columns w and h, or else an error."""
 
     def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                image = read(row)
-                if image is None:
-                    size = (height, width) if width is not None else (getattr(row, "h", None), getattr(row, "w", None))
-                    if size[0] is None:
-                        raise ValueError(f"{row.name} can't be read")
-                    image = np.zeros(tuple(map(int, size)), np.int64)
-                y, x = np.indices(image.shape)
-                yield pd.DataFrame({"stack": row.stack, "name": row.name, "z": row.z, "x": x.ravel(), "y": y.ravel(), "v": image.ravel()})
+        def each() -> Iterator[tuple[tuple, int]]:
+            for frame in frames:
+                for row in frame.itertuples():
+                    image = read(row)
+                    if image is None:
+                        size = (height, width) if width is not None else (getattr(row, "h", None), getattr(row, "w", None))
+                        if size[0] is None:
+                            raise ValueError(f"{row.name} can't be read")
+                        image = np.zeros(tuple(map(int, size)), np.int64)
+                    y, x = np.indices(image.shape)
+                    yield (row.stack, row.name, row.z, x.ravel(), y.ravel(), image.ravel()), 8 * image.size
+
+        for some in together(each()):
+            *names, xs, ys, vs = zip(*some, strict=True)
+            sizes = [len(v) for v in vs]
+            own = {k: np.repeat(np.array(c, object if k != "z" else np.int64), sizes) for k, c in zip(("stack", "name", "z"), names, strict=True)}
+            yield pd.DataFrame({**own, "x": np.concatenate(xs), "y": np.concatenate(ys), "v": np.concatenate(vs)})
 
     return images.mapInPandas(pixels, "stack string, name string, z long, x long, y long, v long")
 

@@ -20,6 +20,12 @@ def qualified(spark: SparkSession, path: str) -> str:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def opened(path: str):
     """(file system, path) of a qualified path, in a task."""
     from pyarrow.fs import FileSystem, LocalFileSystem

@@ -18,11 +18,12 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from voxmere.operators import headers as H
 from voxmere.sources.blocks import open_blocks, pack
-from voxmere.sources.images import decode, placed, spread
-from voxmere.sources.paths import scratch
+from voxmere.sources.images import decode, placed, spread, together
+from voxmere.sources.paths import exists, scratch
 
 NOTE = "job.json"
 FILES = "path string, modificationTime timestamp, length long, content binary"
+JOBS = 1000  # converted together
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -75,13 +76,13 @@ class Completeness(StatefulProcessor):
 def expand(files: DataFrame) -> DataFrame:
     """(job_id, source, path, content, is_dicom, width, height) of files and of the members of archives, source being the landed
     file; resource forks, hidden files and members whose path leads out of the archive are left out. Members are passed on
-    one at a time; width and height are null where the file has no readable head."""
+    in lists of bounded size; width and height are null where the file has no readable head."""
 
     def facts(path: str, content: bytes) -> dict:
         size = struct.unpack(">II", content[16:24]) if content[:4] == b"\x89PNG" and len(content) >= 33 else (None, None)
         return {"path": path, "content": content, "is_dicom": path.lower().endswith(".dcm") or content[128:132] == b"DICM", "width": size[0], "height": size[1]}
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, int]]:
         for frame in frames:
             for job, path, content in zip(frame["job_id"], frame["path"], frame["content"], strict=True):
                 found = [facts(path, content)]
@@ -89,7 +90,11 @@ def expand(files: DataFrame) -> DataFrame:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                     found = (facts(i.filename, archive.read(i)) for i in archive.infolist() if not i.is_dir())
                 for one in found:
-                    yield pd.DataFrame([{"job_id": job, "source": path, **one}]).astype({"width": "Int64", "height": "Int64"})
+                    yield {"job_id": job, "source": path, **one}, len(one["content"])
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in together(members(frames)):
+            yield pd.DataFrame(some).astype({"width": "Int64", "height": "Int64"})
 
     rows = files.select("job_id", "path", "content").mapInPandas(each, "job_id string, source string, path string, content binary, is_dicom boolean, width long, height long")
     return rows.filter(H.is_source(F.col("path")) & H.is_safe(F.col("path")))
@@ -133,18 +138,27 @@ def convert_landed(spark: SparkSession, folder: str, blocks: str, checkpoint: st
     """Convert all jobs below folder that are whole by now into the block table `blocks`, and stop.
 
     The checkpoint keeps which files were seen, so that a run after it, or after a failure, goes on where the last one
-    ended. A job's blocks and state are one partition each, replaced as a whole: a batch that runs twice leaves what it
-    left before. blocks gets two tables: `voxels` (by volume_id and cz) and `states` (by job_id).
+    ended. Batches only note which jobs they made whole, in a folder `due` of the checkpoint; after the last batch each of
+    those jobs is converted once, however many batches its files came in, and the notes go. A run that fails before that
+    leaves them to the next. A job's blocks and state are one partition each, replaced as a whole: a job that is converted
+    twice leaves what it left before. blocks gets two tables: `voxels` (by volume_id and cz) and `states` (by job_id).
     """
     session = spark.newSession()  # the state store is set for this query alone
     session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch adds its changes, no copy
+    cores = spark.sparkContext.defaultParallelism
+    session.conf.set("spark.sql.shuffle.partitions", min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # each is a store and a worker a batch
+    session.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", cores)  # else a task a file
+    session.conf.set("spark.sql.hive.filesourcePartitionFileCacheSize", 0)  # else the driver remembers every file that a batch named
+    session.conf.set("spark.sql.files.openCostInBytes", "64k")  # else a task for a few files, whose images are small
+    due = f"{checkpoint}/due"
     whole = watch(session, folder, files_a_batch).groupBy("job_id").transformWithStateInPandas(Completeness(quiet), "job_id string, n_files long", "Update", "eventTime")
 
-    def sink(batch: DataFrame, _: int) -> None:
-        jobs = sorted({r["job_id"] for r in batch.select("job_id").collect()})  # folders that a batch of files completed
-        if not jobs:
-            return
-        reader = batch.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true")
+    def sink(batch: DataFrame, k: int) -> None:
+        batch.select("job_id").write.mode("overwrite").parquet(f"{due}/{k}")  # folders that a batch of files completed
+
+    def convert_jobs(jobs: list[str]) -> None:
+        reader = session.read.format("binaryFile").option("recursiveFileLookup", "true")
         files = reader.load([f"{folder}/{job}" for job in jobs])
         rows = files.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("job_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content").filter(F.col("path") != NOTE)
         voxels, states = convert(rows)
@@ -154,6 +168,14 @@ def convert_landed(spark: SparkSession, folder: str, blocks: str, checkpoint: st
 
     writer = whole.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink)
     writer.trigger(availableNow=True).start().awaitTermination()
+    if not exists(session, due):
+        return
+    notes = session.read.schema("job_id string").option("recursiveFileLookup", "true").parquet(due)
+    jobs = sorted(r["job_id"] for r in notes.distinct().collect())
+    for lo in range(0, len(jobs), JOBS):
+        convert_jobs(jobs[lo : lo + JOBS])
+    if jobs:
+        session.range(0).select(F.lit("").alias("job_id")).write.mode("overwrite").parquet(due)  # createDataFrame would make the session the active one
 
 
 def states(spark: SparkSession, blocks: str) -> DataFrame:
