@@ -148,6 +148,44 @@ def test_surface_files_of_blocks(spark, tmp_path):
         assert len(lines) == 2 + 7 * (12 if name.endswith("_8") else 10)
 
 
+def test_blocks_are_read_by_their_notes(spark, tmp_path, monkeypatch):
+    """A block's file has the lines of stl_lines, whatever is made into text at once; what isn't noted isn't read."""
+    labels = spark.createDataFrame([(1, 5, 5, 5), (1, 6, 5, 5), (2, 6, 6, 6), (1, -1, 0, 0)], "lab long, x long, y long, z long")
+    tris = surfaces.triangles(surfaces.faces(labels))
+    rows = surfaces.stl_lines(surfaces.numbered(tris.filter("x > 0"))).orderBy("lab", "part", "place").collect()
+    want = {f"_{k}_4_4_4": [line.replace(f"solid {k}", f"solid _{k}_4_4_4") for r in rows if r["lab"] == k for line in r["line"].split("\n")] for k in (1, 2)}
+    for facets in (3, 1 << 12):
+        monkeypatch.setattr(surfaces, "TEXT_FACETS", facets)
+        folder = tmp_path / str(facets)
+        surfaces.write_blocks(tris, (4, 4, 4), str(folder))
+        for name, lines in want.items():
+            (file,) = (folder / f"lab={name}").glob("part-*")
+            assert file.read_text() == "\n".join(lines) + "\n"
+        (folder / "lab=_9_0_0_0").mkdir()
+        (folder / "lab=_9_0_0_0" / "part-0").write_text("solid _9_0_0_0\n")
+        found = {}
+        for r in surfaces.read_blocks(spark, str(folder)).collect():
+            found.setdefault(r["part"], []).append(r["line"])
+        assert set(found) == {*want, "_1_-4_0_0"} and all(found[k] == want[k] for k in want)
+    empty = tmp_path / "empty"
+    surfaces.write_blocks(tris.filter("x > 99"), (4, 4, 4), str(empty))
+    assert surfaces.read_blocks(spark, str(empty)).count() == 0
+
+
+def test_tasks_of_block_files_dont_grow_with_files(spark, sf_dir):
+    """Some four hundred files are written and read; neither moving nor listing them takes a task for each."""
+    from voxmere.plans.surfaces import surface_export_blocks
+
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    try:
+        n = surface_export_blocks(spark, sf_dir).select("part").distinct().count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("blocks") for s in tracker.getJobInfo(job).stageIds]
+    assert n > 300 and 0 < max(s.numTasks for s in stages if s is not None) < 50
+
+
 def test_regions_of_submissions(spark):
     square = "[[[1,1],[6,1],[6,6]]]"
     payloads = [

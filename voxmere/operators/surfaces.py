@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmere.operators.region import floor_div, volume
+from voxmere.sources.grouped import grouped
+from voxmere.sources.images import together
+from voxmere.sources.paths import opened, qualified
 
 #: face: (neighbour offset, corners in order)
 FACES = (
@@ -22,6 +28,9 @@ FACES = (
     ((0, 0, 1), ((0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1))),
 )
 
+#: corners of a face's triangles
+HALVES = ((0, 1, 2), (0, 2, 3))
+
 
 def faces(labels: DataFrame) -> DataFrame:
     """(lab, x, y, z, face): sides of labelled voxels whose neighbour doesn't have the label.
@@ -33,19 +42,17 @@ def faces(labels: DataFrame) -> DataFrame:
     keys = [*volume(labels), "lab"]
     each = labels.filter("lab > 0").select(*keys, "x", "y", "z", F.explode(sides).alias("s"))
     plane = {a: (F.col(a) + F.when(F.col("s.axis") == k, F.col("s.step")).otherwise(0)).alias(f"p{a}") for k, a in enumerate("xyz")}
-    keyed = each.select(*keys, F.col("s.axis").alias("axis"), *plane.values(), F.struct("x", "y", "z", F.col("s.face").alias("face")).alias("of"))
-    once = keyed.groupBy(*keys, "axis", "px", "py", "pz").agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("of")).filter("n = 1")
-    return once.select(*keys, "of.*")
+    keyed = each.select(*keys, F.col("s.axis").alias("axis"), *plane.values(), "x", "y", "z", F.col("s.face").alias("face"))
+    own = ("x", "y", "z", "face")  # of the one side where a key comes once
+    once = keyed.groupBy(*keys, "axis", "px", "py", "pz").agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in own)).filter("n = 1")
+    return once.select(*keys, *own)
 
 
 def triangles(exposed: DataFrame) -> DataFrame:
     """(lab, x, y, z, face, tri, v0, v1, v2): two triangles for each face."""
-
-    def corner(k: int, i: int):
-        return F.struct(*((F.col(a) + FACES[k][1][i][n]).alias(a) for n, a in enumerate("xyz")))
-
-    pick = F.element_at(F.array(*(F.array(F.array(corner(k, 0), corner(k, 1), corner(k, 2)), F.array(corner(k, 0), corner(k, 2), corner(k, 3))) for k in range(6))), F.col("face") + 1)
-    return exposed.select("lab", "x", "y", "z", "face", F.posexplode(pick).alias("tri", "t")).select("lab", "x", "y", "z", "face", "tri", *(F.col("t")[i].alias(f"v{i}") for i in range(3)))
+    offsets = F.array(*(F.array(*(F.array(*(F.struct(*(F.lit(c).alias(a) for a, c in zip("xyz", corners[i], strict=True))) for i in half)) for half in HALVES)) for _, corners in FACES))
+    halves = exposed.select("lab", "x", "y", "z", "face", F.posexplode(F.element_at(offsets, F.col("face") + 1)).alias("tri", "t"))
+    return halves.select("lab", "x", "y", "z", "face", "tri", *(F.struct(*((F.col(a) + F.col("t")[i][a]).alias(a) for a in "xyz")).alias(f"v{i}") for i in range(3)))
 
 
 def combine(tris: DataFrame) -> DataFrame:
@@ -84,6 +91,9 @@ def stl_lines(placed: DataFrame) -> DataFrame:
     return facets.unionByName(ends[0]).unionByName(ends[1])
 
 
+#: The file of a block's folder.
+PART = "part-00000.txt"
+
 #: Lines of one file.
 LINES = 1 << 17
 
@@ -102,18 +112,75 @@ def write_lines(lines: DataFrame, path: str) -> None:
     dealt.repartitionById(max(1, -(-total // LINES)), F.col("file")).sortWithinPartitions(*order).select("lab", "line").write.partitionBy("lab").text(path)
 
 
+#: A facet of an ASCII STL file, and how many are made into text at once.
+FACET_TEXT = "  facet normal %d %d %d\n    outer loop\n" + 3 * "      vertex %d %d %d\n" + "    endloop\n  endfacet\n"
+TEXT_FACETS = 1 << 12
+
+
 def by_block(tris: DataFrame, size: tuple[int, int, int]) -> DataFrame:
-    """Triangles with lab replaced by the name of their object's part in a block, _<object>_<x>_<y>_<z>, where x, y and z are
-    the first voxel of the block that holds the triangle's voxel."""
-    corner = [(floor_div(a, n) * n).cast("string") for a, n in zip("xyz", size, strict=True)]
-    return tris.withColumn("lab", F.concat_ws("_", F.lit(""), F.col("lab").cast("string"), *corner))
+    """Triangles with bx, by and bz, the first voxel of the block that holds the triangle's voxel."""
+    return tris.withColumns({f"b{a}": floor_div(a, n) * n for a, n in zip("xyz", size, strict=True)})
 
 
 def write_blocks(tris: DataFrame, size: tuple[int, int, int], path: str) -> None:
     """A folder lab=_<object>_<x>_<y>_<z> for each object and block with its ASCII STL solid in one file: a block bounds it, so
-    it is put in order in one task."""
-    lines = stl_lines(numbered(by_block(tris, size)))
-    lines.repartition("lab").sortWithinPartitions("lab", "part", "place").select("lab", "line").write.partitionBy("lab").text(path)
+    it is put in order in one task.
+
+    Triangles are dealt and sorted by block, with their voxel, face and half, from which the corners follow. Tasks write the
+    files of their blocks themselves, under a hidden name until they are whole, so the driver neither moves nor lists files,
+    however many there are; the parts' names are noted as a table in the folder _files, which read_blocks follows.
+    """
+    keys, place = ["lab", "bx", "by", "bz"], ["z", "x", "y", "face", "tri"]
+    target = qualified(tris.sparkSession, path)
+    normals, corners = np.array([o for o, _ in FACES]), np.array([[[c[i] for i in half] for half in HALVES] for _, c in FACES])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(target)
+
+        def each() -> Iterator[tuple[str, int]]:
+            for rows in grouped(batches, keys):
+                name = "_".join(["", *(str(rows.column(k)[0].as_py()) for k in keys)])
+                x, y, z, face, tri = (rows.column(k).to_numpy() for k in ("x", "y", "z", "face", "tri"))
+                numbers = np.concatenate([normals[face][:, None], corners[face, tri] + np.stack([x, y, z], axis=1)[:, None]], axis=1).reshape(-1, 12)
+                folder = posixpath.join(root, f"lab={name}")
+                system.create_dir(folder)
+                part = posixpath.join(folder, f".{uuid.uuid4().hex}")
+                with system.open_output_stream(part) as out:
+                    out.write(f"solid {name}\n".encode())
+                    for lo in range(0, len(numbers), TEXT_FACETS):
+                        some = numbers[lo : lo + TEXT_FACETS]
+                        out.write((FACET_TEXT * len(some) % tuple(some.ravel().tolist())).encode())
+                    out.write(f"endsolid {name}\n".encode())
+                system.move(part, posixpath.join(folder, PART))
+                yield name, len(name)
+
+        for names in together(each()):
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["part"])
+
+    dealt = by_block(tris, size).select(*keys, *place).repartition(*keys).sortWithinPartitions(*keys, *place)
+    dealt.mapInArrow(written, "part string").write.parquet(f"{path}/_files")
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(part, line): the lines of the files that write_blocks wrote; tasks open them by the names that were noted."""
+    target = qualified(spark, path)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(target)
+
+        def each() -> Iterator[tuple[tuple[str, list[str]], int]]:
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    with system.open_input_stream(posixpath.join(root, f"lab={name}", PART)) as file:
+                        data = file.read()
+                    yield (name, data.decode().splitlines()), len(data)
+
+        for some in together(each()):
+            names, texts = zip(*some, strict=True)
+            part = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), [len(t) for t in texts])))
+            yield pa.RecordBatch.from_arrays([part, pa.array(list(chain.from_iterable(texts)), pa.string())], ["part", "line"])
+
+    return spark.read.schema("part string").parquet(f"{path}/_files").mapInArrow(lines, "part string, line string")
 
 
 #: A facet of a binary STL file, and how many one of its parts holds.

@@ -101,8 +101,7 @@ def surface_export_blocks(spark, d):
     """Every object's part in each block written as an ASCII STL file of its own, and the files' lines read back and counted."""
     path = scratch(spark)
     S.write_blocks(tris(spark, d), BLOCK, path)
-    lines = spark.read.schema("value string, lab string").text(path).select(F.col("lab").alias("part"), F.col("value").alias("line"))
-    return lines.groupBy("part", "line").agg(F.count(F.lit(1)).alias("n"))
+    return S.read_blocks(spark, path).groupBy("part", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("label_store_write", "seg_labels", sql="SELECT x, y, z, lab FROM seg_labels WHERE lab <> 0")
